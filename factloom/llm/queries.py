@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import license
+from factloom.llm import license, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license.op1_license_scan,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
     }
 
 
