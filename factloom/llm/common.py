@@ -111,3 +111,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = mark
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def labelled_sample(labels: DataFrame, label: str, held_out: F.Column, most: int) -> DataFrame:
+    """(doc_id, label, weight): at most `most` labelled rows that are not held out, half of them of each label.
+
+    The rows with the smallest hashes of doc_id stand for all of their label; weight undoes the balance. Rows with a
+    null id or label are left out, and a repeated id has its largest label.
+    """
+    rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out)
+    total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for value in (0, 1):
+        part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
+        parts.append(part.withColumn("weight", F.lit(total.get(value, 0) / max(1, min(total.get(value, 0), most // 2)))))
+    return parts[0].union(parts[1])
+
+
+def remainder_is(id_col: str, modulus: int, value: int) -> F.Column:
+    """Whether crc32(id as text) mod modulus is value; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import license, packing
+from factloom.llm import license, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license.op1_license_scan,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_quality_classifier": quality.op8_quality_classifier,
     }
 
 
