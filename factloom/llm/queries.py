@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import license, packing, quality, toxicity
+from factloom.llm import chat, license, mixing, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license.op1_license_scan,
+        "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_classifier": quality.op8_quality_classifier,
+        "op9_chat_perspectives": chat.op9_chat_perspectives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license.oracle(),
+        "op2_source_mixing": mixing.oracle(),
+        "op9_chat_perspectives": chat.ORACLE,
     }
