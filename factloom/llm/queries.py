@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, license, mixing, packing, quality, toxicity
+from factloom.llm import chat, license, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": license.op1_license_scan,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op6_simhash_groups": simhash.op6_simhash_groups,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_chat_perspectives": chat.op9_chat_perspectives,
