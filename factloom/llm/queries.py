@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, license, mixing, packing, quality, simhash, toxicity
+from factloom.llm import chat, forest, license, mixing, packing, quality, search, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": license.op1_license_scan,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op5_maxscore_topk": search.op5_maxscore_topk,
         "op6_simhash_groups": simhash.op6_simhash_groups,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_chat_perspectives": chat.op9_chat_perspectives,
+        "op10_embedding_forest": forest.op10_embedding_forest,
     }
 
 
@@ -25,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license.oracle(),
         "op2_source_mixing": mixing.oracle(),
+        "op5_maxscore_topk": search.ORACLE,
         "op9_chat_perspectives": chat.ORACLE,
     }
