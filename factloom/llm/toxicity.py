@@ -20,8 +20,8 @@ from factloom.llm.common import labelled_sample, remainder_is, table
 
 BINS = 1 << 20
 #: Labelled rows to learn from at most, and terms that the model keeps.
-SAMPLE_ROWS = 12_000
-TERMS = 4_096
+SAMPLE_ROWS = 8_000
+TERMS = 1_024
 FACTORS = 8
 THRESHOLD = 0.3
 CACHE = 300_000
@@ -65,7 +65,7 @@ def choose_terms(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, most: i
     return np.sort(found[keep[gain[keep] > 6]])
 
 
-def train(rows: list[tuple[int, float, np.ndarray]], terms: int = TERMS, factors: int = FACTORS, steps: int = 150, seed: int = 7) -> FactorizationMachine:
+def train(rows: list[tuple[int, float, np.ndarray]], terms: int = TERMS, factors: int = FACTORS, steps: int = 120, seed: int = 7) -> FactorizationMachine:
     """Fit (label, weight, bins) rows by Adam on the weighted logistic loss. One label only: a constant score."""
     label, weight = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     share = float((label * weight).sum() / weight.sum()) if len(rows) else 0.0
