@@ -204,7 +204,7 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int =
 
     sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
     picked = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", "weight")  # SAMPLE_ROWS ids at most
-    got = picked.mapInArrow(pool, "doc_id long, label int, weight double, x binary").orderBy("doc_id", "x").toArrow()
+    got = picked.mapInArrow(pool, "doc_id long, label int, weight double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
     net = train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
 
