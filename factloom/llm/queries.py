@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, forest, license, mixing, packing, quality, search, simhash, toxicity
+from factloom.llm import brown, chat, forest, license, mixing, packing, quality, search, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": license.op1_license_scan,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_brown_lm": brown.op4_brown_lm,
         "op5_maxscore_topk": search.op5_maxscore_topk,
         "op6_simhash_groups": simhash.op6_simhash_groups,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
