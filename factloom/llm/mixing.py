@@ -143,6 +143,19 @@ def mix(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[st
     return soft.select("doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, model.domains)), best.cast("int")).alias("domain"), F.round(top, 6).alias("posterior"), F.round(rate, 6).alias("rate"), copies_of("doc_id", rate).alias("copies"))
 
 
+def resample(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, lowest: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as its copies say.
+
+    targets None: shares of the domains, bent towards each other, in the smallest total that shrinks none. With lowest 1
+    every row stays.
+    """
+    model, steps, _ = solve(docs, labelled, scratch, targets, lowest, id_col, text_col)
+    packed = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rated = with_posteriors(with_counts(packed, "text", MARKERS), model)
+    copied = rated.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies_of("doc_id", rate_of(steps, lowest))))).where("copy > 0")
+    return copied.select("row.*")
+
+
 #: Query op2: as many tokens of each language.
 EQUAL = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
 

@@ -185,13 +185,10 @@ def train(x: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 40
     return net
 
 
-def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> tuple[np.ndarray, Network]:
+    """Word vectors from all texts of docs, and the network, from the labels of SAMPLE_ROWS rows at most.
 
-    Word vectors come from all texts of docs. The network learns from labels of rows whose crc32(id as text) mod modulus
-    is not remainder, SAMPLE_ROWS of them at most. A null or empty text is scored as a text without words, a row with a
-    null id is scored and not held out, repeated rows are scored each time. Other columns are not read. Without labels
-    of both kinds the score is constant; without rows the result is empty.
+    Rows whose crc32(id as text) mod modulus is remainder are held out of the labels.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vectors = word_vectors(rows, scratch)
@@ -206,7 +203,17 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int =
     picked = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", "weight")  # SAMPLE_ROWS ids at most
     got = picked.mapInArrow(pool, "doc_id long, label int, weight double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    net = train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
+    return vectors, train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
+
+
+def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    A null or empty text is scored as a text without words, a row with a null id is scored and not held out, repeated
+    rows are scored each time. Other columns are not read. Without labels of both kinds the score is constant; without
+    rows the result is empty.
+    """
+    vectors, net = learn(docs, labels, scratch, modulus, remainder, id_col, text_col, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
@@ -214,9 +221,23 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int =
             p = net.probability(pooled(text_bytes(batch.column("text")), vectors, buckets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", remainder_is("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is threshold or more."""
+    vectors, net = learn(docs, labels, scratch, text_col=text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for batch in batches:
+            yield batch.filter(pa.array(net.probability(pooled(text_bytes(batch.column(at)), vectors, buckets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op8"))

@@ -200,5 +200,16 @@ def simhash_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their group; a repeated row stays once.
+
+    Rows with a null id all stay. Rows of one id and different texts stay if any of them is its group's smallest.
+    """
+    groups = simhash_groups(docs, scratch, id_col, text_col)
+    kept = scratch.save(groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    mine = docs[id_col]
+    return docs.join(kept, mine == kept["kept_id"], "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(mine.isNull()))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))

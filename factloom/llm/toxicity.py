@@ -119,42 +119,68 @@ def sample_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
     return sorted(rows, key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
 
 
+class Scorer:
+    """Scores texts by a model; a worker's own cache keeps which of the kept terms a word has."""
+
+    def __init__(self, model: FactorizationMachine):
+        self.model, self.place = model, {int(b): i for i, b in enumerate(model.bins)}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        terms, starts = [], []
+        for text in texts:
+            starts.append(len(terms))
+            own = {-1}
+            for w in words_of(text):
+                if (got := self.known.get(w)) is None:
+                    if len(self.known) >= CACHE:
+                        self.known.clear()
+                    got = self.known[w] = tuple(self.place[b] for b in bins_of(w) if b in self.place)
+                if got:
+                    own.update(got)
+            terms.extend(own)
+        raw = self.model.raw(np.array(terms, np.int64), np.array(starts, np.int64)) if starts else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row: the probability of label 1, of a null or empty text too. Ids are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {int(b): i for i, b in enumerate(model.bins)}
-        known: dict[bytes, tuple[int, ...]] = {}
+        scorer = Scorer(model)
         for batch in batches:
-            terms, starts = [], []
-            for text in batch.column("text").to_pylist():
-                starts.append(len(terms))
-                own = {-1}
-                for w in words_of(text):
-                    if (got := known.get(w)) is None:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        got = known[w] = tuple(place[b] for b in bins_of(w) if b in place)
-                    if got:
-                        own.update(got)
-                terms.extend(own)
-            raw = model.raw(np.array(terms, np.int64), np.array(starts, np.int64)) if starts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> FactorizationMachine:
+    """Model from labels of rows whose crc32(id as text) mod modulus is not remainder, SAMPLE_ROWS of them at most."""
+    sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
+    return train(sample_rows(docs, sample, id_col, text_col))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under threshold."""
+    model, at = learn(docs, labels, text_col=text_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Learns from labels of rows whose crc32(id as text) mod modulus is not remainder, SAMPLE_ROWS of them at most. Only
-    texts are scored; other columns are not read. A null or empty text has the score of a text without terms, a row
+    Only texts are scored; other columns are not read. A null or empty text has the score of a text without terms, a row
     with a null id is scored and not held out, a repeated row is scored each time. Without labels of both kinds the
     score is constant; without rows the result is empty.
     """
-    sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
-    model = train(sample_rows(docs, sample, id_col, text_col))
+    model = learn(docs, labels, modulus, remainder, id_col, text_col, label)
     return score(docs, model, id_col, text_col).select("doc_id", remainder_is("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
