@@ -7,27 +7,28 @@ words never seen. A text's probability is the product over its words, and one en
 after the class before, and of the word in its class; both are smoothed.
 
 Words that are not in the core come without bound, so no task and no driver holds them all: texts are dealt to blocks,
-each block asks a table of all words for those that it has, and turns its texts into classes.
+a block's words meet those of the other blocks word by word, and come back to it with their counts and classes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, remainder_is, sorted_groups, table, text_bytes
+from factloom.llm.common import Scratch, remainder_is, table, text_bytes
 
 CORE = 1_024
 CLASSES = 48
 RARE = 3
 SWEEPS = 8
 #: Text bytes of a block, and distinct words that a task counts before it passes them on.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 HELD_WORDS = 300_000
 END = b"\n"  # no word has white space
 #: Classes beyond the exchanged ones: the end, rare words, words never seen.
@@ -42,23 +43,33 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) over the rows that are not held out."""
+def frequent_words(rows: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words of the rows that are not held out, with their counts there.
+
+    A task passes on the words that are a 100,000th of its tokens or more, of which there are 100,000 at most: the count
+    of a word may lack what tasks hold where it is rarer. Exact counts come later, this one only orders the core.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+        n = 0
         for batch in batches:
             for text in text_bytes(batch.column("text")):
-                held.update(tokens_of(text))
+                words = text.lower().split()
+                held.update(words)
+                n += len(words)
                 if len(held) > HELD_WORDS:
-                    yield out(held)
+                    yield out(held, n)
                     held.clear()
-        yield out(held)
+                    n = 0
+        yield out(held, n)
 
-    def out(held: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+    def out(held: Counter[bytes], n: int) -> pa.RecordBatch:
+        kept = {w: c for w, c in held.items() if c * 100_000 >= n}
+        return pa.RecordBatch.from_arrays([pa.array(list(kept.keys()), pa.binary()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
 
-    return rows.where("NOT held_out").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.where("NOT held_out").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def core_bigrams(rows: DataFrame, core: list[bytes]) -> np.ndarray:
@@ -134,125 +145,148 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
 
 
 def contexts(rows: DataFrame, of: dict[bytes, int]) -> DataFrame:
-    """(word, around): for words outside the core, the classes before and after each place, two bytes a place."""
+    """(block, word, around): for words outside the core, the classes before and after each place that is not held out,
+    two bytes a place. A block's texts have the word even where around is empty."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, bytearray] = {}
+        held: dict[int, dict[bytes, bytearray]] = {}
         n = 0
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
+            for block, held_out, text in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 words = tokens_of(text)
-                classes = bytes([of.get(w, RARE_CLASS) for w in words])
-                padded = bytes([END_CLASS]) + classes
-                for i in [k for k, w in enumerate(words) if w not in of]:
-                    if (got := held.get(words[i])) is None:
-                        got = held[words[i]] = bytearray()
-                    got.append(padded[i])
-                    got.append(classes[i + 1])
+                mine = held.setdefault(block, {})
                 n += len(words)
-                if len(held) > HELD_WORDS or n > 20 * HELD_WORDS:
-                    yield out(held)
-                    held, n = {}, 0
-        yield out(held)
+                if held_out:
+                    for w in set(words):
+                        if w not in of and w not in mine:
+                            mine[w] = bytearray()
+                    continue
+                classes = bytes(map(of.get, words, repeat(RARE_CLASS)))
+                padded = b"%c%s" % (END_CLASS, classes)
+                for i, c in enumerate(classes):
+                    if c == RARE_CLASS:
+                        if (got := mine.get(words[i])) is None:
+                            got = mine[words[i]] = bytearray()
+                        got += padded[i : i + 3 : 2]
+            if n > 8 * HELD_WORDS:
+                yield from out(held)
+                held, n = {}, 0
+        yield from out(held)
 
-    def out(held: dict[bytes, bytearray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array([bytes(x) for x in held.values()], pa.binary())], names=["word", "around"])
+    def out(held: dict[int, dict[bytes, bytearray]]) -> Iterator[pa.RecordBatch]:
+        for block, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(list(words.keys()), pa.binary()), pa.array([bytes(x) for x in words.values()], pa.binary())], names=["block", "word", "around"])
 
-    return rows.where("NOT held_out").select("text").mapInArrow(gather, "word binary, around binary")
+    return rows.select("block", "held_out", "text").mapInArrow(gather, "block long, word binary, around binary")
 
 
 def assign(around: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(word, n, class): every word outside the core makes one exchange against the core's class bigrams."""
+    """(block, word, n, class, lead) for each block that has a word outside the core; n: its places in all blocks.
+
+    Every such word makes one exchange against the core's class bigrams. lead marks one row of each word. Rows come
+    sorted by word; a task holds the rows of one word until it has seen all of them, as many as there are blocks at most.
+    """
     smooth = classes + 0.1
     after = np.log(smooth / smooth.sum(0, keepdims=True))  # [class, next]: how the class is drawn to what follows
     before = np.log(smooth / smooth.sum(1, keepdims=True))  # [previous, class]
     weight = after[:CLASSES].T, before[:, :CLASSES]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_word, held = None, np.zeros((2, ALL_CLASSES))
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = batch.column("word").to_pylist()
-            column = batch.column("around").cast(pa.large_binary())
-            joined = b"".join(column.to_pylist())
-            sizes = np.fromiter((len(x) // 2 for x in column.to_pylist()), np.int64, len(words))
-            codes = np.frombuffer(joined, np.uint8).reshape(-1, 2)
-            new = np.array([a != b for a, b in zip(words, [held_word, *words[:-1]], strict=True)])
-            group = np.cumsum(new)  # 0: still the word of the batch before
-            owner = np.repeat(group, sizes)
-            groups = int(group[-1]) + 1
-            left = np.bincount(owner * ALL_CLASSES + codes[:, 0], minlength=groups * ALL_CLASSES).reshape(groups, -1).astype(float)
-            right = np.bincount(owner * ALL_CLASSES + codes[:, 1], minlength=groups * ALL_CLASSES).reshape(groups, -1).astype(float)
-            left[0] += held[0]
-            right[0] += held[1]
-            names = [held_word, *[w for w, n in zip(words, new, strict=True) if n]]
-            yield pick(names[:-1], left[:-1], right[:-1])
-            held_word, held = names[-1], np.stack((left[-1], right[-1]))
-        if held_word is not None:
-            yield pick([held_word], held[:1], held[1:])
-
-    def pick(words: list[bytes], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        if words and words[0] is None:
-            words, left, right = words[1:], left[1:], right[1:]
-        n = left.sum(1).astype(np.int64)
-        best = (left @ weight[1] + right @ weight[0]).argmax(1) if len(words) else np.zeros(0, int)
-        of = np.where(n < RARE, RARE_CLASS, best)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(of, pa.int32())], names=["word", "n", "class"])
-
-    return around.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
-
-
-def block_words(rows: DataFrame, core: frozenset[bytes]) -> DataFrame:
-    """(block, word): the words outside the core that a block's texts have."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                held.setdefault(block, set()).update(text.lower().split())
-            if sum(map(len, held.values())) > 4 * HELD_WORDS:
-                yield from out(held)
-                held = {}
-        yield from out(held)
-
-    def out(held: dict[int, set[bytes]]) -> Iterator[pa.RecordBatch]:
-        for block, words in held.items():
-            words -= core
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.binary())], names=["block", "word"])
-
-    return rows.select("block", "text").mapInArrow(distinct, "block long, word binary")
-
-
-def classed(rows: DataFrame, words: DataFrame, core: dict[bytes, tuple[int, int]], totals: np.ndarray, n_all: int, v_all: int) -> DataFrame:
-    """(doc_id, held_out, classes, n_tokens, n_known, base, emission) of each text; words: (block, word, n, class) of blocks' words.
-
-    base is the add-one score of the words. A word's chance in its class is its share of the class's places; in the
-    class of words never seen there is one, so that chances add up to 1 over the known words and that one.
+            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            words = now["word"].combine_chunks().to_pylist()
+            k = len(words) - 1
+            while k and words[k - 1] == words[-1]:
+                k -= 1
+            if k:
+                yield pick(now.slice(0, k), words[:k])
+            held = now.slice(k)
+        if held is not None:
+            yield pick(held, held["word"].to_pylist())
+
+    def pick(rows: pa.Table, words: list[bytes]) -> pa.RecordBatch:
+        column = rows["around"].combine_chunks().cast(pa.large_binary())
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        codes = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2)
+        new = np.fromiter((a != b for a, b in zip(words, [None, *words[:-1]], strict=True)), bool, len(words))
+        group = np.cumsum(new) - 1
+        owner = np.repeat(group, np.diff(offsets) // 2)
+        groups = int(group[-1]) + 1
+        left = np.bincount(owner * ALL_CLASSES + codes[:, 0], minlength=groups * ALL_CLASSES).reshape(groups, -1)
+        right = np.bincount(owner * ALL_CLASSES + codes[:, 1], minlength=groups * ALL_CLASSES).reshape(groups, -1)
+        n = left.sum(1)
+        best = np.full(groups, RARE_CLASS)
+        often = np.flatnonzero(n >= RARE)
+        if len(often):
+            best[often] = (left[often] @ weight[1] + right[often] @ weight[0]).argmax(1)
+        best[n == 0] = NEW_CLASS
+        return pa.RecordBatch.from_arrays(
+            [rows["block"].combine_chunks(), rows["word"].combine_chunks(), pa.array(n[group], pa.int64()), pa.array(best[group], pa.int32()), pa.array(new)], names=["block", "word", "n", "class", "lead"]
+        )
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "block long, word binary, n long, class int, lead boolean")
+
+
+def classed(rows: DataFrame, words: DataFrame, core: dict[bytes, int]) -> DataFrame:
+    """One row a text; words: (block, word, n, class, lead) of the blocks' words outside the core.
+
+    The core's counts come last, so that a text passes on how often it has each core word.
+
+    classes: a byte a token. base and emission: sums of log10(n + 1) and log10(n) over words outside the core.
+    core_ids, core_n: the text's core words and how often. types, once: leads of the block, on one of its rows.
     """
-    log_base = lambda n: np.log10((n + 1.0) / (n_all + 1.0 * (v_all + 1)))
+    place_of = {w: i for i, w in enumerate(core)}
+    core_class = np.array(list(core.values()), np.int64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n, of = right["n"].to_numpy().astype(np.int64), right["class"].to_numpy().astype(np.int64)
-        names = right["word"].to_pylist()
-        known = list(core.items())
-        n = np.concatenate((np.array([x[1][0] for x in known], np.int64), n))
-        of = np.concatenate((np.array([x[1][1] for x in known], np.int64), of))
-        place = {w: i for i, w in enumerate([x[0] for x in known] + names)}
-        base, emit = np.append(log_base(n), log_base(0)), np.append(np.log10(np.maximum(n, 1) / np.maximum(totals[of], 1)), 0.0)
-        of = np.append(of, NEW_CLASS).astype(np.uint8)
-        new, out = len(n), []
+        lead = right["lead"].to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, bool)
+        size = len(core_class)
+        place = dict(place_of)
+        place.update(zip(right["word"].to_pylist(), range(size, size + len(n)), strict=True))
+        new = size + len(n)
+        zeros = np.zeros(size)
+        base, emit = np.concatenate((zeros, np.log10(n + 1.0), [0.0])), np.concatenate((zeros, np.log10(np.maximum(n, 1)), [0.0]))
+        known = np.concatenate((zeros, n > 0, [0.0]))
+        of = np.concatenate((core_class, of, [NEW_CLASS])).astype(np.uint8)
+        out = []
         for text in text_bytes(left["text"].combine_chunks() if left.num_rows else pa.array([], pa.string())):
-            at = np.array([place.get(w, new) for w in tokens_of(text)], np.int64)
-            out.append((of[at].tobytes(), len(at), int((at != new).sum()), float(base[at].sum()), float(emit[at].sum())))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"]} | {k: pa.array(c, t) for k, c, t in zip(("classes", "n_tokens", "n_known", "base", "emission"), columns, kinds, strict=True)})
-
-    schema = "doc_id long, held_out boolean, classes binary, n_tokens long, n_known long, base double, emission double"
+            words = tokens_of(text)
+            at = np.fromiter(map(place.get, words, repeat(new)), np.int64, len(words))
+            ids, times = np.unique(at[at < size], return_counts=True)
+            out.append((of[at].tobytes(), len(at), int(known[at].sum()), float(base[at].sum()), float(emit[at].sum()), ids.astype("<i4").tobytes(), times.astype("<i4").tobytes(), 0, 0))
+        if out:
+            out[0] = (*out[0][:7], int((lead & (n > 0)).sum()), int((lead & (n == 1)).sum()))
+        columns = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        names = ("classes", "n_tokens", "n_known", "base", "emission", "core_ids", "core_n", "types", "once")
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"]} | {k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=True)})
+
+    schema = "doc_id long, held_out boolean, classes binary, n_tokens long, n_known long, base double, emission double, core_ids binary, core_n binary, types long, once long"
     return rows.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
 
 
+def core_counts(sequences: DataFrame, size: int) -> np.ndarray:
+    """Places of each core word in the texts that are not held out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column("core_ids").to_pylist()), "<i4")
+            total += np.bincount(ids, np.frombuffer(b"".join(batch.column("core_n").to_pylist()), "<i4"), size).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+
+    out = np.zeros(size, np.int64)
+    for row in sequences.where("NOT held_out").select("core_ids", "core_n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[row["id"]] = row["n"]
+    return out
+
+
 def transitions(sequences: DataFrame) -> np.ndarray:
     """Counts of (class, next class) over the texts that are not held out; a text starts after an end."""
 
@@ -291,47 +325,53 @@ def brown_scores(df: DataFrame, scratch: Scratch, modulus: int = 7, remainder: i
     """
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", remainder_is("doc_id", modulus, remainder))
-    counts = scratch.save(word_counts(rows), "counts")
-    n_all, v_all, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    picked = [(r["word"], r["n"]) for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(CORE - 1).collect()]
-    ends = counts.where(F.col("word") == END).collect()
-    core = [bytes(w) for w, _ in picked] + [END]
-    core_n = [n for _, n in picked] + [ends[0]["n"] if ends else 0]
-    scratch.drop("counts")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    core = [w for w, _ in frequent_words(rows, CORE - 1)] + [END]
     bigrams = core_bigrams(rows, core)
-    # the end keeps a class of its own: it is exchanged as an other word is, not at all
+    # the end keeps a class of its own: it is not exchanged
     inner = np.delete(np.delete(bigrams, len(core) - 1, 0), len(core) - 1, 1)
-    of_core = {w: int(c) for w, c in zip(core, exchange(inner, CLASSES), strict=False)} | {END: END_CLASS}
+    of_core = dict(zip(core, exchange(inner, CLASSES).tolist(), strict=False)) | {END: END_CLASS}
     of = np.append(np.array([of_core[w] for w in core]), RARE_CLASS)
     class_bigrams = np.zeros((ALL_CLASSES, ALL_CLASSES))
     np.add.at(class_bigrams, (of[:, None], of[None, :]), bigrams)
-    lexicon = scratch.save(assign(contexts(rows, of_core), class_bigrams), "lexicon")
-
-    totals = np.zeros(ALL_CLASSES)
-    np.add.at(totals, of[:-1], core_n)
-    for r in lexicon.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row a class
-        totals[r["class"]] += r["n"]
-    known = {w: (n, of_core[w]) for w, n in zip(core, core_n, strict=True)}
 
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
-    asked = block_words(blocked, frozenset(core)).join(lexicon, "word").select("block", "word", "n", "class")
-    sequences = scratch.save(classed(blocked, asked, known, totals, n_all, v_all), "sequences")
-    scratch.drop("lexicon")
+    words = assign(contexts(blocked, of_core), class_bigrams)
+    sequences = scratch.save(classed(blocked, words, {w: of_core[w] for w in core}), "sequences")
+
+    in_core = core_counts(sequences, len(core))
+    pairs = transitions(sequences)
+    totals = pairs.sum(0)  # places of each class
+    n_all = int(totals.sum())
+    types, once = sequences.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
+    v_all = types + int((in_core > 0).sum())
     new_share = max(once, 1) / max(n_all + 1, 2) if once < n_all else 0.5
-    chance = smooth(transitions(sequences), new_share).ravel()
+    # a class's next, and the word's share of the class, but for the word's own count
+    chance = (smooth(pairs, new_share) - np.log10(np.maximum(totals, 1))[None, :] * (np.arange(ALL_CLASSES) != NEW_CLASS)).ravel()
+    core_base, core_emit = np.log10(in_core + 1.0), np.log10(np.maximum(in_core, 1))
+    floor = float(np.log10(n_all + 1.0 * (v_all + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            moves = []
-            for classes in batch.column("classes").to_pylist():
-                a = np.frombuffer(bytes([END_CLASS]) + classes, np.uint8).astype(np.int64)
+            base, emit, known, moves = [], [], [], []
+            for classes, ids, n in zip(batch.column("classes").to_pylist(), batch.column("core_ids").to_pylist(), batch.column("core_n").to_pylist(), strict=True):
+                a = np.frombuffer(b"%c%s" % (END_CLASS, classes), np.uint8).astype(np.int64)
                 moves.append(float(chance[a[:-1] * ALL_CLASSES + a[1:]].sum()))
-            scores = pa.array(np.array(moves) + batch.column("emission").to_numpy() if moves else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")), scores], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = sequences.select("doc_id", "held_out", "classes", "n_tokens", "n_known", "base", "emission").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+                i, n = np.frombuffer(ids, "<i4"), np.frombuffer(n, "<i4")
+                base.append(float(core_base[i] @ n))
+                emit.append(float(core_emit[i] @ n))
+                known.append(int(n[in_core[i] > 0].sum()))
+            tokens = batch.column("n_tokens").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + np.array(known, np.int64), pa.int64()),
+                    pa.array(batch.column("base").to_numpy() + np.array(base, float) - tokens * floor, pa.float64()), pa.array(batch.column("emission").to_numpy() + np.array(emit, float) + np.array(moves, float), pa.float64()),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    scored = sequences.drop("types", "once").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
