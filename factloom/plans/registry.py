@@ -6,14 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans import view_sql
+from factloom.plans.views import PUBLISHED, Views
+from factloom.sources.spine import Spine
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+_STORES: dict[tuple[str, str], Views] = {}
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    """The views over a folder, with what they have stored so far in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = Views(Spine(spark, sf_dir))
+    return _STORES[key]
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return views(spark, sf_dir).facts_current
+
+
+def _view(name: str) -> Query:
+    return lambda spark, sf_dir: getattr(views(spark, sf_dir), name)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {name: _view(name) for name in PUBLISHED}
+    found["survivor_map"] = _view("survivors")
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: view_sql.oracle(f"SELECT * FROM v_{name}") for name in PUBLISHED}
+    found["survivor_map"] = view_sql.oracle("SELECT * FROM v_survivors")
+    return found
