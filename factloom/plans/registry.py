@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.functions import temporal
+from factloom.operators import facts, graph, retrieval
 from factloom.plans import view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources.spine import Spine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
 _STORES: dict[tuple[str, str], Views] = {}
 
 
@@ -28,17 +30,214 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).facts_current
 
 
-def _view(name: str) -> Query:
-    return lambda spark, sf_dir: getattr(views(spark, sf_dir), name)
+#: Arguments of the named queries.
+PERSON, OTHER_PERSON, ACCOUNT, AT, SINCE = "C7", "C11", "U1", "1998-06-01 00:00:00", "1999-01-01 00:00:00"
+TEXT_QUERY = "public license that is under version"
+
+
+def query_vector(v: Views) -> list[float]:
+    row = v.spark_vectors.where("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]] if row else []
+
+
+def _nominations(v: Views) -> DataFrame:
+    """Ranked chunk ids of which some are gone: every tenth is not a chunk."""
+    top = retrieval.semantic_topk(v.spine["chunk_search"], query_vector(v), 50)
+    return top.select(F.when(F.col("rank") % 10 == 0, F.concat(F.lit("gone-"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def _fused(v: Views) -> DataFrame:
+    source = v.spine["chunk_search"]
+    return retrieval.reciprocal_rank_fusion([retrieval.semantic_topk(source, query_vector(v), 40), retrieval.bm25_topk(source, TEXT_QUERY, 40)], "chunk_id")
+
+
+def _items(v: Views) -> DataFrame:
+    """Relations of one person as ranked items with signals."""
+    rows = v.spine["relations"].where(F.col("subject_entity_id") == PERSON)
+    return rows.select("relation_id", F.col("confidence").alias("score"), F.when(F.col("valid_until").isNotNull(), F.length("object_entity_id").cast("double")).alias("graph_distance"), F.col("evidence_count").cast("double").alias("evidence_count"))
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
+#: Name: (query over the views, SQL over their oracle).
+def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
+    q: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {name: ((lambda v, n=name: getattr(v, n)), f"SELECT * FROM v_{name}") for name in PUBLISHED}
+    q["survivor_map"] = (lambda v: v.survivors, "SELECT * FROM v_survivors")
+    history = "SELECT * FROM v_facts_visible_history WHERE "
+    at, until = f"TIMESTAMP '{AT}'", f"TIMESTAMP '{SINCE}'"
+    mode = lambda name, **k: lambda v: v.facts_visible_history.where(temporal.fact_time(name, v.now, **{a: temporal.instant(b) for a, b in k.items()}))
+    half = f"(valid_from IS NULL OR valid_from <= {at}) AND (valid_until IS NULL OR valid_until > {at})"
+    q["facts_at"] = (mode("at", at=AT), f"{history} invalidated_at IS NULL AND {half}")
+    q["facts_overlap"] = (mode("overlap", start=AT, end=SINCE), f"{history} invalidated_at IS NULL AND (valid_from IS NULL OR valid_from <= {until}) AND (valid_until IS NULL OR valid_until > {at})")
+    q["facts_history"] = (mode("history"), f"{history} (valid_from IS NULL OR valid_from <= {view_sql.NOW})")
+    q["facts_as_of"] = (
+        lambda v: v.facts_as_of(AT, SINCE),
+        f"SELECT *, {at} AS applied_valid_at, {until} AS applied_believed_at, 'current' AS identity_regime FROM v_facts_visible_history WHERE {half} AND ingested_at <= {until} AND (invalidated_at IS NULL OR invalidated_at > {until}) ORDER BY fact_kind, fact_id LIMIT 200",
+    )
+    open_at = f"invalidated_at IS NULL AND {half}"
+    q["lookup_relations"] = (lambda v: facts.lookup_relations(v, AT, subject=PERSON, predicate="ordered"), f"SELECT relation_id, subject_entity_id, predicate, object_entity_id, fact_label, valid_from, valid_until, evidence_count FROM relations WHERE {open_at} AND subject_entity_id = '{PERSON}' AND predicate = 'ordered'")
+    late = "2024-01-15 00:00:00"
+    q["lookup_observations"] = (lambda v: facts.lookup_observations(v, ACCOUNT, late), f"SELECT observation_id, statement, valid_from, valid_until, confidence FROM observations WHERE subject_entity_id = '{ACCOUNT}' AND {open_at.replace(AT, late)}")
+    believed = "invalidated_at IS NULL"
+    q["agg_count"] = (lambda v: facts.aggregate(v, "count", predicate="ordered"), f"SELECT NULL::VARCHAR AS key, count(*) AS count, NULL::VARCHAR AS entity_id FROM relations WHERE {believed} AND predicate = 'ordered'")
+    q["agg_group_by_predicate"] = (lambda v: facts.aggregate(v, "group_by_predicate", subject=PERSON), f"SELECT predicate AS key, count(*) AS count, NULL::VARCHAR AS entity_id FROM relations WHERE {believed} AND subject_entity_id = '{PERSON}' GROUP BY 1")
+    q["agg_group_by_object"] = (
+        lambda v: facts.aggregate(v, "group_by_object", subject=PERSON, limit=20),
+        f"SELECT e.canonical_name AS key, count(*) AS count, e.entity_id FROM relations r JOIN entities e ON e.entity_id = r.object_entity_id WHERE {believed} AND subject_entity_id = '{PERSON}' GROUP BY 1, 3 ORDER BY 2 DESC, 1, 3 LIMIT 21",
+    )
+    q["agg_timeline"] = (
+        lambda v: facts.aggregate(v, "timeline", subject=PERSON),
+        f"SELECT strftime(t, '%Y') AS key, count(*) AS count, NULL::VARCHAR AS entity_id FROM (SELECT coalesce(valid_from, ingested_at) AS t FROM relations WHERE {believed} AND '{PERSON}' IN (subject_entity_id, object_entity_id) UNION ALL SELECT coalesce(valid_from, ingested_at) FROM observations WHERE {believed} AND subject_entity_id = '{PERSON}') GROUP BY 1",
+    )
+    q["agg_delta_top_entities"] = (
+        lambda v: facts.aggregate(v, "delta_top_entities", since=SINCE, limit=20),
+        f"SELECT e.canonical_name AS key, count(*) AS count, e.entity_id FROM (SELECT subject_entity_id AS s FROM relations WHERE ingested_at > {until} UNION ALL SELECT subject_entity_id FROM observations WHERE ingested_at > {until}) JOIN entities e ON e.entity_id = s GROUP BY 1, 3 ORDER BY 2 DESC, 1, 3 LIMIT 21",
+    )
+    q["agg_typed_absence"] = (
+        lambda v: facts.aggregate(v, "typed_absence", entity_type="product", predicate="ordered", limit=40),
+        "SELECT canonical_name AS key, 1::BIGINT AS count, entity_id FROM entities WHERE status = 'active' AND type = 'product' ORDER BY 1, 3 LIMIT 41",
+    )
+    feed = f"""
+        feed AS (
+          SELECT 'relation' AS kind, 'new' AS change, relation_id AS id, coalesce(fact_label, predicate) AS label, ingested_at AS at_ FROM relations UNION ALL SELECT 'relation', 'invalidated', relation_id, coalesce(fact_label, predicate), invalidated_at FROM relations
+          UNION ALL SELECT 'relation', 'capped', r.relation_id, coalesce(fact_label, predicate), a.decided_at FROM relations r JOIN relation_adjudications a USING (relation_id) WHERE a.outcome = 'supersede'
+          UNION ALL SELECT 'observation', 'new', observation_id, statement, ingested_at FROM observations UNION ALL SELECT 'observation', 'invalidated', observation_id, statement, invalidated_at FROM observations
+          UNION ALL SELECT 'observation', 'capped', o.observation_id, statement, a.decided_at FROM observations o JOIN observation_adjudications a USING (observation_id) WHERE a.outcome = 'supersede'
+          UNION ALL SELECT 'claim', 'new', claim_id, substr(claim_text, 1, 80), ingested_at FROM claims UNION ALL SELECT 'page', 'recompiled', artifact_id, NULL, compiled_at FROM knowledge_compilations)"""
+    q["delta_feed"] = (lambda v: facts.delta_feed(v, SINCE, limit=300), f"WITH {feed} SELECT kind, change, id, label, at_ AS at FROM feed WHERE at_ > {until} ORDER BY at_ DESC, id DESC LIMIT 301")
+    cursor_at, cursor_id = "2001-01-01 00:00:00", "ordered:C9"
+    q["delta_page2"] = (
+        lambda v: facts.delta_feed(v, SINCE, kinds=["relation", "page"], limit=300, cursor=facts.encode_cursor(cursor_at, cursor_id)),
+        f"WITH {feed} SELECT kind, change, id, label, at_ AS at FROM feed WHERE at_ > {until} AND kind IN ('relation', 'page') AND (at_ < TIMESTAMP '{cursor_at}' OR at_ = TIMESTAMP '{cursor_at}' AND id < '{cursor_id}') ORDER BY at_ DESC, id DESC LIMIT 301",
+    )
+    q["scan_relations"] = (lambda v: facts.scan(v, "relation"), "SELECT relation_id AS id, coalesce(fact_label, predicate) AS label, ingested_at AS at FROM relations")
+    q["scan_observations"] = (lambda v: facts.scan(v, "observation"), "SELECT observation_id AS id, statement AS label, ingested_at AS at FROM observations")
+    q["scan_claims"] = (lambda v: facts.scan(v, "claim"), "SELECT claim_id AS id, substr(claim_text, 1, 120) AS label, ingested_at AS at FROM claims")
+    q["documents_about"] = (
+        lambda v: facts.documents_about(v, "S3"),
+        "WITH g AS (SELECT d.doc_id, d.title, d.source_kind, count(DISTINCT m.mention_id) AS mention_count, min(m.created_at) AS first_mentioned_at, max(m.created_at) AS last_mentioned_at FROM resolution_decisions r JOIN mentions m USING (mention_id) JOIN documents d USING (doc_id) WHERE r.entity_id = 'S3' AND r.superseded_by IS NULL AND d.deleted_at IS NULL GROUP BY 1, 2, 3) SELECT *, count(*) OVER () AS total_count FROM g ORDER BY mention_count DESC, last_mentioned_at DESC, doc_id LIMIT 20",
+    )
+    q["claims_about"] = (
+        lambda v: facts.claims_about(v, "S3"),
+        "WITH g AS (SELECT DISTINCT c.claim_id, c.asserted_at, c.ingested_at FROM resolution_decisions r JOIN mentions m USING (mention_id) JOIN chunk_claims k ON k.chunk_id = m.chunk_id JOIN claims c ON c.claim_id = k.claim_id JOIN documents d ON d.doc_id = c.doc_id WHERE r.entity_id = 'S3' AND r.superseded_by IS NULL AND c.is_current_testimony AND d.deleted_at IS NULL) SELECT claim_id, count(*) OVER () AS total_count FROM g ORDER BY asserted_at DESC NULLS LAST, ingested_at DESC, claim_id LIMIT 20",
+    )
+    q["claims_as_of"] = (
+        lambda v: facts.claims_as_of(v, AT, SINCE),
+        f"SELECT c.claim_id, c.claim_valid_from, count(*) OVER () AS total_count, (SELECT count(*) FROM claims WHERE claim_valid_precision = 'unknown') AS unstamped_count FROM claims c JOIN documents d USING (doc_id) WHERE d.deleted_at IS NULL AND claim_valid_precision <> 'unknown' AND claim_valid_from <= {until} AND (claim_valid_until IS NULL OR claim_valid_until >= {at}) ORDER BY claim_valid_from DESC, claim_id LIMIT 20",
+    )
+    q["chunk_neighbors"] = (lambda v: facts.chunk_neighbors(v, "K2-2", 2), "SELECT chunk_id, ordinal FROM chunks WHERE version_id = (SELECT version_id FROM v_chunks_live WHERE chunk_id = 'K2-2') AND ordinal BETWEEN 0 AND 4")
+    for kind, stored in (("relation", "evidence_count, contradict_count"), ("observation", "1 AS evidence_count, 0 AS contradict_count")):
+        q[f"recount_{kind}s"] = (
+            lambda v, k=kind: facts.recount(v, k),
+            f"WITH f AS (SELECT e.{kind}_id, count(DISTINCT e.doc_id) FILTER (WHERE stance = 'supports' AND is_current_testimony) AS s, count(DISTINCT e.doc_id) FILTER (WHERE stance = 'contradicts' AND is_current_testimony) AS c FROM {kind}_evidence e JOIN claims USING (claim_id) GROUP BY 1), b AS (SELECT {kind}_id, {stored} FROM {kind}s) SELECT b.{kind}_id, coalesce(s, 0) AS supports, coalesce(c, 0) AS contradicts FROM b LEFT JOIN f USING ({kind}_id) WHERE evidence_count <> coalesce(s, 0) OR contradict_count <> coalesce(c, 0)",
+        )
+    carried = "carried AS (SELECT DISTINCT k.claim_id FROM chunk_claims k JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = c.doc_id AND d.current_version_id = c.version_id), origin AS (SELECT cl.*, c.version_id AS from_version_id, d.current_version_id FROM claims cl JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = cl.doc_id)"
+    q["currency_stale"] = (facts.stale_superseded, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin WHERE is_current_testimony AND from_version_id <> current_version_id AND claim_id NOT IN (SELECT claim_id FROM carried)")
+    q["currency_regained"] = (facts.regained, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin WHERE NOT is_current_testimony AND (from_version_id = current_version_id OR claim_id IN (SELECT claim_id FROM carried))")
+    q["zero_support"] = (
+        lambda v: facts.zero_support(v, SINCE),
+        f"SELECT relation_id, {until} AS valid_until FROM relations r WHERE {believed} AND (valid_until IS NULL OR valid_until > {until}) AND relation_id NOT IN (SELECT e.relation_id FROM relation_evidence e JOIN claims c USING (claim_id) WHERE stance = 'supports' AND is_current_testimony) AND relation_id NOT IN (SELECT candidate ->> '$.fact_id' FROM review_queue WHERE status IN ('pending', 'deferred'))",
+    )
+    q["supersede_windows"] = (
+        lambda v: facts.supersede_windows(v, "ordered"),
+        f"""WITH a AS (SELECT relation_id, min(asserted_at) AS asserted_at FROM relation_evidence JOIN claims USING (claim_id) WHERE stance = 'supports' GROUP BY 1),
+        n AS (SELECT r.relation_id, r.valid_until, s.survivor_entity_id AS s, o.survivor_entity_id AS o, a.asserted_at FROM relations r JOIN v_survivors s ON s.entity_id = r.subject_entity_id JOIN v_survivors o ON o.entity_id = r.object_entity_id LEFT JOIN a USING (relation_id) WHERE predicate = 'ordered' AND {believed}),
+        w AS (SELECT *, lead(o) OVER l AS next_o, lead(asserted_at) OVER l AS b, lead(relation_id) OVER l AS next_id FROM n WINDOW l AS (PARTITION BY s ORDER BY asserted_at NULLS LAST, relation_id))
+        SELECT relation_id, next_id AS superseded_by, b AS valid_until FROM w WHERE b IS NOT NULL AND next_o <> o AND (valid_until IS NULL OR b < valid_until)""",
+    )
+    fact_ids = [f"located_in:C{c}:N{n}" for c in range(1, 12) for n in range(25)]
+    q["fact_evidence"] = (
+        lambda v: facts.fact_evidence(v, fact_ids),
+        f"""WITH f AS (SELECT unnest({fact_ids}) AS fact_id, unnest(range(1, {len(fact_ids) + 1})) AS place),
+        r AS (SELECT l.fact_id, l.stance, l.doc_id, l.representative_claim_id, f.place, row_number() OVER (PARTITION BY l.fact_id, l.stance ORDER BY asserted_to DESC NULLS LAST, doc_id, representative_claim_id) AS rank, count(*) OVER (PARTITION BY l.fact_id, l.stance) AS stance_total FROM v_evidence_lineage l JOIN f USING (fact_id))
+        SELECT fact_id, stance, doc_id, representative_claim_id, CAST(rank AS INTEGER) AS rank, stance_total FROM r WHERE rank <= 3 ORDER BY rank, place, stance DESC LIMIT 60""",
+    )
+    q["contradiction_members"] = (facts.contradiction_members, "SELECT contradiction_group, fact_kind, fact_id, CAST(row_number() OVER w AS INTEGER) AS place, count(*) OVER (PARTITION BY contradiction_group) AS members FROM v_contradiction_members_current WINDOW w AS (PARTITION BY contradiction_group ORDER BY fact_kind, fact_id) QUALIFY row_number() OVER w <= 25")
+    window = "to_timestamp(floor(epoch_us(occurred_at) / 86400000000) * 86400)::TIMESTAMP AS window_start"
+    q["budget_window"] = (lambda v: facts.budget_window(v, 86400), f"SELECT {window}, stage, lane, sum(cost_usd)::DOUBLE AS cost_usd, count(*) AS receipts FROM cost_ledger GROUP BY ALL")
+    q["budget_by_tier"] = (lambda v: facts.budget_window(v, 86400, by_tier=True), f"SELECT {window}, stage, lane, tier, sum(cost_usd)::DOUBLE AS cost_usd, count(*) AS receipts FROM cost_ledger GROUP BY ALL")
+    receipts = "SELECT occurred_at, 'worker' AS source, cost_id, cost_usd::DOUBLE AS cost_usd FROM cost_ledger UNION ALL SELECT occurred_at, 'surface', cost_id, cost_usd::DOUBLE FROM surface_cost_ledger"
+    after = ("2024-01-10 00:00:00", "surface", "")
+    q["cost_receipts"] = (lambda v: facts.cost_receipts(v, "2024-01-20 00:00:00", after), f"WITH r AS ({receipts}) SELECT * FROM r WHERE occurred_at <= TIMESTAMP '2024-01-20' AND (occurred_at, source, cost_id) > (TIMESTAMP '{after[0]}', 'surface', '') ORDER BY occurred_at, source, cost_id LIMIT 100")
+    q["review_pending"] = (facts.review_pending, "SELECT review_id, status, expected_impact, created_at FROM review_queue WHERE status IN ('pending', 'deferred') ORDER BY expected_impact DESC, created_at, review_id LIMIT 20")
+    q["dead_letters"] = (facts.dead_letters, "SELECT stage, regexp_extract(string_split(last_error, chr(10))[-1], '^([A-Za-z_.]+)', 1) AS error_class, count(*) AS units, max(enqueued_at) AS last_enqueued_at FROM processing_state WHERE status = 'dead' GROUP BY 1, 2")
+    q["quarantine_report"] = (
+        facts.quarantine,
+        """SELECT 'claims_without_chunk' AS probe, count(*) AS rows FROM claims WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks) UNION ALL SELECT 'chunks_without_version', count(*) FROM chunks WHERE version_id NOT IN (SELECT version_id FROM document_versions)
+        UNION ALL SELECT 'mentions_without_decision', count(*) FROM mentions WHERE mention_id NOT IN (SELECT mention_id FROM resolution_decisions) UNION ALL SELECT 'entities_without_survivor', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM v_survivors)
+        UNION ALL SELECT 'relations_without_evidence', count(*) FROM relations WHERE relation_id NOT IN (SELECT relation_id FROM relation_evidence)""",
+    )
+    q["transcript_entity"] = (
+        lambda v: facts.transcript(v, "entity", "S3"),
+        "WITH t AS (SELECT decision_id AS event_id, 'resolution' AS event, method AS outcome, decided_at FROM resolution_decisions WHERE entity_id = 'S3' UNION ALL SELECT merge_id, 'merge', CASE WHEN reversed_by IS NULL THEN 'merge' ELSE 'unmerge' END, decided_at FROM merge_events WHERE 'S3' IN (survivor_id, absorbed_id)) SELECT * FROM t ORDER BY decided_at DESC, event_id LIMIT 40",
+    )
+    # ranking
+    cos = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+    semantic = lambda k: f"SELECT c.chunk_id, {cos} AS score, row_number() OVER (ORDER BY {cos} DESC, c.chunk_id) AS rank FROM chunk_search c, (SELECT embedding FROM main.embeddings WHERE vec_id = 0) q WHERE c.embedding IS NOT NULL QUALIFY rank <= {k}"
+    asked = sorted(set(TEXT_QUERY.split()))
+    bm25 = lambda k: f"""SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (
+        SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM (
+          SELECT *, count(*) OVER (PARTITION BY t) AS df FROM (SELECT chunk_id, length, t, len(list_filter(w, lambda x: x = t)) AS tf FROM words, (SELECT unnest({asked}) AS t)) WHERE tf > 0), (SELECT count(*) AS n, avg(length) AS mean FROM words) GROUP BY 1) QUALIFY rank <= {k}"""
+    words = "words AS (SELECT chunk_id, w, len(w) AS length FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(search_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM chunk_search))"
+    q["semantic_topk"] = (lambda v: _rounded(retrieval.semantic_topk(v.spine["chunk_search"], query_vector(v), 20), "score"), f"SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({semantic(20)})")
+    q["bm25_topk"] = (lambda v: _rounded(retrieval.bm25_topk(v.spine["chunk_search"], TEXT_QUERY, 20), "score"), f"WITH {words} SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({bm25(20)})")
+    fused = f"WITH {words}, fused AS (SELECT chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT chunk_id, rank FROM ({semantic(40)}) UNION ALL SELECT chunk_id, rank FROM ({bm25(40)})) GROUP BY 1)"
+    q["hybrid_rrf"] = (lambda v: _rounded(_fused(v).drop("signals"), "score"), f"{fused} SELECT chunk_id, round(score, 6) AS score FROM fused")
+    q["testimony_chunks"] = (
+        lambda v: _rounded(retrieval.testimony_chunks(v, query_vector(v), TEXT_QUERY, 15, 40), "score"),
+        f"{fused} SELECT f.chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, k.doc_id, k.version_id FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM fused) f JOIN v_chunks_live k USING (chunk_id) ORDER BY rank LIMIT 15",
+    )
+    q["confirm_nominations"] = (
+        lambda v: retrieval.confirm(_nominations(v), v.chunks_live, "chunk_id", F.col("chunk_id") > "KD5"),
+        f"SELECT n.chunk_id, CAST(n.rank AS INTEGER) AS rank, round(n.score, 6) AS score, CASE WHEN k.chunk_id IS NULL THEN 'dropped_stale' WHEN k.chunk_id > 'KD5' THEN 'kept' ELSE 'dropped_filtered' END AS outcome FROM (SELECT CASE WHEN rank % 10 = 0 THEN 'gone-' || chunk_id ELSE chunk_id END AS chunk_id, rank, score FROM ({semantic(50)})) n LEFT JOIN v_chunks_live k USING (chunk_id)",
+    )
+    items = f"items AS (SELECT relation_id, confidence AS score, CASE WHEN valid_until IS NOT NULL THEN length(object_entity_id)::DOUBLE END AS graph_distance, evidence_count::DOUBLE AS evidence_count FROM relations WHERE subject_entity_id = '{PERSON}')"
+    q["rerank_evidence"] = (lambda v: retrieval.rerank_by_signal(_items(v), "evidence_count", "relation_id"), f"WITH {items} SELECT relation_id, coalesce(evidence_count, score) AS score, graph_distance, evidence_count FROM items")
+    q["rerank_weighted"] = (
+        lambda v: _rounded(retrieval.rerank_weighted(_items(v), "relation_id"), "score"),
+        f"""WITH {items}, b AS (SELECT max(score) AS hs, min(graph_distance) AS lg, max(graph_distance) AS hg, min(evidence_count) AS le, max(evidence_count) AS he FROM items)
+        SELECT relation_id, round(greatest(score, 0) / hs + 0.1 * CASE WHEN graph_distance IS NULL THEN 0 WHEN lg = hg THEN 1 ELSE (hg - graph_distance) / (hg - lg) END + 0.1 * CASE WHEN le = he THEN 1 ELSE (evidence_count - le) / (he - le) END, 6) AS score, graph_distance, evidence_count FROM items, b""",
+    )
+    q["resolve"] = (
+        lambda v: retrieval.resolve(v, "Hot Gear", context=(PERSON, OTHER_PERSON)),
+        f"""WITH e AS (SELECT subject_entity_id AS a, object_entity_id AS b FROM v_graph_edges_current UNION ALL SELECT object_entity_id, subject_entity_id FROM v_graph_edges_current)
+        SELECT c.entity_id, c.canonical_name, c.entity_type, (SELECT count(DISTINCT b) FROM e WHERE a = c.entity_id AND b IN ('{PERSON}', '{OTHER_PERSON}')) AS context_hits FROM v_entities_current c WHERE entity_id IN (SELECT entity_id FROM v_entity_aliases_current WHERE normalized_lemma = 'hot gear')""",
+    )
+    # graph
+    e = "e AS MATERIALIZED (SELECT relation_id AS id, subject_entity_id AS a, object_entity_id AS b FROM v_graph_edges_current UNION ALL SELECT relation_id, object_entity_id, subject_entity_id FROM v_graph_edges_current WHERE subject_entity_id <> object_entity_id)"
+    walk = lambda start, depth: f"w AS (SELECT 0 AS hop, []::VARCHAR[] AS r, ['{start}'] AS n UNION ALL SELECT hop + 1, list_append(r, id), list_append(n, b) FROM w JOIN e ON e.a = n[-1] WHERE hop < {depth} AND NOT list_contains(r, id) AND NOT list_contains(n, b))"
+    q["neighborhood_2hop"] = (lambda v: graph.neighborhood(graph.edges_of(v), PERSON, 2, None), f"WITH RECURSIVE {e}, {walk(PERSON, 2)} SELECT n[-1] AS node, CAST(min(hop) AS INTEGER) AS hops FROM w WHERE hop > 0 GROUP BY 1")
+    q["graph_neighborhood"] = (
+        lambda v: graph.graph_neighborhood(graph.edges_of(v), PERSON, 2, 100),
+        f"WITH RECURSIVE {e}, {walk(PERSON, 2)} SELECT CAST(hop AS INTEGER) AS hop, n[-2] AS from_entity_id, n[-1] AS to_entity_id, r[-1] AS relation_id, CAST(row_number() OVER (ORDER BY hop, r[-1], n[-1], n[-2]) AS INTEGER) AS path_id FROM w WHERE hop > 0 QUALIFY path_id <= 100",
+    )
+    stop = walk(PERSON, 4).replace("WHERE hop", f"WHERE n[-1] <> '{OTHER_PERSON}' AND hop")
+    q["graph_path"] = (
+        lambda v: graph.graph_path(graph.edges_of(v), PERSON, OTHER_PERSON, 4, 3),
+        f"WITH RECURSIVE {e}, {stop}, p AS (SELECT r, n, row_number() OVER (ORDER BY hop, r) AS path_id FROM w WHERE n[-1] = '{OTHER_PERSON}' QUALIFY path_id <= 3) SELECT CAST(path_id AS INTEGER) AS path_id, CAST(i AS INTEGER) AS path_position, n[i] AS from_entity_id, n[i + 1] AS to_entity_id, r[i] AS relation_id FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM p)",
+    )
+    q["shortest_path"] = (lambda v: graph.shortest_path(graph.edges_of(v), PERSON, OTHER_PERSON, 4), f"WITH RECURSIVE {e}, {stop} SELECT CAST(hop AS INTEGER) AS length, r AS relations, n AS nodes FROM w WHERE n[-1] = '{OTHER_PERSON}' ORDER BY hop, r LIMIT 1")
+    q["citation_path"] = (
+        lambda v: graph.citation_path(v.document_crossrefs_live, "T1-3", "T1-0"),
+        "WITH RECURSIVE c AS (SELECT 0 AS hop, ['T1-3'] AS n UNION ALL SELECT hop + 1, list_append(n, to_doc_id) FROM c JOIN v_document_crossrefs_live r ON r.from_doc_id = n[-1] WHERE hop < 6 AND NOT list_contains(n, to_doc_id)) SELECT CAST(hop AS INTEGER) AS length, n AS nodes FROM c WHERE n[-1] = 'T1-0' ORDER BY hop, n LIMIT 1",
+    )
+    q["degrees"] = (lambda v: graph.degrees(graph.edges_of(v)), "SELECT x AS node, count(*) AS degree FROM (SELECT subject_entity_id AS x FROM v_graph_edges_current UNION ALL SELECT object_entity_id FROM v_graph_edges_current) GROUP BY 1")
+    links = "l AS MATERIALIZED (SELECT DISTINCT subject_entity_id AS a, object_entity_id AS b FROM v_graph_edges_current), o AS (SELECT a, count(*) AS ways FROM l GROUP BY 1), nodes AS MATERIALIZED (SELECT x, ways FROM (SELECT a AS x FROM l UNION SELECT b FROM l) LEFT JOIN o ON o.a = x)"
+    steps = "r0 AS (SELECT x, ways, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"
+    for i in range(10):
+        steps += f", r{i + 1} AS MATERIALIZED (SELECT x, ways, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce((SELECT sum(r) FROM r{i} WHERE ways IS NULL), 0) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g, 0) AS r FROM nodes LEFT JOIN (SELECT l.b, sum(p.r / p.ways) AS g FROM l JOIN r{i} p ON p.x = l.a GROUP BY 1) ON b = x)"
+    q["pagerank_10"] = (lambda v: _rounded(graph.pagerank(graph.edges_of(v)).withColumn("rank", F.col("rank") * 1e3), "rank"), f"WITH {links}, {steps} SELECT x AS node, round(r * 1e3, 6) AS rank FROM r10")
+    q["weak_components"] = (lambda v: graph.weak_components(graph.edges_of(v)), None)
+    q["core_numbers"] = (lambda v: graph.core_numbers(graph.edges_of(v)), None)
+    q["communities"] = (lambda v: graph.communities(graph.edges_of(v)), None)
+    return q
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {name: _view(name) for name in PUBLISHED}
-    found["survivor_map"] = _view("survivors")
-    return found
+    return {name: (lambda spark, sf_dir, f=f: f(views(spark, sf_dir))) for name, (f, _) in catalog().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: view_sql.oracle(f"SELECT * FROM v_{name}") for name in PUBLISHED}
-    found["survivor_map"] = view_sql.oracle("SELECT * FROM v_survivors")
-    return found
+    return {name: view_sql.oracle(sql) for name, (_, sql) in catalog().items() if sql}

@@ -30,6 +30,11 @@ class Views:
     def __init__(self, spine: Spine, evaluated_at: str = "2000-01-01 00:00:00"):
         self.spine, self.now = spine, temporal.instant(evaluated_at)
 
+    @property
+    def spark_vectors(self) -> DataFrame:
+        """The raw vectors (vec_id, embedding), from which test queries take theirs."""
+        return self.spine.spark.read.parquet(f"{self.spine.sf_dir}/embeddings.parquet")
+
     # documents
 
     @cached_property
