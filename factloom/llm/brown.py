@@ -6,22 +6,25 @@ those classes, from the classes that it stands between in the whole corpus; word
 words never seen. A text's probability is the product over its words, and one end, of the chance of the word's class
 after the class before, and of the word in its class; both are smoothed.
 
-Words that are not in the core come without bound, so no task and no driver holds them all: texts are dealt to blocks,
-a block's words meet those of the other blocks word by word, and come back to it with their counts and classes.
+Words that are not in the core come without bound, so no task and no driver holds them all: texts that follow one
+another make a block, a block's words meet those of the other blocks in buckets of words, and their counts and classes
+come back to it. What moves is packed: a row for each block and bucket.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, remainder_is, table, text_bytes
+from factloom.llm.common import Scratch, remainder_is, sorted_groups, table, text_bytes
 
 CORE = 1_024
 CLASSES = 48
@@ -43,8 +46,55 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
-def frequent_words(rows: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words of the rows that are not held out, with their counts there.
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """(block, texts, info): texts that follow one another in a task, BLOCK_BYTES of them or one that is longer.
+
+    texts: the whole texts, compressed; info: an Arrow stream of doc_id, held_out and the texts' sizes. block is unique.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for doc, held_out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                kept.append((doc, held_out, text))
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    yield out(kept)
+                    kept, size = [], 0
+        if kept:
+            yield out(kept)
+
+    def out(kept: list[tuple]) -> pa.RecordBatch:
+        docs, held_out, texts = zip(*kept, strict=True)
+        info = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(map(len, texts), pa.int64())], names=["doc_id", "held_out", "size"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, info.schema) as writer:
+            writer.write_batch(info)
+        packed = zstandard.ZstdCompressor(3).compress(b"".join(texts))
+        return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["texts", "info"])
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "texts binary, info binary").select(F.monotonically_increasing_id().alias("block"), "texts", "info")
+
+
+def unpack(texts: bytes, info: bytes) -> tuple[pa.RecordBatch, list[bytes]]:
+    """The block's info, and its texts."""
+    got = pa.ipc.open_stream(info).read_next_batch()
+    joined = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, sum(got.column("size").to_pylist())))
+    ends = np.cumsum(got.column("size").to_numpy()).tolist()
+    return got, [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def learned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Texts of the blocks that are not held out."""
+    for batch in batches:
+        for texts, info in zip(batch.column("texts").to_pylist(), batch.column("info").to_pylist(), strict=True):
+            got, all_texts = unpack(texts, info)
+            yield from (t for t, out in zip(all_texts, got.column("held_out").to_pylist(), strict=True) if not out)
+
+
+def frequent_words(blocks: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words of the texts that are not held out, with their counts there.
 
     A task passes on the words that are a 100,000th of its tokens or more, of which there are 100,000 at most: the count
     of a word may lack what tasks hold where it is rarer. Exact counts come later, this one only orders the core.
@@ -53,40 +103,38 @@ def frequent_words(rows: DataFrame, most: int) -> list[tuple[bytes, int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         n = 0
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                words = text.lower().split()
-                held.update(words)
-                n += len(words)
-                if len(held) > HELD_WORDS:
-                    yield out(held, n)
-                    held.clear()
-                    n = 0
+        for text in learned_texts(batches):
+            words = text.lower().split()
+            held.update(words)
+            n += len(words)
+            if len(held) > HELD_WORDS:
+                yield out(held, n)
+                held.clear()
+                n = 0
         yield out(held, n)
 
     def out(held: Counter[bytes], n: int) -> pa.RecordBatch:
         kept = {w: c for w, c in held.items() if c * 100_000 >= n}
         return pa.RecordBatch.from_arrays([pa.array(list(kept.keys()), pa.binary()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
 
-    counts = rows.where("NOT held_out").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = blocks.select("texts", "info").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def core_bigrams(rows: DataFrame, core: list[bytes]) -> np.ndarray:
+def core_bigrams(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
     """Counts of (word, next word) over core places; place len(core) is any other word. A line starts after an end."""
     size = len(core) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(core)}
         end, other, total = place[END], len(core), np.zeros(size * size, np.int64)
-        for batch in batches:
-            ids: list[int] = [end]
-            for text in text_bytes(batch.column("text")):
-                ids.extend([place.get(w, other) for w in tokens_of(text)])
-                if len(ids) > 1_000_000:
-                    add(total, ids)
-                    ids = [end]
-            add(total, ids)
+        ids: list[int] = [end]
+        for text in learned_texts(batches):
+            ids.extend(map(place.get, tokens_of(text), repeat(other)))
+            if len(ids) > 1_000_000:
+                add(total, ids)
+                ids = [end]
+        add(total, ids)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["pair", "n"])
 
@@ -95,7 +143,7 @@ def core_bigrams(rows: DataFrame, core: list[bytes]) -> np.ndarray:
         pair, n = np.unique(a[:-1] * size + a[1:], return_counts=True)
         total[pair] += n
 
-    counted = rows.where("NOT held_out").select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = blocks.select("texts", "info").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # (CORE + 1) squared rows at most
     out = np.zeros(size * size)
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
@@ -144,47 +192,59 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of[:size]
 
 
-def contexts(rows: DataFrame, of: dict[bytes, int]) -> DataFrame:
-    """(block, word, around): for words outside the core, the classes before and after each place that is not held out,
-    two bytes a place. A block's texts have the word even where around is empty."""
+def block_words(texts: list[bytes], core: dict[bytes, int], buckets: int) -> list[list[bytes]]:
+    """The words outside the core that the texts have, sorted, by bucket: the same wherever it is asked."""
+    found: set[bytes] = set()
+    for text in texts:
+        found.update(text.lower().split())
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in sorted(found.difference(core)):
+        out[zlib.crc32(w) % buckets].append(w)
+    return out
+
+
+def contexts(blocks: DataFrame, of: dict[bytes, int], buckets: int) -> DataFrame:
+    """(bucket, block, words, times, around): a block's words outside the core that fall into a bucket, packed.
+
+    words: sorted, a line each; times: how many places that are not held out each has, four bytes; around: the classes
+    before and after each place, two bytes a place, word by word.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, bytearray]] = {}
-        n = 0
         for batch in batches:
-            for block, held_out, text in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                words = tokens_of(text)
-                mine = held.setdefault(block, {})
-                n += len(words)
-                if held_out:
-                    for w in set(words):
-                        if w not in of and w not in mine:
-                            mine[w] = bytearray()
-                    continue
-                classes = bytes(map(of.get, words, repeat(RARE_CLASS)))
-                padded = b"%c%s" % (END_CLASS, classes)
-                for i, c in enumerate(classes):
-                    if c == RARE_CLASS:
-                        if (got := mine.get(words[i])) is None:
-                            got = mine[words[i]] = bytearray()
-                        got += padded[i : i + 3 : 2]
-            if n > 8 * HELD_WORDS:
-                yield from out(held)
-                held, n = {}, 0
-        yield from out(held)
-
-    def out(held: dict[int, dict[bytes, bytearray]]) -> Iterator[pa.RecordBatch]:
-        for block, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(list(words.keys()), pa.binary()), pa.array([bytes(x) for x in words.values()], pa.binary())], names=["block", "word", "around"])
-
-    return rows.select("block", "held_out", "text").mapInArrow(gather, "block long, word binary, around binary")
+            for block, texts, info in zip(batch.column("block").to_pylist(), batch.column("texts").to_pylist(), batch.column("info").to_pylist(), strict=True):
+                got, all_texts = unpack(texts, info)
+                words = block_words(all_texts, of, buckets)
+                size = sum(map(len, words))
+                place = dict(zip((w for part in words for w in part), range(size), strict=True))
+                at, near = [], []
+                for text, out in zip(all_texts, got.column("held_out").to_pylist(), strict=True):
+                    if not out:
+                        tokens = tokens_of(text)
+                        classes = np.frombuffer(b"%c%s%c" % (END_CLASS, bytes(map(of.get, tokens, repeat(RARE_CLASS))), END_CLASS), np.uint8)
+                        mine = np.fromiter(map(place.get, tokens, repeat(-1)), np.int32, len(tokens))
+                        seen = np.flatnonzero(mine >= 0)
+                        at.append(mine[seen])
+                        near.append(np.stack((classes[seen], classes[seen + 2]), 1))
+                at = np.concatenate(at) if at else np.zeros(0, np.int32)
+                near = np.concatenate(near)[np.argsort(at, kind="stable")] if len(at) else np.zeros((0, 2), np.uint8)
+                times = np.bincount(at, minlength=size)
+                ends = np.concatenate(([0], np.cumsum(times)))
+                cuts = np.cumsum([0, *map(len, words)]).tolist()
+                pieces = [(b, block, b"\n".join(words[b]), times[x:y].astype("<i4").tobytes(), near[ends[x] : ends[y]].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                columns = list(zip(*pieces, strict=True)) or [()] * 5
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "words", "times", "around"])
+
+    return blocks.mapInArrow(gather, "bucket int, block long, words binary, times binary, around binary")
 
 
 def assign(around: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(block, word, n, class, lead) for each block that has a word outside the core; n: its places in all blocks.
+    """(block, bucket, n, class, types, once): for a block's words of a bucket, in order, their places in all blocks and
+    their classes. types, once: words of the bucket that have places, and that have one, on one of its rows.
 
-    Every such word makes one exchange against the core's class bigrams. lead marks one row of each word. Rows come
-    sorted by word; a task holds the rows of one word until it has seen all of them, as many as there are blocks at most.
+    Every such word makes one exchange against the core's class bigrams. A bucket holds so many words as the number of
+    buckets leaves it, which grows with the corpus; its rows are read twice, the first time to add up.
     """
     smooth = classes + 0.1
     after = np.log(smooth / smooth.sum(0, keepdims=True))  # [class, next]: how the class is drawn to what follows
@@ -192,82 +252,79 @@ def assign(around: DataFrame, classes: np.ndarray) -> DataFrame:
     weight = after[:CLASSES].T, before[:, :CLASSES]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            words = now["word"].combine_chunks().to_pylist()
-            k = len(words) - 1
-            while k and words[k - 1] == words[-1]:
-                k -= 1
-            if k:
-                yield pick(now.slice(0, k), words[:k])
-            held = now.slice(k)
-        if held is not None:
-            yield pick(held, held["word"].to_pylist())
-
-    def pick(rows: pa.Table, words: list[bytes]) -> pa.RecordBatch:
-        column = rows["around"].combine_chunks().cast(pa.large_binary())
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        codes = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2)
-        new = np.fromiter((a != b for a, b in zip(words, [None, *words[:-1]], strict=True)), bool, len(words))
-        group = np.cumsum(new) - 1
-        owner = np.repeat(group, np.diff(offsets) // 2)
-        groups = int(group[-1]) + 1
-        left = np.bincount(owner * ALL_CLASSES + codes[:, 0], minlength=groups * ALL_CLASSES).reshape(groups, -1)
-        right = np.bincount(owner * ALL_CLASSES + codes[:, 1], minlength=groups * ALL_CLASSES).reshape(groups, -1)
-        n = left.sum(1)
-        best = np.full(groups, RARE_CLASS)
-        often = np.flatnonzero(n >= RARE)
-        if len(often):
-            best[often] = (left[often] @ weight[1] + right[often] @ weight[0]).argmax(1)
-        best[n == 0] = NEW_CLASS
-        return pa.RecordBatch.from_arrays(
-            [rows["block"].combine_chunks(), rows["word"].combine_chunks(), pa.array(n[group], pa.int64()), pa.array(best[group], pa.int32()), pa.array(new)], names=["block", "word", "n", "class", "lead"]
-        )
-
-    return around.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "block long, word binary, n long, class int, lead boolean")
-
-
-def classed(rows: DataFrame, words: DataFrame, core: dict[bytes, int]) -> DataFrame:
-    """One row a text; words: (block, word, n, class, lead) of the blocks' words outside the core.
+        for bucket, rows in sorted_groups(batches, "bucket"):
+            place: dict[bytes, int] = {}
+            mine = []
+            for words in rows["words"].to_pylist():
+                listed = words.split(b"\n")
+                for w in listed:
+                    place.setdefault(w, len(place))
+                mine.append(np.fromiter(map(place.__getitem__, listed), np.int64, len(listed)))
+            size = len(place)
+            del place
+            left, right = np.zeros((size, ALL_CLASSES), np.int32), np.zeros((size, ALL_CLASSES), np.int32)
+            for at, times, near in zip(mine, rows["times"].to_pylist(), rows["around"].to_pylist(), strict=True):
+                owner = np.repeat(at, np.frombuffer(times, "<i4"))
+                codes = np.frombuffer(near, np.uint8).reshape(-1, 2)
+                np.add.at(left, (owner, codes[:, 0]), 1)
+                np.add.at(right, (owner, codes[:, 1]), 1)
+            n = left.sum(1)
+            best = np.full(size, RARE_CLASS)
+            often = np.flatnonzero(n >= RARE)
+            best[often] = (left[often] @ weight[1] + right[often] @ weight[0]).argmax(1) if len(often) else 0
+            best[n == 0] = NEW_CLASS
+            sums = [(int((n > 0).sum()), int((n == 1).sum()))] + [(0, 0)] * (len(mine) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows["block"].combine_chunks(), pa.array([bucket] * len(mine), pa.int32()), pa.array([n[at].astype("<i4").tobytes() for at in mine], pa.binary()), pa.array([best[at].astype(np.uint8).tobytes() for at in mine], pa.binary()),
+                    pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
+                ],
+                names=["block", "bucket", "n", "class", "types", "once"],
+            )
 
-    The core's counts come last, so that a text passes on how often it has each core word.
+    return around.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(choose, "block long, bucket int, n binary, class binary, types long, once long")
+
+
+def classed(blocks: DataFrame, words: DataFrame, core: dict[bytes, int], buckets: int) -> DataFrame:
+    """One row a text; words: what assign gives for the blocks' words outside the core.
 
+    The core's counts come last, so that a text passes on how often it has each core word.
     classes: a byte a token. base and emission: sums of log10(n + 1) and log10(n) over words outside the core.
-    core_ids, core_n: the text's core words and how often. types, once: leads of the block, on one of its rows.
+    core_ids, core_n: the text's core words and how often. types, once: those of the block's rows, on its first text.
     """
     place_of = {w: i for i, w in enumerate(core)}
     core_class = np.array(list(core.values()), np.int64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n, of = right["n"].to_numpy().astype(np.int64), right["class"].to_numpy().astype(np.int64)
-        lead = right["lead"].to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, bool)
-        size = len(core_class)
-        place = dict(place_of)
-        place.update(zip(right["word"].to_pylist(), range(size, size + len(n)), strict=True))
-        new = size + len(n)
-        zeros = np.zeros(size)
-        base, emit = np.concatenate((zeros, np.log10(n + 1.0), [0.0])), np.concatenate((zeros, np.log10(np.maximum(n, 1)), [0.0]))
-        known = np.concatenate((zeros, n > 0, [0.0]))
-        of = np.concatenate((core_class, of, [NEW_CLASS])).astype(np.uint8)
-        out = []
-        for text in text_bytes(left["text"].combine_chunks() if left.num_rows else pa.array([], pa.string())):
-            words = tokens_of(text)
-            at = np.fromiter(map(place.get, words, repeat(new)), np.int64, len(words))
-            ids, times = np.unique(at[at < size], return_counts=True)
-            out.append((of[at].tobytes(), len(at), int(known[at].sum()), float(base[at].sum()), float(emit[at].sum()), ids.astype("<i4").tobytes(), times.astype("<i4").tobytes(), 0, 0))
-        if out:
-            out[0] = (*out[0][:7], int((lead & (n > 0)).sum()), int((lead & (n == 1)).sum()))
+        out, docs, held = [], [], []
+        if left.num_rows:
+            got, texts = unpack(left["texts"][0].as_py(), left["info"][0].as_py())
+            docs, held = got.column("doc_id").to_pylist(), got.column("held_out").to_pylist()
+            size = len(core_class)
+            place, n, of = dict(place_of), [np.zeros(0, np.int64)], [core_class]
+            counted = dict(zip(right["bucket"].to_pylist(), zip(right["n"].to_pylist(), right["class"].to_pylist(), strict=True), strict=True))
+            for b, listed in enumerate(block_words(texts, place_of, buckets)):
+                if listed:
+                    place.update(zip(listed, range(len(place), len(place) + len(listed)), strict=True))
+                    n.append(np.frombuffer(counted[b][0], "<i4").astype(np.int64))
+                    of.append(np.frombuffer(counted[b][1], np.uint8).astype(np.int64))
+            n, of = np.concatenate(n), np.concatenate(of).astype(np.uint8)
+            zeros = np.zeros(size)
+            base, emit = np.concatenate((zeros, np.log10(n + 1.0))), np.concatenate((zeros, np.log10(np.maximum(n, 1))))
+            known = np.concatenate((zeros, n > 0))
+            for text in texts:
+                words = tokens_of(text)
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                ids, times = np.unique(at[at < size], return_counts=True)
+                out.append((of[at].tobytes(), len(at), int(known[at].sum()), float(base[at].sum()), float(emit[at].sum()), ids.astype("<i4").tobytes(), times.astype("<i4").tobytes(), 0, 0))
+            out[0] = (*out[0][:7], sum(right["types"].to_pylist()), sum(right["once"].to_pylist()))
         columns = list(zip(*out, strict=True)) or [()] * 9
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = ("classes", "n_tokens", "n_known", "base", "emission", "core_ids", "core_n", "types", "once")
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"]} | {k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=True)})
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "held_out": pa.array(held, pa.bool_())} | {k: pa.array(c, t) for k, c, t in zip(names, columns, kinds, strict=True)})
 
     schema = "doc_id long, held_out boolean, classes binary, n_tokens long, n_known long, base double, emission double, core_ids binary, core_n binary, types long, once long"
-    return rows.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
 
 
 def core_counts(sequences: DataFrame, size: int) -> np.ndarray:
@@ -325,9 +382,9 @@ def brown_scores(df: DataFrame, scratch: Scratch, modulus: int = 7, remainder: i
     """
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", remainder_is("doc_id", modulus, remainder))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    core = [w for w, _ in frequent_words(rows, CORE - 1)] + [END]
-    bigrams = core_bigrams(rows, core)
+    blocks = scratch.save(blocks_of(rows), "blocks")
+    core = [w for w, _ in frequent_words(blocks, CORE - 1)] + [END]
+    bigrams = core_bigrams(blocks, core)
     # the end keeps a class of its own: it is not exchanged
     inner = np.delete(np.delete(bigrams, len(core) - 1, 0), len(core) - 1, 1)
     of_core = dict(zip(core, exchange(inner, CLASSES).tolist(), strict=False)) | {END: END_CLASS}
@@ -335,10 +392,10 @@ def brown_scores(df: DataFrame, scratch: Scratch, modulus: int = 7, remainder: i
     class_bigrams = np.zeros((ALL_CLASSES, ALL_CLASSES))
     np.add.at(class_bigrams, (of[:, None], of[None, :]), bigrams)
 
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
-    words = assign(contexts(blocked, of_core), class_bigrams)
-    sequences = scratch.save(classed(blocked, words, {w: of_core[w] for w in core}), "sequences")
+    buckets = max(16, blocks.count() // 2)
+    words = assign(contexts(blocks, of_core, buckets), class_bigrams)
+    sequences = scratch.save(classed(blocks, words, {w: of_core[w] for w in core}, buckets), "sequences")
+    scratch.drop("blocks")
 
     in_core = core_counts(sequences, len(core))
     pairs = transitions(sequences)
