@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import facts, graph, retrieval
-from factloom.plans import view_sql
+from factloom.operators import documents, facts, graph, identity, retrieval
+from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources.spine import Spine
 
@@ -220,8 +220,8 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     )
     q["shortest_path"] = (lambda v: graph.shortest_path(graph.edges_of(v), PERSON, OTHER_PERSON, 4), f"WITH RECURSIVE {e}, {stop} SELECT CAST(hop AS INTEGER) AS length, r AS relations, n AS nodes FROM w WHERE n[-1] = '{OTHER_PERSON}' ORDER BY hop, r LIMIT 1")
     q["citation_path"] = (
-        lambda v: graph.citation_path(v.document_crossrefs_live, "T1-3", "T1-0"),
-        "WITH RECURSIVE c AS (SELECT 0 AS hop, ['T1-3'] AS n UNION ALL SELECT hop + 1, list_append(n, to_doc_id) FROM c JOIN v_document_crossrefs_live r ON r.from_doc_id = n[-1] WHERE hop < 6 AND NOT list_contains(n, to_doc_id)) SELECT CAST(hop AS INTEGER) AS length, n AS nodes FROM c WHERE n[-1] = 'T1-0' ORDER BY hop, n LIMIT 1",
+        lambda v: graph.citation_path(v.document_crossrefs_live, "T0-3", "T0-0"),
+        "WITH RECURSIVE c AS (SELECT 0 AS hop, ['T0-3'] AS n UNION ALL SELECT hop + 1, list_append(n, to_doc_id) FROM c JOIN v_document_crossrefs_live r ON r.from_doc_id = n[-1] WHERE hop < 6 AND NOT list_contains(n, to_doc_id)) SELECT CAST(hop AS INTEGER) AS length, n AS nodes FROM c WHERE n[-1] = 'T0-0' ORDER BY hop, n LIMIT 1",
     )
     q["degrees"] = (lambda v: graph.degrees(graph.edges_of(v)), "SELECT x AS node, count(*) AS degree FROM (SELECT subject_entity_id AS x FROM v_graph_edges_current UNION ALL SELECT object_entity_id FROM v_graph_edges_current) GROUP BY 1")
     links = "l AS MATERIALIZED (SELECT DISTINCT subject_entity_id AS a, object_entity_id AS b FROM v_graph_edges_current), o AS (SELECT a, count(*) AS ways FROM l GROUP BY 1), nodes AS MATERIALIZED (SELECT x, ways FROM (SELECT a AS x FROM l UNION SELECT b FROM l) LEFT JOIN o ON o.a = x)"
@@ -232,6 +232,42 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     q["weak_components"] = (lambda v: graph.weak_components(graph.edges_of(v)), None)
     q["core_numbers"] = (lambda v: graph.core_numbers(graph.edges_of(v)), None)
     q["communities"] = (lambda v: graph.communities(graph.edges_of(v)), None)
+    # shipped statements, through the gate
+    own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
+    for name, sql in examples.EXAMPLES.items():
+        q[f"example_{name}"] = ((lambda v, sql=sql: gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql)), view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # documents
+    q["document_blocks"] = (lambda v: documents.document_blocks(v.raw("documents")), None)
+    q["document_chunks"] = (lambda v: documents.document_chunks(v.raw("documents")), None)
+    q["pages_markdown"] = (lambda v: documents.pages_markdown(v.raw("pages")), None)
+    body = "trim(regexp_replace(regexp_replace(text, chr(13) || chr(10), chr(10), 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+    q["embedding_input"] = (
+        lambda v: v.raw("documents").select("doc_id", documents.embedding_input(F.col("text"), F.concat(F.lit("source: "), "source", F.lit("; language: "), "lang"), F.col("source"), F.lit(1), F.lit("")).alias("embedding_text")).withColumn("embedding_text_hash", F.sha2("embedding_text", 256)),
+        f"SELECT doc_id, t AS embedding_text, sha256(t) AS embedding_text_hash FROM (SELECT doc_id, CASE WHEN b = '' THEN NULL WHEN length(b) > 48 THEN CASE WHEN length('source: ' || source || '; language: ' || lang) >= length(b) THEN source ELSE 'source: ' || source || '; language: ' || lang END || chr(10) || chr(10) || b ELSE b END AS t FROM (SELECT *, {body} AS b FROM main.documents))",
+    )
+    # identity
+    surfaces = ["hot gear", "cold bolt", "customer#000000007"]
+    grams = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    q["block_trigram"] = (
+        lambda v: identity.blocked_candidates(v, surfaces),
+        f"""WITH q AS (SELECT s AS surface, {grams('s')} AS g FROM (SELECT unnest({surfaces}) AS s)), a AS (SELECT a.entity_id, {grams('a.normalized_lemma')} AS g FROM aliases a JOIN entities e USING (entity_id) WHERE e.status = 'active'),
+        m AS (SELECT surface, entity_id, max(len(list_intersect(q.g, a.g)) / (len(q.g) + len(a.g) - len(list_intersect(q.g, a.g)))) AS s FROM q, a GROUP BY 1, 2)
+        SELECT surface, entity_id, round(s, 6) AS similarity, CAST(row_number() OVER w AS INTEGER) AS place FROM m WHERE s >= 0.3 WINDOW w AS (PARTITION BY surface ORDER BY s DESC, entity_id) QUALIFY row_number() OVER w <= 10""",
+    )
+
+    def banded(v: Views) -> DataFrame:
+        rows = v.spark_vectors
+        left = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("mention_id"), F.col("embedding").alias("a"), "label")
+        right = rows.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("b"), "label")
+        return _rounded(identity.decision_bands(left.join(right, "label")).drop("a", "b", "label"), "cosine")
+
+    cosine = "list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+    q["resolve_bands"] = (
+        banded,
+        f"""WITH p AS (SELECT m.vec_id AS mention_id, e.vec_id AS entity_id, {cosine} AS c FROM main.embeddings m JOIN main.embeddings e ON m.label = e.label AND m.vec_id % 100 = 0 AND e.vec_id % 100 <> 0), b AS (SELECT *, CASE WHEN c >= 0.88 THEN 'accept' WHEN c <= 0.60 THEN 'reject' ELSE 'adjudicate' END AS band FROM p)
+        SELECT mention_id, entity_id, round(c, 6) AS cosine, CASE WHEN band = 'adjudicate' AND sum((band = 'adjudicate')::INT) OVER (PARTITION BY mention_id ORDER BY c DESC, entity_id ROWS UNBOUNDED PRECEDING) > 3 THEN 'defer' ELSE band END AS band FROM b""",
+    )
+    q["merge_pieces"] = (lambda v: identity.merge_blocks(v.spark_vectors.where("vec_id < 500"), "label", "vec_id", "embedding", 0.8), None)
     return q
 
 
@@ -240,4 +276,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: view_sql.oracle(sql) for name, (_, sql) in catalog().items() if sql}
+    return {name: sql if sql.startswith("WITH RECURSIVE raw_") else view_sql.oracle(sql) for name, (_, sql) in catalog().items() if sql}

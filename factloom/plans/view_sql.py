@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from factloom.sources.spine import duckdb_tables
 
-NOW = "TIMESTAMP '2000-01-01 00:00:00'"
+NOW = "TIMESTAMP '2024-01-15 00:00:00'"
 HELD = f"(valid_from IS NULL OR valid_from <= {NOW}) AND (valid_until IS NULL OR valid_until > {NOW})"
 
 VIEWS: dict[str, str] = {

@@ -27,7 +27,7 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 class Views:
-    def __init__(self, spine: Spine, evaluated_at: str = "2000-01-01 00:00:00"):
+    def __init__(self, spine: Spine, evaluated_at: str = "2024-01-15 00:00:00"):
         self.spine, self.now = spine, temporal.instant(evaluated_at)
 
     @property
@@ -35,6 +35,9 @@ class Views:
         """The raw vectors (vec_id, embedding), from which test queries take theirs."""
         return self.spine.spark.read.parquet(f"{self.spine.sf_dir}/embeddings.parquet")
 
+    def raw(self, name: str) -> DataFrame:
+        return self.spine.spark.read.parquet(f"{self.spine.sf_dir}/{name}.parquet")
+
     # documents
 
     @cached_property

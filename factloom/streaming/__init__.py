@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming: ingest of changed files, work barriers and tumbling budgets."""
