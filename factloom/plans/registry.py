@@ -247,7 +247,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     )
     # identity
     surfaces = ["hot gear", "cold bolt", "customer#000000007"]
-    grams = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    grams = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
     q["block_trigram"] = (
         lambda v: identity.blocked_candidates(v, surfaces),
         f"""WITH q AS (SELECT s AS surface, {grams('s')} AS g FROM (SELECT unnest({surfaces}) AS s)), a AS (SELECT a.entity_id, {grams('a.normalized_lemma')} AS g FROM aliases a JOIN entities e USING (entity_id) WHERE e.status = 'active'),

@@ -128,9 +128,13 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: Worked out once where a statement reads them more than once.
+STORED = ("v_documents_live", "v_chunks_live", "v_survivors", "v_mention_current_content", "v_entity_document_mentions", "v_fact_visible", "v_claims_visible_history", "v_entities_current", "v_lineages", "v_page_citations", "v_pages_live", "v_page_evidence_visible")
+
+
 def oracle(select: str, **more: str) -> str:
     """select over base tables, views (v_<name>) and further common table expressions."""
-    parts = [f"{n} AS MATERIALIZED ({q})" if n in ("v_survivors", "v_fact_visible", "v_claims_visible_history", "v_entities_current") else f"{n} AS ({q})" for n, q in (VIEWS | more).items()]
+    parts = [f"{n} AS MATERIALIZED ({q})" if n in STORED else f"{n} AS ({q})" for n, q in (VIEWS | more).items()]
     if select.lstrip().startswith("WITH"):
         select = f"SELECT * FROM ({select})"
     return f"WITH RECURSIVE {duckdb_tables()},\n" + ",\n".join(parts) + f"\n{select}"
