@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import documents, facts, graph, identity, retrieval
+from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources.spine import Spine
@@ -267,6 +267,28 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         f"""WITH p AS (SELECT m.vec_id AS mention_id, e.vec_id AS entity_id, {cosine} AS c FROM main.embeddings m JOIN main.embeddings e ON m.label = e.label AND m.vec_id % 100 = 0 AND e.vec_id % 100 <> 0), b AS (SELECT *, CASE WHEN c >= 0.88 THEN 'accept' WHEN c <= 0.60 THEN 'reject' ELSE 'adjudicate' END AS band FROM p)
         SELECT mention_id, entity_id, round(c, 6) AS cosine, CASE WHEN band = 'adjudicate' AND sum((band = 'adjudicate')::INT) OVER (PARTITION BY mention_id ORDER BY c DESC, entity_id ROWS UNBOUNDED PRECEDING) > 3 THEN 'defer' ELSE band END AS band FROM b""",
     )
+    # adjudication
+
+    def incoming(v: Views) -> DataFrame:
+        """Each order's first line as testimony that its customer ordered its part, a year after the last closing."""
+        lines = v.spine["line_items"].where("l_linenumber = 1")
+        orders = v.raw("orders").select("o_orderkey", "o_custkey")
+        return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+            F.concat(F.lit("C"), "o_custkey").alias("subject_entity_id"), F.lit("ordered").alias("predicate"), F.concat(F.lit("P"), "l_partkey").alias("object_entity_id"), F.concat(F.lit("new-"), "l_orderkey").alias("claim_id"), F.concat(F.lit("O"), "l_orderkey").alias("doc_id")
+        )
+
+    into = f"""WITH i AS (SELECT 'C' || o_custkey AS s, 'P' || l_partkey AS o, 'new-' || l_orderkey AS claim_id, 'O' || l_orderkey AS doc_id FROM line_items JOIN main.orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+        k AS (SELECT subject_entity_id AS s, object_entity_id AS o, min(relation_id) FILTER (WHERE valid_until IS NULL OR valid_until > {until}) AS open_id, max(valid_until) AS closed_at FROM relations WHERE predicate = 'ordered' AND {believed} GROUP BY 1, 2),
+        p AS (SELECT i.*, k.open_id, k.closed_at FROM i LEFT JOIN k USING (s, o))"""
+    q["spells_new"] = (lambda v: adjudication.upsert_relations(v, incoming(v), SINCE)[0].drop("relation_id"), f"{into} SELECT DISTINCT s AS subject_entity_id, 'ordered' AS predicate, o AS object_entity_id, closed_at AS valid_from FROM p WHERE open_id IS NULL")
+    q["spells_evidence"] = (
+        lambda v: adjudication.upsert_relations(v, incoming(v), SINCE)[1].select(F.when(F.col("relation_id").contains(":"), F.col("relation_id")).alias("open_relation_id"), "claim_id", "doc_id", "stance"),
+        f"{into} SELECT open_id AS open_relation_id, claim_id, doc_id, 'supports' AS stance FROM p",
+    )
+    q["observation_fold"] = (
+        lambda v: adjudication.fold_observations(v.spine["observations"].select(F.col("subject_entity_id").alias("entity_id"), "statement", F.col("ingested_at").alias("asserted_at"), F.col("observation_id").alias("claim_id"))),
+        "SELECT subject_entity_id AS entity_id, first(observation_id ORDER BY ingested_at, observation_id) AS observation_id, statement, min(ingested_at) AS valid_from, NULL::TIMESTAMP AS valid_until, count(*) AS evidence_count FROM observations GROUP BY 1, 3",
+    )
     q["merge_pieces"] = (lambda v: identity.merge_blocks(v.spark_vectors.where("vec_id < 500"), "label", "vec_id", "embedding", 0.8), None)
     return q
 

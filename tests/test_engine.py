@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.engine import Engine
-from factloom.operators import documents, facts, graph, identity, retrieval
+from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
 from factloom.plans import gate, registry
 from factloom.sources import sinks
 from factloom.streaming import ingest
@@ -37,7 +37,7 @@ def canonical(df):
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
-CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of".split()
+CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of spells_new spells_evidence observation_fold".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -160,6 +160,22 @@ def test_fusion_and_rerank(spark):
         retrieval.reciprocal_rank_fusion([a], "id", k=0)
 
 
+def test_observation_fold(spark):
+    rows = [("u", "likes red tea", "2020-01-02", "c2"), ("u", "likes red tea", "2020-01-01", "c1"), ("u", "likes green tea", "2020-01-03", "c3"), ("u", "plays chess", "2020-01-04", "c4"), ("u", "likes red tea", None, "c5")]
+    table = spark.createDataFrame(rows, "entity_id string, statement string, asserted_at string, claim_id string").withColumn("asserted_at", F.col("asserted_at").cast("timestamp_ntz"))
+    got = {r["observation_id"]: r for r in adjudication.fold_observations(table).collect()}
+    assert {k: r["evidence_count"] for k, r in got.items()} == {"c1": 3, "c3": 1, "c4": 1}
+    got = {r["observation_id"]: r for r in adjudication.fold_observations(table, verdict=lambda old, new: "supersede").collect()}
+    assert str(got["c1"]["valid_until"]) == "2020-01-03 00:00:00" and got["c5"]["evidence_count"] == 1  # the late one opens anew
+
+
+def test_pull_back(spark):
+    schema = "observation_id string, subject_entity_id string, statement string, valid_from string, valid_until string"
+    held = spark.createDataFrame([("a", "u", "x", "2020-01-05", None), ("b", "u", "y", "2020-01-05", None), ("old", "u", "y", "2019-01-01", "2020-01-04")], schema)
+    evidence = spark.createDataFrame([("a", "2020-01-01"), ("b", "2020-01-01"), ("old", "2019-06-01")], "observation_id string, asserted_at string")
+    assert [tuple(r) for r in adjudication.pull_back(held, evidence).collect()] == [("a", "2020-01-01")]
+
+
 # gate
 
 
