@@ -11,6 +11,7 @@ from factloom.functions import temporal
 from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
+from factloom.sources import corpusfs, sinks
 from factloom.sources.spine import Spine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,11 @@ def _items(v: Views) -> DataFrame:
     return rows.select("relation_id", F.col("confidence").alias("score"), F.when(F.col("valid_until").isNotNull(), F.length("object_entity_id").cast("double")).alias("graph_distance"), F.col("evidence_count").cast("double").alias("evidence_count"))
 
 
+def _unzoned(rows: DataFrame) -> DataFrame:
+    """Instants without a zone, which date_trunc gives one."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in rows.dtypes if t == "timestamp"})
+
+
 def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -235,7 +241,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     # shipped statements, through the gate
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
-        q[f"example_{name}"] = ((lambda v, sql=sql: gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql)), view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+        q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
     # documents
     q["document_blocks"] = (lambda v: documents.document_blocks(v.raw("documents")), None)
     q["document_chunks"] = (lambda v: documents.document_chunks(v.raw("documents")), None)
@@ -245,6 +251,22 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         lambda v: v.raw("documents").select("doc_id", documents.embedding_input(F.col("text"), F.concat(F.lit("source: "), "source", F.lit("; language: "), "lang"), F.col("source"), F.lit(1), F.lit("")).alias("embedding_text")).withColumn("embedding_text_hash", F.sha2("embedding_text", 256)),
         f"SELECT doc_id, t AS embedding_text, sha256(t) AS embedding_text_hash FROM (SELECT doc_id, CASE WHEN b = '' THEN NULL WHEN length(b) > 48 THEN CASE WHEN length('source: ' || source || '; language: ' || lang) >= length(b) THEN source ELSE 'source: ' || source || '; language: ' || lang END || chr(10) || chr(10) || b ELSE b END AS t FROM (SELECT *, {body} AS b FROM main.documents))",
     )
+    slug = lambda x: f"CASE WHEN trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'untitled' ELSE substr(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) END"
+    tree = f"s0 AS (SELECT doc_id, 'documents/' || {slug('source_kind')} AS shard, {slug('coalesce(title, doc_id)')} AS name, true AS split FROM v_documents_live)"
+    for i in range(1, 5):
+        letter = f"CASE WHEN regexp_matches(substr(name, {i}, 1), '[a-z0-9]') THEN substr(name, {i}, 1) ELSE 'other' END"
+        tree += f", l{i} AS (SELECT *, {letter} AS c FROM s{i - 1}), s{i} AS (SELECT doc_id, CASE WHEN split AND n > 150 AND k > 1 THEN shard || '/' || c ELSE shard END AS shard, name, split AND n > 150 AND k > 1 AS split FROM l{i} LEFT JOIN (SELECT shard, count(*) AS n, count(DISTINCT c) AS k FROM l{i} WHERE split GROUP BY 1) USING (shard))"
+    q["corpus_paths"] = (lambda v: corpusfs.document_paths(v), f"WITH {tree} SELECT doc_id, shard || '/' || name || '-' || {slug('doc_id')} || '.md' AS path FROM s4")
+    projections = {
+        "entity": "SELECT entity_id AS id, type, canonical_name AS name, normalized_name, profile_summary AS summary, created_at FROM entities WHERE status = 'active'",
+        "document": "SELECT doc_id AS id, title, source_uri, published_at FROM v_documents_live",
+        "relates": "SELECT s.survivor_entity_id AS from, o.survivor_entity_id AS to, relation_id, predicate, fact_label AS fact, evidence_count, contradict_count, confidence, contradiction_group, valid_from, valid_until, ingested_at, invalidated_at FROM relations r JOIN v_survivors s ON s.entity_id = r.subject_entity_id JOIN v_survivors o ON o.entity_id = r.object_entity_id",
+        "mentioned_in": "SELECT survivor_entity_id AS from, doc_id AS to, count(*) AS mention_count, min(created_at) AS first_seen FROM v_mention_current_content WHERE survivor_entity_id IS NOT NULL GROUP BY 1, 2",
+        "doc_crossref": "SELECT from_doc_id AS from, to_doc_id AS to, kind, context FROM document_crossrefs WHERE resolved",
+        "is_document": "SELECT s.survivor_entity_id AS from, d.doc_id AS to FROM documents d JOIN v_survivors s ON s.entity_id = d.document_entity_id",
+    }
+    for name, sql in projections.items():
+        q[f"projection_{name}"] = ((lambda v, n=name: sinks.graph_tables(v)[n]), sql.replace(" AS from", ' AS "from"').replace(" AS to", ' AS "to"'))
     # identity
     surfaces = ["hot gear", "cold bolt", "customer#000000007"]
     grams = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"

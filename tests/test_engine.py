@@ -37,7 +37,7 @@ def canonical(df):
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
-CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of spells_new spells_evidence observation_fold".split()
+CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of corpus_paths projection_relates spells_new spells_evidence observation_fold".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
