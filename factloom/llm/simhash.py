@@ -16,11 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, components, local_components, sorted_groups, table, text_bytes
+from factloom.llm.common import Scratch, components, local_components, shingle_hashes, sorted_groups, table, text_bytes
+from factloom.llm.jaccard import near_copies
 
 MOST_BITS = 4
 SHINGLE = 4
@@ -37,14 +37,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+    hashes = shingle_hashes(words, shingle, SEED)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -203,10 +196,11 @@ def simhash_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of their group; a repeated row stays once.
 
-    Rows with a null id all stay. Rows of one id and different texts stay if any of them is its group's smallest.
+    Groups are those of near_copies, not op6's. Rows with a null id all stay. Rows of one id and different texts stay
+    if any of them is its group's smallest.
     """
-    groups = simhash_groups(docs, scratch, id_col, text_col)
-    kept = scratch.save(groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    groups = near_copies(docs, scratch, id_col, text_col)
+    kept = scratch.save(groups.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct(), "kept")
     mine = docs[id_col]
     return docs.join(kept, mine == kept["kept_id"], "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(mine.isNull()))
 

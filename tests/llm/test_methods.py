@@ -252,3 +252,30 @@ def test_pipeline_drops_and_keeps(spark, tmp_path):
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert ids == {i for i in range(240) if i % 4 in (0, 3)}
+
+
+def test_near_copies_at_jaccard_08(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(500)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(60):  # a chain of edits each, some texts with a common passage, one large group
+        text = [rng.choice(words) for _ in range(rng.choice((12, 90, 300)))] + passage * (i % 3 == 0)
+        for k in range(40 if i == 7 else 4):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(max(1, len(text) // rng.choice((40, 60, 90)))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+    rows += [(9000, ""), (9001, None), (9002, "a b"), (9003, "A  b"), (5, rows[200][1])]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, t in rows for w in [(t or "").lower().split()]]
+    label = list(range(len(sets)))
+    near = 0
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                near += x != y
+                label = [label[b] if c == label[a] else c for c in label]
+    assert near > 100
+    least = {c: min(i for (i, _), d in zip(sets, label, strict=True) if d == c) for c in label}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_one(docs.repartition(3), Scratch(spark, "t")).collect()}
+    assert got == set(least.values())
