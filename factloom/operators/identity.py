@@ -77,29 +77,61 @@ def decision_bands(pairs: DataFrame, a: str = "a", b: str = "b", keys: tuple[str
 def merge_pieces(ids: list[str], vectors: list, cut: float) -> list[list[str]]:
     """Clusters by centroid linkage: the closest pair within the cut merges, the first found where several are.
 
-    A merged centroid is the mean of the two; members without a vector stay alone.
+    A merged centroid is the mean of the two; members without a vector stay alone. Each piece knows its closest one,
+    so memory is that of the vectors, and time about the square of their number.
     """
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     out = [[ids[i]] for i in order if vectors[i] is None]
-    groups = [([ids[i]], np.asarray(vectors[i], float)) for i in order if vectors[i] is not None]
-    while len(groups) > 1:
-        x = np.stack([c for _, c in groups])
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        y = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        apart = 1 - y @ y.T
-        apart[np.tril_indices(len(groups))] = np.inf
-        i, j = np.unravel_index(int(apart.argmin()), apart.shape)
-        if apart[i, j] > cut:
+    pieces = [[ids[i]] for i in order if vectors[i] is not None]
+    if not pieces:
+        return sorted(out)
+    # a merged piece takes the place of its second part, and its rank comes after all others
+    x = np.stack([np.asarray(vectors[i], float) for i in order if vectors[i] is not None])
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    n = len(x)
+    rank, live = np.arange(n), np.ones(n, bool)
+    near, apart = np.full(n, -1), np.full(n, np.inf)  # of each piece, the closest of those ranked after it
+
+    def search(i: int) -> None:
+        """The closest piece ranked after piece i, the first of several."""
+        later = np.flatnonzero(live & (rank > rank[i]))
+        near[i], apart[i] = -1, np.inf
+        if len(later):
+            d = 1 - y[later] @ y[i]
+            best = np.flatnonzero(d == d.min())
+            j = later[best[rank[later[best]].argmin()]]
+            near[i], apart[i] = j, 1 - y[j] @ y[i]
+
+    for i in range(n):
+        search(i)
+    for k in range(n, 2 * n - 1):
+        least = np.flatnonzero(apart == apart.min())
+        i = int(least[rank[least].argmin()])
+        if not apart[i] <= cut:
             break
-        merged = (sorted(groups[i][0] + groups[j][0]), (groups[i][1] + groups[j][1]) / 2)
-        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [merged]
-    return sorted(out + [g for g, _ in groups])
+        j = int(near[i])
+        pieces[j], pieces[i] = sorted(pieces[i] + pieces[j]), []
+        x[j] = (x[i] + x[j]) / 2
+        size = np.linalg.norm(x[j])
+        y[j] = x[j] / size if size > 0 else 0
+        live[i], rank[j], apart[i], apart[j], near[j] = False, k, np.inf, np.inf, -1
+        others = live.copy()
+        others[j] = False
+        stale = np.flatnonzero(others & ((near == i) | (near == j)))
+        for o in stale:
+            search(int(o))
+        d = 1 - y @ y[j]
+        closer = others & (d < apart)
+        near[closer], apart[closer] = j, d[closer]
+    return sorted(out + [p for p in pieces if p])
 
 
 def merge_blocks(members: DataFrame, block: str, key: str, vector: str, cut: float = DISTANCE_CUT, cap: int = BLOB_CAP) -> DataFrame:
     """(block, id, piece, size): members of each block in their merged pieces, named by the least id.
 
-    A block over the cap has half the cut. Blocks are small by construction: what blocking limits to a few candidates.
+    A block over the cap has half the cut. A block is merged in one task: a centroid may come within the cut of a member
+    that neither of its parts is near, so that parts of a block can't be merged apart.
     """
 
     def run(table: pa.Table) -> pa.Table:

@@ -311,7 +311,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         lambda v: adjudication.fold_observations(v.spine["observations"].select(F.col("subject_entity_id").alias("entity_id"), "statement", F.col("ingested_at").alias("asserted_at"), F.col("observation_id").alias("claim_id"))),
         "SELECT subject_entity_id AS entity_id, first(observation_id ORDER BY ingested_at, observation_id) AS observation_id, statement, min(ingested_at) AS valid_from, NULL::TIMESTAMP AS valid_until, count(*) AS evidence_count FROM observations GROUP BY 1, 3",
     )
-    q["merge_pieces"] = (lambda v: identity.merge_blocks(v.spark_vectors.where("vec_id < 500"), "label", "vec_id", "embedding", 0.8), None)
+    q["merge_pieces"] = (lambda v: identity.merge_blocks(v.spark_vectors, "label", "vec_id", "embedding", 0.8), None)
     return q
 
 

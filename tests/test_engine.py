@@ -152,6 +152,16 @@ def test_lemma_and_merge():
     assert got == [["a", "b"], ["c"], ["d"]]
 
 
+def test_merge_pieces_takes_every_vector(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(900)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["merge_pieces"](spark, str(tmp_path)).collect()
+    assert sorted(int(r["id"]) for r in got) == list(range(900))
+    blocks = {(r["block"], r["piece"]): r["size"] for r in got}
+    assert sum(blocks.values()) == 900 and len(blocks) < 900
+
+
 def test_fusion_and_rerank(spark):
     a, b = (spark.createDataFrame(list(zip(ids, range(1, 9), strict=False)), "id string, rank int") for ids in ("xyz", "zxw"))
     got = [(r["id"], round(r["score"], 9)) for r in retrieval.reciprocal_rank_fusion([a, b], "id").collect()]
