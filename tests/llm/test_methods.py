@@ -37,7 +37,11 @@ def test_license_places():
 @given(st.dictionaries(st.integers(1, 63), st.integers(1, 30), max_size=12))
 @settings(max_examples=80, deadline=None)
 def test_best_fit_places_every_piece(counts):
-    plan, bins = packing.best_fit_decreasing(counts, 64)
+    for method in (packing.best_fit_decreasing, packing.fullest_fit_decreasing):
+        check_plan(counts, *method(counts, 64))
+
+
+def check_plan(counts, plan, bins):
     used, ranks = {}, Counter()
     for size, rank, n, first, each, at in plan:
         assert rank == ranks[size]
@@ -61,23 +65,53 @@ def test_encoder_gives_the_ids_of_the_tokenizers_library(spark):
 
     slow = Tokenizer.from_file(packing.default_tokenizer())
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "\u200d<|endoftext|>\n\n", "z" * 200_000]
     for text in texts:
         ids = slow.encode(text, add_special_tokens=False).ids
-        assert packing.encoder(packing.default_tokenizer()).encode_to_numpy(text).tolist() == ids
+        assert packing.encoder(packing.default_tokenizer()).encode_to_numpy(text, allowed_special="all").tolist() == ids
 
 
 def test_packing_covers_documents(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.default_tokenizer())
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(10**6, "a <|endoftext|> b"), (10**6 + 1, "w " * 700_000), (10**6 + 2, None), (10**6 + 3, ""), (10**6 + 4, "<|endoftext|>" * 1023)]
+    docs = small.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).repartition(7)
     got = packing.pack(docs, Scratch(spark, "t"), with_ids=True).collect()
-    by = {}
+    by, sequences = {}, {}
     for r in got:
         by.setdefault(r["doc_id"], {})[r["piece"]] = r
+        sequences.setdefault(r["sequence_id"], []).append(r)
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
-    encode = packing.encoder(packing.default_tokenizer()).encode_ordinary
     for d in docs.collect():
         parts = by[d["doc_id"]]
-        assert [i for k in sorted(parts) for i in parts[k]["ids"]] == [*encode(d["text"]), packing.END]
+        assert [i for k in sorted(parts) for i in parts[k]["ids"]] == [*slow.encode(d["text"] or "", add_special_tokens=False).ids, packing.END]
         assert all(parts[k]["length"] == packing.CAPACITY for k in list(sorted(parts))[1:])
+    for parts in sequences.values():
+        parts.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in parts] == [sum(x["length"] for x in parts[:i]) for i in range(len(parts))]
+        assert sum(r["length"] for r in parts) <= packing.CAPACITY
+    assert len(sequences) <= 1.02 * sum(r["length"] for r in got) / packing.CAPACITY + 1
+
+
+def test_packing_certifies_groups_and_exchanges(spark):
+    # parts of matching lengths meet their bound; the others do in pairs, or not at all
+    rows = [(0, 512, 10), (1, 1000, 5), (1, 24, 5), (2, 700, 3), (3, 324, 3), (4, 600, 7), (5, 300, 1), (40, 600, 1)]
+    hist = spark.createDataFrame(rows, "part int, length long, n long")
+    plan, members = packing.plans(hist, Scratch(spark, "t"), 1024)
+    gids = {(r["part"], r["gid"]) for r in members.collect()}
+    groups = {r["gid"]: (r["bins"], r["bound"]) for r in plan.collect()}
+    assert {p for p, _ in gids} == {0, 1, 2, 3, 4, 5, 40}
+    assert all(bins == bound for bins, bound in groups.values())
+    assert {(0, 0), (1, 1)} <= gids and len({g for p, g in gids}) == len(groups)
+    placed = {(r["gid"], r["length"]): 0 for r in plan.collect()}
+    for r in plan.collect():
+        placed[r["gid"], r["length"]] += r["n"]
+    gid_of = dict(gids)
+    for part, length, n in rows:
+        placed[gid_of[part], length] -= n
+    assert set(placed.values()) == {0}
 
 
 def test_gray_index_finds_the_components_of_all_pairs():
