@@ -35,9 +35,11 @@ ALL_BITS = np.uint64(0xFFFFFFFFFFFFFFFF)
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """64 bits: one where more than half of the XXH64 hashes of the text's word shingles have a one."""
     words = text.lower().split()
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, shingle, SEED)
+    return majority(shingle_hashes(words, shingle, SEED)) if words else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: one where more than half of the hashes have a one."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -194,16 +196,36 @@ def simhash_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of their group; a repeated row stays once.
+    """The rows of docs, with all their columns, whose id is the smallest of their group.
+
+    Groups are those of texts whose sets of five-word shingles have a similarity of 0.8 or more. At that similarity
+    fingerprints differ in about ten of 64 bits, too many for an index to search without loss. So the fingerprint groups
+    come first and gather most copies, each checked by its shingles, and a prefix join finds what they leave.
 
-    Groups are those of near_copies, not op6's. Rows with a null id all stay. Rows of one id and different texts stay
-    if any of them is its group's smallest.
+    Rows with a null id all stay. Rows of one id and different texts stay if any of them is its group's smallest; of
+    those that have one text too, the one with the smallest other columns stays. Ties have no choice left: ids differ.
+    Without rows the result is empty.
     """
-    groups = near_copies(docs, scratch, id_col, text_col)
-    kept = scratch.save(groups.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct(), "kept")
-    mine = docs[id_col]
-    return docs.join(kept, mine == kept["kept_id"], "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(mine.isNull()))
+    hints = lambda codes: near_links(codes, scratch)
+    groups = scratch.save(near_copies(docs, scratch, majority, hints, id_col, text_col).where("doc_id IS NOT NULL"), "groups")
+    kept = groups.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    marked = scratch.save(ids.join(kept, F.col("doc_id") == F.col("kept_id"), "left").select("doc_id", F.col("kept_id").isNotNull().alias("stays"), (F.col("rows") > 1).alias("again")), "marked")
+    mine = docs[id_col].cast("long")
+    # what goes, and ids that come again, are few beside the rows: the others' texts stay where they are
+    gone = marked.where("again OR NOT stays").select(F.col("doc_id").alias("_gone"))
+    single = docs.join(gone, mine == F.col("_gone"), "left_anti")
+    again = marked.where("again AND stays").select(F.col("doc_id").alias("_again"))
+    repeated = docs.join(again, mine == F.col("_again"), "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    if others:
+        least = repeated.groupBy(id_col, text_col).agg(F.min(F.struct(*others)).alias("_least"))
+        repeated = least.select(*(F.col(c) if c in (id_col, text_col) else F.col("_least")[c].alias(c) for c in docs.columns))
+    else:
+        repeated = repeated.distinct()
+    return single.unionByName(repeated)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups over table documents: four-word shingles, links at four differing bits or fewer."""
     return simhash_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
