@@ -141,6 +141,13 @@ def labelled_sample(labels: DataFrame, label: str, held_out: F.Column, most: int
     return parts[0].union(parts[1])
 
 
+def sampled_texts(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label, weight): one row for each id of sample that rows (doc_id, text) has, so no more rows than
+    sample has. A repeated id has its smallest text; copies of it are put together before they move."""
+    picked = rows.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a labelled_sample has a bounded number of rows
+    return picked.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "weight")
+
+
 def remainder_is(id_col: str, modulus: int, value: int) -> F.Column:
     """Whether crc32(id as text) mod modulus is value; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == value, F.lit(False))

@@ -18,23 +18,28 @@ from factloom.llm.common import table, text_bytes
 #: Phrase, label: places of these count as base matches.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label: template. The words are compared after lower-casing and splitting as the texts are.
+#: Label: template, in the public wording of the licences (fixed values). The words are compared after lower-casing and
+#: splitting as the texts are. A label that ends in -notice or -grant is of a reference to a licence, or of the grant at
+#: its head; the others take the whole mandatory wording.
 TEMPLATES = {
-    "cc-by-nc": "[[this work is]] licensed under [[a | the]] [[creative commons]] cc by nc [[<<2>>]]",
-    "cc-by-license": "[[this work is]] licensed under [[a | the]] [[creative commons]] cc by 4 0 [[international license]]",
-    "gpl-3.0": "[[this <<3>> is]] licensed under the gnu [[lesser | affero]] general public license [[as published by the free software foundation]] version 3 [[0]]",
-    "gpl-2.0": "[[this <<3>> is]] licensed under the gnu [[lesser]] general public license [[as published by the free software foundation]] version 2 [[0]]",
-    "apache-2.0": "licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license]]",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "cc-by-nc-notice": "[[this work is]] licensed under [[a | the]] [[creative commons]] cc by nc [[<<2>>]]",
+    "cc-by-notice": "[[this work is]] licensed under [[a | the]] [[creative commons]] cc by 4 0 [[international license]]",
+    "gpl-3.0-notice": "[[this <<3>> is]] licensed under the gnu [[lesser | affero]] general public license [[as published by the free software foundation]] version 3 [[0]]",
+    "gpl-2.0-notice": "[[this <<3>> is]] licensed under the gnu [[lesser]] general public license [[as published by the free software foundation]] version 2 [[0]]",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license]]",
+    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http | https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-notice": "[[this <<3>> is]] [[released | licensed]] under the mit license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the [[authors or copyright holders | <<8>>]] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of <<10>> nor the names of [[its | his | her | the]] contributors may be used to endorse or promote products derived from this software without specific prior written permission]] this software is provided by <<8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http | https]] [[mozilla org mpl 2 0 | www mozilla org mpl 2 0]]",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "copyright-notice": "copyright [[c]] <<6>> all rights reserved",
 }
 
-#: Word that any accepted text has, a cheap test before the automaton runs.
-HINTS = (b"license", b"licensed", b"permission", b"redistribution", b"copyright")
 STATES_MOST = 20_000
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -76,6 +81,9 @@ class Automaton:
         self.start = self._closure(starts)
         self.known: dict[tuple[frozenset, bytes], frozenset] = {}
         self.words = {w for s in self.step for w in s}
+        # a word that each template can't do without; a template of regions only may match anywhere
+        needed = [max((x for x in _parse(t) if isinstance(x, bytes)), key=len, default=None) for t in templates.values()]
+        self.needed = None if None in needed else [b" %s " % w for w in sorted(set(needed))]
 
     def _state(self) -> int:
         self.step.append({})
@@ -140,16 +148,26 @@ def scan(words: list[bytes], automaton: Automaton, base: dict[bytes, str]) -> tu
             starts.append(line.count(b" ", 0, at))
             labels.add(label)
             at = line.find(phrase, at + 1)
-    more = automaton.labels(words) if any(b" " + h + b" " in line for h in HINTS) else set()
+    tried = automaton.needed is None or any(w in line for w in automaton.needed)
+    more = automaton.labels(words) if tried else set()
     return len(starts), min(starts, default=None), max(starts, default=None), labels, more
 
 
+def score_of(own: set[str], more: set[str]) -> float:
+    """How sure labels of base phrases and of templates make a licence."""
+    if any(not x.endswith(("-notice", "-grant")) for x in more):
+        return 1.0
+    return 0.75 if more else 0.5 if own else 0.0
+
+
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null or empty text has no words, empty labels, null first_word and last_word, and score 0. The id may be null or
-    repeated; each row is scanned by itself. Other columns of df, whatever their names, are not read. score: 1 where a
-    whole template matches, 0.5 where only base phrases do, else 0. Without rows the result is empty.
+    repeated; each row is scanned by itself, a very long text whole. Templates and phrases that end at one place, and
+    those that overlap, all count. A template without words in it, or one that may be missing whole, matches every text
+    that has a word. Other columns of df, whatever their names, are not read. score: 1 where a licence's whole wording
+    matches, 0.75 where a -notice or -grant does, 0.5 where only base phrases do, else 0. Without rows the result is empty.
     """
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
     phrases = {b" " + k.encode() + b" ": v for k, v in base.items()}
@@ -161,7 +179,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text in text_bytes(batch.column("text")):
                 words = words_of(text)
                 n, first, last, own, more = scan(words, automaton, phrases)
-                rows.append((len(words), n, first, last, ",".join(sorted(own)), ",".join(sorted(own | more)), 1.0 if more else 0.5 if own else 0.0))
+                rows.append((len(words), n, first, last, ",".join(sorted(own)), ",".join(sorted(own | more)), score_of(own, more)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
@@ -171,6 +189,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """license_scan over table documents with TEMPLATES and BASE."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
@@ -189,8 +208,7 @@ def oracle(templates: dict[str, str] | None = None) -> str:
                 out += "(" + "|".join(pattern(choice) for choice in part) + ")?"
         return out
 
-    hints = "(" + "|".join(h.decode() for h in HINTS) + ")"
-    method = ", ".join(f"CASE WHEN regexp_matches(line, ' {hints} ') AND regexp_matches(line, ' {pattern(_parse(t))}') THEN '{k}' END" for k, t in templates.items())
+    method = ", ".join(f"CASE WHEN regexp_matches(line, ' {pattern(_parse(t))}') THEN '{k}' END" for k, t in templates.items())
     counts = {label: f"list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}')" for p, label in BASE.items()}
     return f"""
 WITH words AS (
@@ -205,5 +223,5 @@ found AS (
   FROM places)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word,
   array_to_string(list_sort(own), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(own, more))), ',') AS labels,
-  CASE WHEN len(more) > 0 THEN 1.0 WHEN len(own) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+  CASE WHEN len(list_filter(more, lambda x: NOT ends_with(x, '-notice') AND NOT ends_with(x, '-grant'))) > 0 THEN 1.0 WHEN len(more) > 0 THEN 0.75 WHEN len(own) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM found"""

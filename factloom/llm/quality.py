@@ -12,13 +12,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, labelled_sample, remainder_is, sorted_groups, table, text_bytes
+from factloom.llm.common import Scratch, labelled_sample, remainder_is, sampled_texts, sorted_groups, table, text_bytes
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -31,6 +32,8 @@ SAMPLE_ROWS = 40_000
 HIDDEN = 32
 THRESHOLD = 0.3
 CACHE = 200_000
+#: Bytes of a text, and tokens of a longer one, that are taken at a time.
+LONG, RUN = 1 << 20, 1 << 18
 TOKENS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 FEATURES = 2 * DIMENSIONS + 4
 
@@ -42,7 +45,9 @@ class Buckets(dict):
         if len(self) >= CACHE:
             self.clear()
         low = zlib.crc32(token.lower()) % BUCKETS
-        got = self[token] = (low, zlib.crc32(b"capitals\x00") % BUCKETS) if len(token) > 1 and token.isupper() else (low,)
+        got = (low, zlib.crc32(b"capitals\x00") % BUCKETS) if len(token) > 1 and token.isupper() else (low,)
+        if len(token) < 100:
+            self[token] = got
         return got
 
 
@@ -55,8 +60,14 @@ def index_vectors(seed: int = 11) -> np.ndarray:
     return out
 
 
-def ids_of(text: bytes, buckets: Buckets) -> list[int]:
-    return [i for t in TOKENS.findall(text) for i in buckets[t]]
+def runs_of(text: bytes, buckets: Buckets) -> Iterator[list[int]]:
+    """Buckets of the text's tokens; a very long text's in runs, cut between tokens."""
+    if len(text) <= LONG:
+        yield [i for t in TOKENS.findall(text) for i in buckets[t]]
+        return
+    found = (m.group() for m in TOKENS.finditer(text))
+    while some := list(islice(found, RUN)):
+        yield list(chain.from_iterable(map(buckets.__getitem__, some)))
 
 
 def word_vectors(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> np.ndarray:
@@ -66,28 +77,39 @@ def word_vectors(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> n
         index, buckets = index_vectors(), Buckets()
         total = np.zeros((BUCKETS, DIMENSIONS))
         held: list[int] = []
+        done = 0  # ids of held that have been added and are there for the ones after them
 
-        def add() -> None:
+        def add(ended: bool) -> None:
+            nonlocal done
             ids = np.array(held, np.int64)
             near = np.zeros((len(ids), DIMENSIONS), np.int8)
             vectors = index[ids]
             for k in range(1, WINDOW + 1):
                 near[k:] += vectors[:-k]
                 near[:-k] += vectors[k:]
+            own = slice(done, len(ids) if ended else len(ids) - WINDOW)  # the last ones wait for what follows them
+            ids, near = ids[own], near[own]
             real = ids < BUCKETS
             ids, near = ids[real], near[real]
             for d in range(DIMENSIONS):
                 total[:, d] += np.bincount(ids, near[:, d], BUCKETS)
-            held.clear()
+            if ended:
+                held.clear()
+                done = 0
+            else:
+                del held[: -2 * WINDOW]
+                done = WINDOW
 
         for batch in batches:
             for text in text_bytes(batch.column("text")):
-                for a in range(0, len(text) or 1, 1 << 20):  # very long texts in pieces; a cut word counts as two
-                    held.extend(ids_of(text[a : a + (1 << 20)], buckets))
-                    held.extend([BUCKETS] * WINDOW)
-                    if len(held) >= 300_000:
-                        add()
-        add()
+                for run in runs_of(text, buckets):
+                    held.extend(run)
+                    if len(held) >= 600_000:
+                        add(False)
+                held.extend([BUCKETS] * WINDOW)
+                if len(held) >= 300_000:
+                    add(True)
+        add(True)
         stripes = total.astype("<f4").reshape(-1, STRIPE * DIMENSIONS)
         used = np.flatnonzero(stripes.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([stripes[i].tobytes() for i in used], pa.binary())], names=["stripe", "sums"])
@@ -114,8 +136,8 @@ def pooled(texts: list[bytes], vectors: np.ndarray, buckets: Buckets) -> np.ndar
     out = np.zeros((len(texts), FEATURES), np.float32)
     for row, text in zip(out, texts, strict=True):
         n, total, square, step, seen, last = 0, np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, set(), None
-        for a in range(0, len(text), 1 << 20):
-            if not (ids := ids_of(text[a : a + (1 << 20)], buckets)):
+        for ids in runs_of(text, buckets):
+            if not ids:
                 continue
             v = vectors[ids]
             total += v.sum(0, dtype=np.float64)
@@ -200,8 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("weight"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "weight", "x"])
 
     sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
-    picked = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", "weight")  # SAMPLE_ROWS ids at most
-    got = picked.mapInArrow(pool, "doc_id long, label int, weight double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    got = sampled_texts(rows, sample).mapInArrow(pool, "doc_id long, label int, weight double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
     return vectors, train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
 
@@ -210,7 +231,8 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int =
     """doc_id, held_out, score, predicted for every row of docs.
 
     A null or empty text is scored as a text without words, a row with a null id is scored and not held out, repeated
-    rows are scored each time. Other columns are not read. Without labels of both kinds the score is constant; without
+    rows are scored each time. A very long text is read whole, in runs of tokens that give what one run would; equal texts
+    have equal scores. An id with several texts is learned from its smallest. Other columns are not read. Without labels of both kinds the score is constant; without
     rows the result is empty.
     """
     vectors, net = learn(docs, labels, scratch, modulus, remainder, id_col, text_col, label)
@@ -227,7 +249,12 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is threshold or more."""
+    """The rows of docs, with all their columns, whose score is threshold or more.
+
+    A null or empty text is scored as a text without words, a very long one whole; each repeated row is judged by itself,
+    and rows of equal text alike. A score of exactly threshold stays. Other columns, whatever their names, are passed on.
+    Without rows the result is empty; without labels of both kinds all rows have one score.
+    """
     vectors, net = learn(docs, labels, scratch, text_col=text_col)
     at = docs.columns.index(text_col)
 
@@ -240,4 +267,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: f
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality over table documents, learned from table labels."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op8"))

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import labelled_sample, remainder_is, table
+from factloom.llm.common import labelled_sample, remainder_is, sampled_texts, table
 
 BINS = 1 << 20
-#: Labelled rows to learn from at most, and terms that the model keeps.
+#: Labelled rows to learn from at most.
 SAMPLE_ROWS = 8_000
-TERMS = 1_024
+#: Least G statistic, halved, of a term that the model keeps: chance alone gives it to one term in two thousand.
+EVIDENCE = 6.0
 FACTORS = 8
 THRESHOLD = 0.3
 CACHE = 300_000
@@ -52,8 +53,8 @@ class FactorizationMachine:
         return self.bias + np.add.reduceat(w, starts) + together.sum(1) / 2
 
 
-def choose_terms(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
-    """Bins whose presence tells most about the label, by G-test; those in under three texts are left out."""
+def choose_terms(bins: np.ndarray, owner: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """All bins whose presence tells about the label, by G-test; those in under three texts are left out."""
     found, place = np.unique(bins, return_inverse=True)
     n, pos = np.bincount(place).astype(float), np.bincount(place, label[owner]).astype(float)
     p, total = max(label.mean(), 1e-9), len(label)
@@ -61,11 +62,10 @@ def choose_terms(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, most: i
     for seen, expected in ((pos, n * p), (n - pos, n * (1 - p)), (label.sum() - pos, (total - n) * p), (total - n - label.sum() + pos, (total - n) * (1 - p))):
         gain += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
     gain[n < 3] = 0
-    keep = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(found[keep[gain[keep] > 6]])
+    return found[gain > EVIDENCE]
 
 
-def train(rows: list[tuple[int, float, np.ndarray]], terms: int = TERMS, factors: int = FACTORS, steps: int = 120, seed: int = 7) -> FactorizationMachine:
+def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, steps: int = 120, seed: int = 7) -> FactorizationMachine:
     """Fit (label, weight, bins) rows by Adam on the weighted logistic loss. One label only: a constant score."""
     label, weight = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     share = float((label * weight).sum() / weight.sum()) if len(rows) else 0.0
@@ -74,7 +74,7 @@ def train(rows: list[tuple[int, float, np.ndarray]], terms: int = TERMS, factors
         return FactorizationMachine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, factors)))
     owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     bins = np.concatenate([r[2] for r in rows]).astype(np.int64)
-    kept = choose_terms(bins, owner, label, terms)
+    kept = choose_terms(bins, owner, label)
     at = np.searchsorted(kept, bins)
     hit = np.isin(bins, kept)
     owner, at = owner[hit], at[hit]
@@ -105,7 +105,7 @@ def train(rows: list[tuple[int, float, np.ndarray]], terms: int = TERMS, factors
 
 
 def sample_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> list[tuple[int, float, np.ndarray]]:
-    """(label, weight, bins) of the sampled rows: SAMPLE_ROWS at most reach the driver."""
+    """(label, weight, bins) of the sampled rows: SAMPLE_ROWS at most reach the driver, however often an id is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +113,7 @@ def sample_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(bins, pa.list_(pa.int32()))], names=["label", "weight", "bins"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    picked = rows.join(F.broadcast(sample), "doc_id").select("text", "label", "weight")  # SAMPLE_ROWS ids at most
-    got = picked.mapInArrow(run, "label int, weight double, bins array<int>").toArrow()
+    got = sampled_texts(rows, sample).select("text", "label", "weight").mapInArrow(run, "label int, weight double, bins array<int>").toArrow()
     rows = list(zip(got["label"].to_pylist(), got["weight"].to_pylist(), (np.array(x, np.int64) for x in got["bins"].to_pylist()), strict=True))
     return sorted(rows, key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
 
@@ -162,7 +161,12 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under threshold."""
+    """The rows of docs, with all their columns, whose score is under threshold.
+
+    A null or empty text is scored as a text without terms, a very long one whole; each repeated row is judged by itself,
+    and rows of equal text alike. A score of exactly threshold goes. Other columns, whatever their names, are passed on.
+    Without rows the result is empty; without labels of both kinds all rows have one score.
+    """
     model, at = learn(docs, labels, text_col=text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +181,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: in
     """doc_id, held_out, score, predicted for every row of docs.
 
     Only texts are scored; other columns are not read. A null or empty text has the score of a text without terms, a row
-    with a null id is scored and not held out, a repeated row is scored each time. Without labels of both kinds the
+    with a null id is scored and not held out, a repeated row is scored each time. A very long text is scored whole, as a
+    set of terms; equal texts have equal scores. An id with several texts is learned from its smallest. Without labels of both kinds the
     score is constant; without rows the result is empty.
     """
     model = learn(docs, labels, modulus, remainder, id_col, text_col, label)
@@ -185,4 +190,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: in
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity over table documents, learned from table labels."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import brown, forest, license, mixing, packing, quality, search, simhash, toxicity
-from factloom.llm.common import Scratch, components, local_components
+from factloom.llm.common import Scratch, components, labelled_sample, local_components, sampled_texts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,6 +28,26 @@ def test_license_automaton():
         assert not accepts(bad), bad
 
 
+def test_license_templates_of_a_caller(spark):
+    docs = spark.createDataFrame([(1, "Free to use by anyone"), (2, "free for use"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.license_scan(docs, templates={"own": "free to use"}).collect()}
+    assert got == {1: ("own", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    got = {r["doc_id"]: r["labels"] for r in license.license_scan(docs, templates={"own": "[[nothing | <<2>>]]"}).collect()}
+    assert got == {1: "own", 2: "own", 3: ""}
+
+
+def test_license_whole_wording(spark):
+    import re
+
+    whole = {k: re.sub(r"\[\[.*?\]\]|<<\d+>>", "", re.sub(r"\[\[3\]\]", "", license.TEMPLATES[k])) for k in ("mit", "isc", "apache-2.0", "mpl-2.0")}
+    rows = [(k, f"Preface. {t}. Afterword") for k, t in whole.items()] + [(k + "?", t.rsplit(" ", 3)[0]) for k, t in whole.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {rows[r["doc_id"]][0]: (r["labels"].split(","), r["score"]) for r in license.license_scan(docs).collect()}
+    for k in whole:
+        assert k in got[k][0] and got[k][1] == 1.0
+        assert k not in got[k + "?"][0] and got[k + "?"][1] == 0.75
+
+
 def test_license_places():
     words = license.words_of("CC-BY, All rights\nreserved. cc by".encode())
     phrases = {b" " + k.encode() + b" ": v for k, v in license.BASE.items()}
@@ -263,6 +283,39 @@ def test_classifiers_on_held_out_rows(spark):
         assert sum(r["predicted"] == r[column] for r in held) >= 0.95 * len(held)
 
 
+def test_sample_is_bounded_by_rows_not_ids(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "concat('b', id) AS text").union(spark.range(5000).selectExpr("1L", "'a'"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    sample = labelled_sample(labels, "toxic", F.lit(False), 100)
+    assert sorted(sampled_texts(docs, sample).select("doc_id", "text").collect()) == [(0, "b0"), (1, "a"), (2, "b2")]
+    assert len(toxicity.sample_rows(docs, sample, "doc_id", "text")) == 3
+
+
+def test_long_texts_give_the_features_of_whole_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("tree", "BIRD", "häuser", "12", "!!")) for _ in range(n)).encode() for n in (0, 3, 900, 4000)]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole = quality.word_vectors(docs, Scratch(spark, "t"))
+    features = quality.pooled(texts, whole, quality.Buckets())
+    runs = [list(quality.runs_of(t, quality.Buckets())) for t in texts]
+    monkeypatch.setattr(quality, "LONG", 100)
+    monkeypatch.setattr(quality, "RUN", 77)
+    cut = [list(quality.runs_of(t, quality.Buckets())) for t in texts]
+    assert [[i for r in x for i in r] for x in cut] == [[i for r in x for i in r] for x in runs] and len(cut[3]) > 50
+    assert np.allclose(quality.pooled(texts, whole, quality.Buckets()), features, atol=1e-5)
+
+
+def test_terms_are_not_capped():
+    rng = random.Random(4)
+    rows = []
+    for i in range(16000):  # 400 insults, none of them frequent
+        words = [f"w{rng.randrange(60)}x" for _ in range(5)] + ([f"{rng.randrange(400):03d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3] if i % 2 else [])
+        rows.append((i % 2, 1.0, np.array(sorted({b for w in words for b in toxicity.bins_of(w.encode())}))))
+    model = toxicity.train(rows)
+    wanted = {b for i in range(400) for b in toxicity.bins_of((f"{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3).encode())}
+    assert len(wanted) > 800 and len(wanted & set(model.bins.tolist())) > 0.9 * len(wanted)
+
+
 def test_mixing_meets_targets(spark):
     soft = spark.createDataFrame([(i, 10 + i % 7, [0.9, 0.1] if i % 4 else [0.2, 0.8]) for i in range(200)], "doc_id long, n_tokens long, p array<double>")
     steps = mixing.residuals(soft, [0.5, 0.5], 2, steps=60)
