@@ -1,6 +1,8 @@
 """Mixing sources to target weights with soft membership, with DataFrame functions only.
 
-A multinomial classifier over marker counts, fitted on the labelled rows, gives each document a posterior over domains.
+A multinomial classifier over hashed words, fitted on the labelled rows, gives each document the mean evidence of its
+words for each domain; a scale, chosen so that on labelled rows it was not fitted on it is as sure as it is right, turns
+that into posteriors. A text half in one domain and half in another is shared by both.
 Rates r >= lowest then minimise sum over domains of (T - t)^2 / S, with T = sum of rate * tokens * posterior, t the
 target and S the tokens there are. In the metric where a document counts as its tokens, the gradient for a document is
 sum over domains of posterior * (T - t) / S and has a Lipschitz constant of 1 at most, since posteriors add up to 1:
@@ -13,69 +15,100 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, table
 
-#: Frequent words and letters whose counts tell the domains of the tables apart; any strings will do.
-MARKERS = (" the ", " of ", " and ", " that ", " der ", " die ", " und ", " von ", " le ", " et ", " des ", " que ", " el ", " los ", " y ", " las ", "ä", "ö", "ü", "ß", "é", "è", "ê", "ç", "ñ", "ó", "í", "ció")
+#: Bins of hashed words: the classifier is a table of so many rows and a number for each domain.
+TERMS = 4_096
 STEPS = 12
-#: Posteriors come from the mean evidence of a token times this.
-SHARPNESS = 40.0
+#: Scales that posteriors may have, and the labelled rows, one id in FOLD, that choose among them.
+SCALES = tuple(2.0 ** (k / 2) for k in range(-2, 15))
+FOLD = 5
 
 
-def marker_counts(text: F.Column, markers: tuple[str, ...]) -> list[F.Column]:
-    """Places of each marker in the text, and its tokens: runs of characters other than white space."""
-    size = F.octet_length(text)
-    counts = [((size - F.octet_length(F.replace(text, F.lit(m)))) / len(m.encode())).cast("long") for m in markers]
-    return [*counts, F.size(F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")).cast("long")]
+def words_of(text: F.Column) -> F.Column:
+    """Array of the text's words, runs of characters other than white space, and empty strings; it is never empty."""
+    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+
+
+def term_of(word: str) -> F.Column:
+    """Bin of a column of words, by first, middle and last character and length."""
+    mixed = f"ascii({word}) * 7919L + ascii(right({word}, 1)) * 104729L + ascii(substr({word}, length({word}) div 2 + 1, 1)) * 1299709L + length({word}) * 15485863L"
+    return F.expr(f"CAST(pmod({mixed}, {TERMS}L) AS INT)")
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Multinomial classifier: for each domain its log prior and the log weight of each marker and of other tokens."""
+    """Domains with their log priors, the scale of the evidence, and a table (term, w): a log weight for each domain."""
 
     domains: tuple[str, ...]
     priors: tuple[float, ...]
-    weights: tuple[tuple[float, ...], ...]
-    markers: tuple[str, ...] = MARKERS
-    sharpness: float = SHARPNESS
+    scale: float
+    weights: DataFrame
 
 
-def with_counts(df: DataFrame, text_col: str, markers: tuple[str, ...]) -> DataFrame:
-    """df with columns m0, m1, ... of marker counts and n_tokens, under names that replace any of df's."""
-    names = [*(f"m{i}" for i in range(len(markers))), "n_tokens"]
-    return df.withColumns(dict(zip(names, marker_counts(F.coalesce(df[text_col].cast("string"), F.lit("")), markers), strict=True)))
+def domain_counts(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(domain, term, n): words of rows (doc_id, text) by the domain that labelled (doc_id, domain) has for the id."""
+    known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    words = rows.join(known, "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) != 0).select("domain", F.explode(words_of(F.col("text"))).alias("w"))
+    return words.where("w <> ''").groupBy("domain", term_of("w").alias("term")).agg(F.count("*").alias("n"))
 
 
-def fit(counted: DataFrame, labelled: DataFrame, markers: tuple[str, ...] = MARKERS, sharpness: float = SHARPNESS) -> Classifier:
-    """Learn from the rows of counted (doc_id, m0..., n_tokens) that labelled (doc_id, domain) names; few numbers a domain.
+def evidence(rows: DataFrame, keys: list[str], weights: DataFrame, n: int) -> DataFrame:
+    """keys, n_tokens and e0, e1, ...: the mean log weight of each of the n domains over the words of rows (text, keys).
 
-    A repeated id has its smallest domain. Without labelled rows there is one domain, `all`.
+    One pass over the words; they are added up for each row before anything moves. weights has TERMS rows.
     """
-    names = [f"m{i}" for i in range(len(markers))]
-    known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    rows = counted.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("n_tokens"), *(F.sum(m).alias(m) for m in names)).orderBy("domain").collect()
-    weights = []
-    for r in rows:
-        seen = [r[m] for m in names]
-        seen.append(max(0, r["n_tokens"] - sum(seen)))
-        weights.append(tuple(math.log((c + 1.0) / (sum(seen) + len(seen))) for c in seen))
-    if not rows:
-        return Classifier(("all",), (0.0,), ((0.0,) * (len(names) + 1),), markers, sharpness)
-    return Classifier(tuple(r["domain"] for r in rows), tuple(math.log(r["docs"]) for r in rows), tuple(weights), markers, sharpness)
-
-
-def with_posteriors(counted: DataFrame, model: Classifier) -> DataFrame:
-    """counted with p, the array of posteriors over the model's domains; the marker columns go."""
-    names = [f"m{i}" for i in range(len(model.markers))]
-    seen = sum((F.col(m) for m in names), F.lit(0))
-    rest, size = F.greatest(F.lit(0), F.col("n_tokens") - seen), F.greatest(F.col("n_tokens"), seen, F.lit(1))
-    evidence = [F.lit(p) + (sum((F.col(m) * F.lit(x) for m, x in zip(names, w, strict=False)), F.lit(0.0)) + rest * F.lit(w[-1])) * F.lit(model.sharpness) / size for p, w in zip(model.priors, model.weights, strict=True)]
-    scored = counted.withColumn("p", F.array(*evidence)).drop(*names)
-    scored = scored.withColumn("p", F.transform("p", lambda x: F.exp(x - F.array_max("p"))))
-    return scored.withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, y: a + y)))
+    own = rows.withColumn("rid", F.monotonically_increasing_id())
+    words = own.select("rid", *keys, F.explode(words_of(F.col("text"))).alias("w"))
+    known = words.withColumn("term", F.when(F.col("w") != "", term_of("w")))
+    met = known.join(F.broadcast(weights), "term", "left")
+    sums = met.groupBy("rid", *keys).agg(F.count("term").alias("n_tokens"), *(F.coalesce(F.sum(F.col("w_of")[d]), F.lit(0.0)).alias(f"e{d}") for d in range(n)))
+    size = F.greatest(F.col("n_tokens"), F.lit(1))
+    return sums.select(*keys, "n_tokens", *((F.col(f"e{d}") / size).alias(f"e{d}") for d in range(n)))
+
+
+def posteriors(priors: tuple[float, ...], scale: float) -> F.Column:
+    """Array of posteriors over the domains, from e0, e1, ..."""
+    raw = F.array(*(F.lit(p) + F.col(f"e{d}") * F.lit(scale) for d, p in enumerate(priors)))
+    grown = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+    return F.transform(grown, lambda x: x / F.aggregate(grown, F.lit(0.0), lambda a, y: a + y))
+
+
+def fit(rows: DataFrame, labelled: DataFrame, scratch: Scratch) -> Classifier:
+    """Learn from the rows (doc_id, text) that labelled (doc_id, domain) names; a few numbers reach the driver.
+
+    A repeated id has its smallest domain. Ids divisible by FOLD are not fitted on: the scale is chosen on them, so that
+    the mean of the largest posteriors is nearest to the share of right answers. Without such rows it is the middle one.
+    Without labelled rows to fit on there is one domain, `all`.
+    """
+    spark = rows.sparkSession
+    counts = scratch.save(domain_counts(rows, labelled), "counts")
+    named = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    have = {r["domain"]: r["docs"] for r in named.groupBy("domain").agg(F.count("*").alias("docs")).collect()}  # a row a domain
+    domains = tuple(sorted(r["domain"] for r in counts.select("domain").distinct().collect()))
+    terms = spark.range(TERMS).select(F.col("id").cast("int").alias("term"))
+    if not domains:
+        return Classifier(("all",), (0.0,), 1.0, terms.withColumn("w_of", F.array(F.lit(0.0))))
+    total = Window.partitionBy()
+    columns = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(domains)]
+    table_of = terms.join(counts.groupBy("term").agg(*columns), "term", "left").na.fill(0)  # TERMS rows
+    weights = table_of.select("term", F.array(*(F.log((F.col(f"n{i}") + 1.0) / (F.sum(f"n{i}").over(total) + TERMS)) for i in range(len(domains)))).alias("w_of"))
+    weights = scratch.save(weights, "weights")
+    priors = tuple(math.log(have[d]) for d in domains)
+
+    kept = rows.join(named, "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) == 0).where(F.col("domain").isin(*domains))
+    seen = evidence(kept, ["domain"], weights, len(domains))
+    checks = []
+    for k, scale in enumerate(SCALES):
+        p = posteriors(priors, scale)
+        right = F.element_at(F.array(*map(F.lit, domains)), F.array_position(p, F.array_max(p)).cast("int")) == F.col("domain")
+        checks += [F.sum(F.array_max(p)).alias(f"sure{k}"), F.count_if(right).alias(f"right{k}")]
+    got = seen.agg(F.count("*").alias("rows"), *checks).first()
+    far = [abs(got[f"sure{k}"] / got["rows"] - (got[f"right{k}"] + 1) / (got["rows"] + 2)) if got["rows"] else abs(k - len(SCALES) // 2) for k in range(len(SCALES))]
+    return Classifier(domains, priors, SCALES[far.index(min(far))], weights)
 
 
 def residuals(soft: DataFrame, targets: list[float] | None, n: int, lowest: float = 0.0, steps: int = STEPS, smoothing: float = 0.7) -> list[list[float]]:
@@ -120,11 +153,12 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def solve(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[str, float] | None, lowest: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Classifier, list[list[float]], DataFrame]:
-    """Classifier, residual steps, and the saved table (doc_id, n_tokens, p)."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    counted = scratch.save(with_counts(rows, "text", MARKERS).drop("text"), "counted")
-    model = fit(counted, labelled)
-    soft = scratch.save(with_posteriors(counted, model), "soft")
+    """Classifier, residual steps, and the saved table (doc_id, mark, n_tokens, p); mark is a hash of the text."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+    model = fit(rows, labelled, scratch)
+    seen = evidence(rows.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"], model.weights, len(model.domains))
+    soft = scratch.save(seen.select("doc_id", "mark", "n_tokens", posteriors(model.priors, model.scale).alias("p")), "soft")
     goal = None if targets is None else [targets.get(d, 0.0) for d in model.domains]
     return model, residuals(soft, goal, len(model.domains), lowest), soft
 
@@ -133,8 +167,9 @@ def mix(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[st
     """doc_id, n_tokens, domain (likeliest), posterior (of it), rate and copies of every row of docs.
 
     targets: share of all tokens wanted of each domain; a domain that is not named gets none. A null or empty text has
-    no tokens and the prior's posterior; ids may be null or repeated, each row has its own rate. Other columns are not
-    read. Without rows the result is empty.
+    no tokens and the prior's posterior, a very long one is read whole; of equally likely domains the first by name
+    counts. Ids may be null or repeated, each row has its own rate. Other columns are not read. Without rows the result
+    is empty.
     """
     model, steps, soft = solve(docs, labelled, scratch, targets, lowest, id_col, text_col)
     top = F.array_max("p")
@@ -143,17 +178,20 @@ def mix(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[st
     return soft.select("doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, model.domains)), best.cast("int")).alias("domain"), F.round(top, 6).alias("posterior"), F.round(rate, 6).alias("rate"), copies_of("doc_id", rate).alias("copies"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, lowest: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its copies say.
+def resample(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, once each, and again as often as their copies over one say.
 
-    targets None: shares of the domains, bent towards each other, in the smallest total that shrinks none. With lowest 1
-    every row stays.
+    targets None: shares of the domains, bent towards each other, in the smallest total that shrinks none. No rate is
+    under 1: every row stays. Rows of one id and one text, null or not, have one rate and come again alike. A very long
+    text is read whole. Other columns, whatever their names, are passed on. Without rows the result is empty.
     """
-    model, steps, _ = solve(docs, labelled, scratch, targets, lowest, id_col, text_col)
-    packed = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rated = with_posteriors(with_counts(packed, "text", MARKERS), model)
-    copied = rated.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies_of("doc_id", rate_of(steps, lowest))))).where("copy > 0")
-    return copied.select("row.*")
+    _, steps, soft = solve(docs, labelled, scratch, targets, 1.0, id_col, text_col)
+    rated = soft.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), copies_of("doc_id", rate_of(steps, 1.0)).alias("_copies"))
+    more = scratch.save(rated.where("_copies > 1").distinct(), "more")  # only these rows are looked up again
+    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    again = docs.join(more, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")))
+    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("long"), "_copies"))).select(*(docs[c] for c in docs.columns))
+    return docs.unionByName(again)
 
 
 #: Query op2: as many tokens of each language.
@@ -161,6 +199,7 @@ EQUAL = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix over table documents: as many tokens of each language, learned from the rows that table labels names."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mix(docs, labelled_languages(docs, labels), Scratch(spark, "op2"), EQUAL)
 
@@ -168,12 +207,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same for the four languages of the tables: each step is a common table expression."""
     langs, n = sorted(EQUAL), range(len(EQUAL))
-    counts = ", ".join(f"(strlen(text) - strlen(replace(text, '{m}', ''))) // strlen('{m}') AS m{i}" for i, m in enumerate(MARKERS))
-    ms = [f"m{i}" for i in range(len(MARKERS))]
-    seen = " + ".join(ms)
-    weights = ", ".join(f"ln((sum({m}) + 1.0) / (sum({seen}) + greatest(0, sum(n_tokens) - sum({seen})) + {len(ms) + 1})) AS w{i}" for i, m in enumerate(ms))
-    rest_weight = f"ln((greatest(0, sum(n_tokens) - sum({seen})) + 1.0) / (sum({seen}) + greatest(0, sum(n_tokens) - sum({seen})) + {len(ms) + 1})) AS wr"
-    score = " + ".join(f"m{i} * f.w{i}" for i in range(len(ms))) + f" + greatest(0, n_tokens - ({seen})) * f.wr"
+    mixed = "CAST(ascii(w) AS BIGINT) * 7919 + CAST(ascii(right(w, 1)) AS BIGINT) * 104729 + CAST(ascii(substr(w, length(w) // 2 + 1, 1)) AS BIGINT) * 1299709 + CAST(length(w) AS BIGINT) * 15485863"
+    white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    weights = ", ".join(f"ln((coalesce(sum(c.n) FILTER (WHERE lang = '{x}'), 0) + 1.0) / (sum(coalesce(sum(c.n) FILTER (WHERE lang = '{x}'), 0)) OVER () + {TERMS})) AS w{i}" for i, x in enumerate(langs))
+    scores = lambda scale: [f"(p{i} + e{i} * {scale})" for i in n]
+    sure = lambda scale: f"1 / ({' + '.join(f'exp({x} - greatest({", ".join(scores(scale))}))' for x in scores(scale))})"
+    right = lambda scale: f"(CASE greatest({', '.join(scores(scale))}) {' '.join(f'WHEN {x} THEN {chr(39)}{lang}{chr(39)}' for x, lang in zip(scores(scale), langs, strict=True))} END = lang)"
+    far = " UNION ALL ".join(f"SELECT {k} AS k, CAST({scale} AS DOUBLE) AS scale, abs(sum({sure(scale)}) / count(*) - (count(*) FILTER (WHERE {right(scale)}) + 1.0) / (count(*) + 2)) AS far FROM held" for k, scale in enumerate(SCALES))
+    chosen = [f"(p{i} + e{i} * scale)" for i in n]
+    grown = [f"exp({x} - greatest({', '.join(chosen)}))" for x in chosen]
     steps = ""
     for k in range(STEPS):
         rate = "1.0" if k == 0 else "rate"
@@ -183,13 +225,19 @@ def oracle() -> str:
         steps += f",\nt{k + 1} AS MATERIALIZED (SELECT {sums} FROM {source}),\nr{k + 1} AS MATERIALIZED (SELECT doc_id, n_tokens, p, greatest(0.0, {rate} + ({move})) AS rate FROM {source}, t{k + 1}, have h)"
     return f"""
 WITH d AS MATERIALIZED (
-  SELECT doc_id, lang, {counts}, len(regexp_extract_all(text, '[^ \\t-\\r]+')) AS n_tokens FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)),
-f AS MATERIALIZED (
-  SELECT lang, ln(count(*)) AS prior, {weights}, {rest_weight} FROM d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang),
-s AS (
-  SELECT d.doc_id, d.n_tokens, f.lang, f.prior + ({score}) * {SHARPNESS} / greatest(n_tokens, {seen}, 1) AS s FROM d, f),
-e AS (SELECT doc_id, n_tokens, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM s),
-soft AS MATERIALIZED (SELECT doc_id, any_value(n_tokens) AS n_tokens, list(e / z ORDER BY lang) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY doc_id) AS z FROM e) GROUP BY doc_id),
+  SELECT row_number() OVER () AS rid, doc_id, lang, string_split(translate(coalesce(text, ''), {white}, '     '), ' ') AS ws FROM documents),
+t AS MATERIALIZED (
+  SELECT rid, doc_id, lang, CASE WHEN w <> '' THEN ({mixed}) % {TERMS} END AS term FROM (SELECT rid, doc_id, lang, unnest(ws) AS w FROM d)),
+l AS MATERIALIZED (SELECT DISTINCT doc_id FROM labels),
+c AS (SELECT lang, term, count(*) AS n FROM t WHERE term IS NOT NULL AND doc_id % {FOLD} <> 0 AND doc_id IN (FROM l) GROUP BY ALL),
+f AS MATERIALIZED (SELECT term, {weights} FROM range({TERMS}) r(term) LEFT JOIN c USING (term) GROUP BY term),
+prior AS (SELECT {", ".join(f"ln(count(DISTINCT doc_id) FILTER (WHERE lang = '{x}')) AS p{i}" for i, x in enumerate(langs))} FROM d WHERE doc_id IN (FROM l)),
+e AS MATERIALIZED (
+  SELECT rid, t.doc_id, any_value(lang) AS lang, count(term) AS n_tokens, {", ".join(f"coalesce(sum(w{i}), 0) / greatest(count(term), 1) AS e{i}" for i in n)}, {", ".join(f"any_value(p{i}) AS p{i}" for i in n)}
+  FROM t LEFT JOIN f USING (term), prior GROUP BY rid, t.doc_id),
+held AS (SELECT * FROM e WHERE doc_id % {FOLD} = 0 AND doc_id IN (FROM l)),
+scale AS MATERIALIZED (SELECT scale FROM ({far}) ORDER BY far, k LIMIT 1),
+soft AS MATERIALIZED (SELECT doc_id, n_tokens, [{", ".join(f"{g} / ({' + '.join(grown)})" for g in grown)}] AS p FROM e, scale),
 have AS MATERIALIZED (SELECT {", ".join(f"sum(n_tokens * p[{d + 1}]) AS h{d}, sum(n_tokens) * 0.25 AS g{d}" for d in n)} FROM soft){steps}
 SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, {langs}[list_position(p, list_max(p))] AS domain, round(list_max(p), 6) AS posterior, round(rate, 6) AS rate,
   CAST(floor(rate + CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0) AS BIGINT) AS copies

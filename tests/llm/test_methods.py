@@ -324,6 +324,28 @@ def test_mixing_meets_targets(spark):
     assert all(math.isclose(t, everything / 2, rel_tol=1e-3) for t in totals)
 
 
+def test_mixing_membership_is_soft(spark):
+    rng = random.Random(6)
+    tongues = {"aa": [f"{x}o{y}" for x in "bdgk" for y in "lmnr"], "bb": [f"{x}ie{y}e" for x in "ptsz" for y in "fwh"], "cc": []}
+    pure = lambda lang, n: [rng.choice(tongues[lang]) for _ in range(n)]
+    rows = [(i, " ".join(pure(lang, 30)), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    rows += [(1000 + k, " ".join(pure("aa", 20 + k) + pure("bb", 20 - k)), "aa") for k in (-8, 0, 8)] + [(2000, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 200").select("doc_id")
+    model, _, soft = mixing.solve(docs, mixing.labelled_languages(docs, labels), Scratch(spark, "t"), {"aa": 0.5, "bb": 0.5})
+    p = {r["doc_id"]: r["p"][0] for r in soft.collect()}
+    assert model.domains == ("aa", "bb")
+    assert all((p[i] > 0.9) == (i % 2 == 0) for i in range(200))
+    assert p[992] < p[1000] < p[1008] and 0.2 < p[1000] < 0.8 and p[2000] == 0.5
+
+
+def test_resample_repeats_rows_alike(spark):
+    rows = [(1, "bolo kom", "aa", 1), (1, "bolo kom", "aa", 2), (None, None, None, 3)] + [(i, "tiefe ziehe", "bb", i) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _copy long")
+    got = Counter((r["doc_id"], r["_copy"]) for r in mixing.resample(docs, mixing.labelled_languages(docs, docs), Scratch(spark, "t")).collect())
+    assert set(got) == {(r[0], r[3]) for r in rows} and got[1, 1] == got[1, 2] > 1
+
+
 def test_pipeline_drops_and_keeps(spark, tmp_path):
     rng = random.Random(8)
     words = [f"word{i}" for i in range(300)]
