@@ -189,9 +189,9 @@ def resample(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: di
     rated = soft.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), copies_of("doc_id", rate_of(steps, 1.0)).alias("_copies"))
     more = scratch.save(rated.where("_copies > 1").distinct(), "more")  # only these rows are looked up again
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    again = docs.join(more, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")))
-    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("long"), "_copies"))).select(*(docs[c] for c in docs.columns))
-    return docs.unionByName(again)
+    again = docs.join(more, docs[id_col].cast("long").eqNullSafe(more["_id"]) & (mark == more["_mark"]))
+    again = again.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.sequence(F.lit(2).cast("long"), more["_copies"])))
+    return docs.unionByName(again.select("row.*"))
 
 
 #: Query op2: as many tokens of each language.

@@ -214,9 +214,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     mine = docs[id_col].cast("long")
     # what goes, and ids that come again, are few beside the rows: the others' texts stay where they are
     gone = marked.where("again OR NOT stays").select(F.col("doc_id").alias("_gone"))
-    single = docs.join(gone, mine == F.col("_gone"), "left_anti")
+    single = docs.join(gone, mine == gone["_gone"], "left_anti")
     again = marked.where("again AND stays").select(F.col("doc_id").alias("_again"))
-    repeated = docs.join(again, mine == F.col("_again"), "left_semi")
+    repeated = docs.join(again, mine == again["_again"], "left_semi")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     if others:
         least = repeated.groupBy(id_col, text_col).agg(F.min(F.struct(*others)).alias("_least"))
