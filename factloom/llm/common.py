@@ -141,6 +141,15 @@ def labelled_sample(labels: DataFrame, label: str, held_out: F.Column, most: int
     return parts[0].union(parts[1])
 
 
+#: Rows of narrow columns that a join may send to all executors: tens of megabytes there.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The stored table, marked for broadcast if it has few rows; else the join moves both sides by key."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def sampled_texts(rows: DataFrame, sample: DataFrame) -> DataFrame:
     """(doc_id, text, label, weight): one row for each id of sample that rows (doc_id, text) has, so no more rows than
     sample has. A repeated id has its smallest text; copies of it are put together before they move."""

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, table
+from factloom.llm.common import Scratch, small, table
 
 #: Bins of hashed words: the classifier is a table of so many rows and a number for each domain.
 TERMS = 4_096
@@ -49,10 +49,9 @@ class Classifier:
     weights: DataFrame
 
 
-def domain_counts(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(domain, term, n): words of rows (doc_id, text) by the domain that labelled (doc_id, domain) has for the id."""
-    known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    words = rows.join(known, "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) != 0).select("domain", F.explode(words_of(F.col("text"))).alias("w"))
+def domain_counts(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(domain, term, n): words of rows (doc_id, text) by the domain that named (doc_id, domain) has for the id."""
+    words = rows.join(small(named), "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) != 0).select("domain", F.explode(words_of(F.col("text"))).alias("w"))
     return words.where("w <> ''").groupBy("domain", term_of("w").alias("term")).agg(F.count("*").alias("n"))
 
 
@@ -85,8 +84,8 @@ def fit(rows: DataFrame, labelled: DataFrame, scratch: Scratch) -> Classifier:
     Without labelled rows to fit on there is one domain, `all`.
     """
     spark = rows.sparkSession
-    counts = scratch.save(domain_counts(rows, labelled), "counts")
-    named = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    named = scratch.save(labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain")), "named")
+    counts = scratch.save(domain_counts(rows, named), "counts")
     have = {r["domain"]: r["docs"] for r in named.groupBy("domain").agg(F.count("*").alias("docs")).collect()}  # a row a domain
     domains = tuple(sorted(r["domain"] for r in counts.select("domain").distinct().collect()))
     terms = spark.range(TERMS).select(F.col("id").cast("int").alias("term"))
@@ -99,7 +98,7 @@ def fit(rows: DataFrame, labelled: DataFrame, scratch: Scratch) -> Classifier:
     weights = scratch.save(weights, "weights")
     priors = tuple(math.log(have[d]) for d in domains)
 
-    kept = rows.join(named, "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) == 0).where(F.col("domain").isin(*domains))
+    kept = rows.join(small(named), "doc_id").where(F.pmod("doc_id", F.lit(FOLD)) == 0).where(F.col("domain").isin(*domains))
     seen = evidence(kept, ["domain"], weights, len(domains))
     checks = []
     for k, scale in enumerate(SCALES):
@@ -189,7 +188,7 @@ def resample(docs: DataFrame, labelled: DataFrame, scratch: Scratch, targets: di
     rated = soft.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), copies_of("doc_id", rate_of(steps, 1.0)).alias("_copies"))
     more = scratch.save(rated.where("_copies > 1").distinct(), "more")  # only these rows are looked up again
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    again = docs.join(more, docs[id_col].cast("long").eqNullSafe(more["_id"]) & (mark == more["_mark"]))
+    again = docs.join(small(more), docs[id_col].cast("long").eqNullSafe(more["_id"]) & (mark == more["_mark"]))
     again = again.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.sequence(F.lit(2).cast("long"), more["_copies"])))
     return docs.unionByName(again.select("row.*"))
 

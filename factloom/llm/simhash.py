@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, components, local_components, shingle_hashes, sorted_groups, table, text_bytes
+from factloom.llm.common import Scratch, components, local_components, shingle_hashes, small, sorted_groups, table, text_bytes
 from factloom.llm.jaccard import near_copies
 
 MOST_BITS = 4
@@ -213,9 +213,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     marked = scratch.save(ids.join(kept, F.col("doc_id") == F.col("kept_id"), "left").select("doc_id", F.col("kept_id").isNotNull().alias("stays"), (F.col("rows") > 1).alias("again")), "marked")
     mine = docs[id_col].cast("long")
     # what goes, and ids that come again, are few beside the rows: the others' texts stay where they are
-    gone = marked.where("again OR NOT stays").select(F.col("doc_id").alias("_gone"))
+    gone = small(marked.where("again OR NOT stays").select(F.col("doc_id").alias("_gone")))
     single = docs.join(gone, mine == gone["_gone"], "left_anti")
-    again = marked.where("again AND stays").select(F.col("doc_id").alias("_again"))
+    again = small(marked.where("again AND stays").select(F.col("doc_id").alias("_again")))
     repeated = docs.join(again, mine == again["_again"], "left_semi")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     if others:

@@ -24,6 +24,7 @@ SAMPLE_ROWS = 8_000
 #: Least G statistic, halved, of a term that the model keeps: chance alone gives it to one term in two thousand.
 EVIDENCE = 6.0
 FACTORS = 8
+BLOCK_ROWS = 500
 THRESHOLD = 0.3
 CACHE = 300_000
 _SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -72,17 +73,17 @@ def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, ste
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not 0 < share < 1:
         return FactorizationMachine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, factors)))
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    bins = np.concatenate([r[2] for r in rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
+    bins = np.concatenate([r[2] for r in rows]).astype(np.int32)
     kept = choose_terms(bins, owner, label)
-    at = np.searchsorted(kept, bins)
     hit = np.isin(bins, kept)
-    owner, at = owner[hit], at[hit]
+    owner, at = owner[hit], np.searchsorted(kept, bins[hit])
+    del bins, hit
     filler = np.full(len(rows), len(kept))  # a term that weighs nothing, so that no text is without terms
     order = np.argsort(np.concatenate((owner, np.arange(len(rows)))), kind="stable")
     idx = np.concatenate((at, filler))[order]
     owner = np.concatenate((owner, np.arange(len(rows))))[order]
-    starts = np.searchsorted(owner, np.arange(len(rows)))
+    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
     params = [np.array([prior]), np.zeros(len(kept) + 1), rng.normal(0, 0.02, (len(kept) + 1, factors))]
     params[2][-1] = 0
@@ -90,12 +91,20 @@ def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, ste
     weight = weight / weight.sum()
     for step in range(1, steps + 1):
         bias, w, v = params
-        each = v[idx]
-        total = np.add.reduceat(each, starts)
-        raw = bias[0] + np.add.reduceat(w[idx], starts) + ((total**2).sum(1) - np.add.reduceat((each**2).sum(1), starts)) / 2
-        slope = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label)
-        near = slope[owner][:, None] * (total[owner] - each)
-        grads = [np.array([slope.sum()]), np.bincount(idx, slope[owner], len(kept) + 1) + 1e-6 * w, np.stack([np.bincount(idx, near[:, f], len(kept) + 1) for f in range(factors)], 1) + 1e-5 * v]
+        grads = [np.zeros(1), 1e-6 * w, 1e-5 * v]
+        for a in range(0, len(rows), BLOCK_ROWS):  # a block of texts at a time: memory stays bounded
+            b = min(len(rows), a + BLOCK_ROWS)
+            own, first = idx[starts[a] : starts[b]], starts[a:b] - starts[a]
+            of = owner[starts[a] : starts[b]] - a
+            each = v[own]
+            total = np.add.reduceat(each, first)
+            raw = bias[0] + np.add.reduceat(w[own], first) + ((total**2).sum(1) - np.add.reduceat((each**2).sum(1), first)) / 2
+            slope = weight[a:b] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label[a:b])
+            near = slope[of][:, None] * (total[of] - each)
+            grads[0] += slope.sum()
+            grads[1] += np.bincount(own, slope[of], len(kept) + 1)
+            for f in range(factors):
+                grads[2][:, f] += np.bincount(own, near[:, f], len(kept) + 1)
         grads[1][-1] = grads[2][-1] = 0
         for p, g, (m, s) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
@@ -109,13 +118,13 @@ def sample_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [sorted({b for w in words_of(t) for b in bins_of(w)}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(bins, pa.list_(pa.int32()))], names=["label", "weight", "bins"])
+            bins = [np.array(sorted({b for w in words_of(t) for b in bins_of(w)}), "<i4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(bins, pa.binary())], names=["label", "weight", "bins"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    got = sampled_texts(rows, sample).select("text", "label", "weight").mapInArrow(run, "label int, weight double, bins array<int>").toArrow()
-    rows = list(zip(got["label"].to_pylist(), got["weight"].to_pylist(), (np.array(x, np.int64) for x in got["bins"].to_pylist()), strict=True))
-    return sorted(rows, key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
+    got = sampled_texts(rows, sample).select("text", "label", "weight").mapInArrow(run, "label int, weight double, bins binary").toArrow()
+    found = [(label, weight, bins) for label, weight, bins in zip(got["label"].to_pylist(), got["weight"].to_pylist(), got["bins"].to_pylist(), strict=True)]
+    return [(label, weight, np.frombuffer(bins, "<i4")) for label, weight, bins in sorted(found, key=lambda r: (r[0], len(r[2]), r[2]))]
 
 
 class Scorer:
