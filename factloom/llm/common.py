@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 class Scratch:
     """Intermediate tables, written as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -35,8 +38,14 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/factloom/{tag}-{uuid.uuid4().hex}", {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """The table, written and read again. Whole texts come to Python in batches of few rows meanwhile."""
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        had = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, BATCH_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_CONF, had)
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
         self.paths[name] = path
@@ -100,14 +109,30 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Links that one task may hold: 16 MB of them.
+LOCAL_LINKS = 1 << 20
+
+
+def components(edges: DataFrame, scratch: Scratch, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component): the smallest id reachable from each node that occurs in edges (src, dst), both long.
 
-    Large-star and small-star rounds on written tables: a round's output is a table of links, so nothing is
-    gathered in one task, and the joins have two plain exchanges each, which Spark can split where a node is hot.
+    Up to local_links different links are solved in one task. More of them take large-star and small-star rounds on
+    written tables: a round's output is a table of links, so nothing is gathered in one task, and the joins have two
+    plain exchanges each, which Spark can split where a node is hot.
     """
     both = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     now, before, k = scratch.save(both.distinct(), "edges0"), None, 0
+    if now.count() <= local_links:
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+            if got:
+                ends = [np.concatenate(c) for c in zip(*got, strict=True)]
+                nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+                label = local_components(len(nodes), *np.split(place, 2))  # places are in the order of ids
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+        return now.coalesce(1).mapInArrow(solve, "node long, component long")
     while True:
         k += 1
         around = now.union(now.select("v", "u"))

@@ -173,10 +173,11 @@ def test_simhash_buckets_lose_no_link(spark, cell):
     assert (mine == local_components(len(arr), a, b)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_links", [0, 1 << 20])
+def test_components(spark, local_links):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t"), local_links).collect()}
     want = local_components(300, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
     assert all(want[n] == c for n, c in got.items())
     assert {n for e in edges if e[0] != e[1] for n in e} == set(got)
