@@ -247,6 +247,33 @@ def test_brown_base_and_total_probability(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_brown_scores_by_brute_force_and_in_any_partitions(spark, monkeypatch):
+    """The whole model again in plain Python, given the classes; and the same scores however the table is cut."""
+    monkeypatch.setattr(brown, "BLOCK_BYTES", 40_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    scratch = Scratch(spark, "t")
+    one = {r["doc_id"]: r for r in brown.brown_scores(docs.coalesce(1), scratch).collect()}
+    many = {r["doc_id"]: r for r in brown.brown_scores(docs.repartition(16), Scratch(spark, "t")).collect()}
+    assert all(math.isclose(one[i]["score"], many[i]["score"], rel_tol=1e-9) for i in one)
+    sequences = spark.read.parquet(scratch.paths["sequences"]).collect()
+    classes = {r["doc_id"]: list(r["classes"]) for r in sequences}
+    texts = {r["doc_id"]: brown.tokens_of(r["text"].encode()) for r in docs.collect()}
+    learned = [i for i in texts if not one[i]["held_out"]]
+    of = {w: c for i in texts for w, c in zip(texts[i], classes[i], strict=True)}
+    assert all(of[w] == c for i in texts for w, c in zip(texts[i], classes[i], strict=True))  # a word has one class
+    counts = Counter(w for i in learned for w in texts[i])
+    assert all((of[w] == brown.NEW_CLASS) == (w not in counts) for w in of)
+    pairs = np.zeros((brown.ALL_CLASSES,) * 2)
+    for i in learned:
+        for a, b in zip([brown.END, *texts[i]], texts[i], strict=False):
+            pairs[of[a], of[b]] += 1
+    once, n = sum(c == 1 for w, c in counts.items() if w != brown.END), sum(counts.values())
+    chance, total = brown.smooth(pairs, once / (n + 1)), pairs.sum(0)
+    for i, words in texts.items():
+        want = sum(chance[of[a], of[b]] + (math.log10(counts[b] / total[of[b]]) if b in counts else 0) for a, b in zip([brown.END, *words], words, strict=False))
+        assert math.isclose(one[i]["score"], want, rel_tol=1e-9)
+
+
 def test_next_class_chances_add_up():
     pairs = np.zeros((brown.ALL_CLASSES,) * 2)
     pairs[:5, :5] = np.arange(25).reshape(5, 5)
