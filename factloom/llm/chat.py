@@ -3,7 +3,8 @@
 For each speaker the dialogue is rendered with that speaker's turns as the assistant and everyone else as a user of
 that name; masks give the places of the assistant's words. A dialogue is rendered in segments of SEGMENT turn numbers,
 so that one that holds a third of all turns spreads over tasks; segments joined in order are the whole rendering, and
-char_start says where each begins in it.
+char_start says where each begins in it. Where segments begin is worked out from lengths and counts alone, so that no
+window ever moves text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     where the speaker is silent. Turns stand by turn, role and text; turns of one number and repeated rows all stay. A
     null role is the speaker `unknown`, a null text is empty, a null turn stands before the others, and rows with a
     null conv_id are a conversation by themselves. A conversation without speakers (static roles only) has one
-    rendering for perspective null. Other columns are not read; without rows the result is empty.
+    rendering for perspective null. A very long text is one turn, whole; a very long dialogue is many segments. Other columns are not read; without rows the result is empty.
     """
     rows = df.select(
         df[conv].cast("long").alias("conv_id"),
@@ -33,12 +34,26 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.coalesce(df[role].cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(df[text].cast("string"), F.lit("")).alias("text"),
     ).withColumn("segment", F.floor(F.greatest("turn", F.lit(0)) / segment))
+    rows = rows.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("lost"), "segment", "turn", "role", "text")
     is_static = F.col("role").isin(*static)
-    speakers = rows.groupBy("conv_id", F.when(~is_static, F.col("role")).alias("perspective")).agg(F.count("*").alias("n"))
-    speakers = speakers.withColumn("any", F.max(F.col("perspective").isNotNull()).over(Window.partitionBy("conv_id")))
-    speakers = speakers.where(F.col("perspective").isNotNull() | ~F.col("any")).select("conv_id", "perspective")
-    segments = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # one segment's turns
-    joined = segments.withColumnRenamed("conv_id", "c").join(speakers, F.col("c").eqNullSafe(F.col("conv_id")))
+    speakers = rows.groupBy("c", "lost", F.when(~is_static, F.col("role")).alias("perspective")).agg(F.count("*").alias("n"))
+    speakers = speakers.withColumn("any", F.max(F.col("perspective").isNotNull()).over(Window.partitionBy("c", "lost")))
+    speakers = speakers.where(F.col("perspective").isNotNull() | ~F.col("any")).select("c", "lost", "perspective")
+
+    # lengths: as if nobody were the assistant, and then what each of a speaker's own turns is shorter or longer
+    frame = len("<|im_start|>") + 1 + len("<|im_end|>\n")
+    as_other = F.length("text") + F.length("role") + frame + F.when(is_static, 0).otherwise(len("user name="))
+    sizes = rows.groupBy("c", "lost", "segment").agg(F.sum(as_other.cast("long")).alias("size"))
+    order = Window.partitionBy("c", "lost").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    own_turns = rows.where(~is_static).groupBy("c", "lost", "segment", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
+    grid = sizes.select("c", "lost", "segment", "base").join(speakers, ["c", "lost"]).join(own_turns, ["c", "lost", "segment", "perspective"], "left")
+    before = Window.partitionBy("c", "lost", "perspective").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = F.lit(len("assistant") - len("user name=")) - F.length("perspective")
+    starts = grid.select("c", "lost", "segment", "perspective", (F.col("base") + F.coalesce(F.sum("own").over(before) * shorter, F.lit(0))).cast("long").alias("char_start"))
+
+    segments = rows.groupBy("c", "lost", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # one segment's turns
+    joined = segments.join(starts, ["c", "lost", "segment"]).withColumn("conv_id", F.when(~F.col("lost"), F.col("c")))
 
     def head(t: F.Column) -> F.Column:
         static_turn = t["role"].isin(*static)
@@ -66,12 +81,13 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
         F.array_join(spans["spans"], ",").alias("mask"),
+        "char_start",
     )
-    before = Window.partitionBy("conv_id", "perspective").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    return rendered.withColumn("char_start", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before), F.lit(0)).cast("long"))
+    return rendered
 
 
 def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """perspectives over table conversations: a rendering for each of its roles."""
     return perspectives(table(spark, sf_dir, "conversations"))
 
 

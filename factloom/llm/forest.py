@@ -1,13 +1,15 @@
 """Embedding near-duplicates: a forest of random-projection trees with spill overlap.
 
-A tree splits the rows again and again by a random direction, at the widest gap near the middle; rows close to a
-split go down both sides. The trees are drawn from a bounded sample, and every row is then put in its leaves. Rows
-are compared within leaves, in double precision, and a pair counts in the first leaf that both are in. The links of a
+A tree splits the rows again and again by a random direction, at a wide gap, the nearer to the middle the better; rows close to a
+split go down both sides. The trees are drawn from a bounded sample, and every row is then put in its leaves; a leaf
+with too many rows is split on by a tree drawn from a sample of its own rows, level by level, so that leaves do not grow
+with the table. Rows are compared within leaves, in double precision, and a pair counts in the first leaf that both are in. The links of a
 leaf are passed on as one link per linked row, and components are found on the table of links.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +22,16 @@ from factloom.llm.common import Scratch, components, local_components, sorted_gr
 
 COSINE = 0.9
 TREES = 6
-#: Rows that the trees are drawn from at most, and rows of it that a node must have to be split.
-FIT_ROWS = 32_768
+#: Rows, and numbers in them, that the trees are drawn from at most; rows, about, that a leaf's own tree is drawn from;
+#: and sampled rows that a node must have to be split.
+FIT_ROWS, FIT_NUMBERS = 32_768, 1 << 22
+DEEPER_ROWS = 4_096
 SPLIT_ROWS = 64
-#: Rows expected in a leaf; a larger leaf than CELL is compared in cells of two of its salts.
+#: Rows expected in a leaf; a larger leaf than CELL is split on, or, if its rows are all alike, compared in cells of two
+#: of its salts. Rows of a leaf that one task puts into the leaf's own tree, about.
 LEAF_ROWS = 1_024
 CELL = 4_096
+SPREAD_ROWS = 200_000
 DIRECTIONS = 8
 SPILL = 0.04
 BLOCK = 1_024
@@ -74,8 +80,9 @@ def grow(sample: np.ndarray, rows: int, rng: np.random.Generator, cosine: float,
         for d in rng.normal(size=(DIRECTIONS, sample.shape[1])):
             d /= np.linalg.norm(d)
             p = np.sort(x @ d)
-            a, b = int(len(p) * 0.3), max(int(len(p) * 0.3) + 2, int(len(p) * 0.7))
-            gaps = np.diff(p[a:b])
+            a, b = int(len(p) * 0.05), max(int(len(p) * 0.05) + 2, int(len(p) * 0.95))
+            share = np.arange(a + 1, b) / len(p)
+            gaps = np.diff(p[a:b]) * share * (1 - share)  # a crowd is not cut where there is a gap beside it
             k = int(gaps.argmax())
             if best is None or gaps[k] > best[0]:
                 best = (gaps[k], d, (p[a + k] + p[a + k + 1]) / 2, p)
@@ -132,20 +139,74 @@ def compare(x: np.ndarray, side: np.ndarray, earlier: np.ndarray, times: np.ndar
     return n, linked, label[linked]
 
 
+def deeper(placed: DataFrame, scratch: Scratch, cosine: float, width: int) -> DataFrame:
+    """placed (rep, times, x, leaves) with leaves of CELL rows at most, but for those whose rows are all alike.
+
+    Each level takes all leaves that are too large: a tree for each, from about DEEPER_ROWS of its rows, into which all
+    of its rows are put by as many tasks as they need. A level divides a leaf by up to DEEPER_ROWS / SPLIT_ROWS.
+    """
+    members, level = placed.select("rep", F.explode("leaves").alias("leaf"), F.lit(False).alias("alike")), 0
+    vectors = placed.select("rep", "x")
+    while True:
+        sizes = members.where("NOT alike").groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL)
+        big = scratch.save(sizes, f"big{level}")
+        if not big.count():
+            break
+        chance = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
+        drawn = members.where("NOT alike").join(big, "leaf").where(chance < DEEPER_ROWS / F.col("rows")).select("rep", "leaf", "rows").join(vectors, "rep")
+
+        def draw(key: tuple, rows: pa.Table) -> pa.Table:
+            x = np.frombuffer(b"".join(rows.sort_by("rep")["x"].to_pylist()), np.float64).reshape(-1, width)
+            tree = grow(x, rows["rows"][0].as_py(), np.random.default_rng([abs(key[0].as_py()), level]), cosine, LEAF_ROWS)
+            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "splits": pa.array([tree.leaves > 1])})
+
+        trees = scratch.save(drawn.groupBy("leaf").applyInArrow(draw, "leaf long, tree binary, splits boolean"), f"trees{level}")
+        dealt = big.join(trees.select("leaf", "splits"), "leaf", "left").select("leaf", "splits", F.ceil(F.col("rows") / SPREAD_ROWS).cast("int").alias("salts"))
+        mine = members.where("NOT alike").join(dealt, "leaf").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+        rows = mine.where("splits").join(vectors, "rep").select("leaf", "salt", F.lit(1).alias("kind"), "rep", F.col("x").alias("data"))
+        heads = trees.where("splits").join(dealt.select("leaf", "salts"), "leaf")
+        heads = heads.select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rep"), F.col("tree").alias("data"))
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = None
+            for batch in batches:
+                kinds, leaf, rep = (batch.column(c).to_pylist() for c in ("kind", "leaf", "rep"))
+                heads_at = [k for k, kind in enumerate(kinds) if kind == 0]
+                for a, b in zip([0, *heads_at], [*heads_at, len(kinds)], strict=True):
+                    if a < b and kinds[a] == 0:
+                        tree, a = pickle.loads(batch.column("data")[a].as_py()), a + 1
+                    if a < b:
+                        x = np.frombuffer(b"".join(batch.column("data").slice(a, b - a).to_pylist()), np.float64).reshape(-1, width)
+                        at, to = tree.leaves_of(x)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array(rep[a:b], np.int64)[at]), pa.array(np.array(leaf[a:b], np.int64)[at]), pa.array(to.astype(np.int64))], names=["rep", "leaf", "part"])
+
+        sorted_rows = rows.unionByName(heads).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind")
+        split = sorted_rows.mapInArrow(put, "rep long, leaf long, part long").select("rep", F.xxhash64("leaf", "part", F.lit(level)).alias("leaf"), F.lit(False).alias("alike"))
+        whole = mine.where("NOT coalesce(splits, false)").select("rep", "leaf", F.lit(True).alias("alike"))
+        rest = members.join(big.select("leaf"), "leaf", "left_anti").select("rep", "leaf", "alike")
+        members = scratch.save(rest.union(whole).union(split), f"members{level}")
+        level += 1
+    if not level:
+        return placed
+    leaves = members.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a row's leaves: a few for each tree
+    return scratch.save(placed.drop("leaves").join(leaves, "rep"), "deeper")
+
+
 def forest_links(reps: DataFrame, scratch: Scratch, cosine: float = COSINE, trees: int = TREES, fit_rows: int = FIT_ROWS, seed: int = 3) -> DataFrame:
     """(a, b, n): a row (id, null, n) of links counted, or a link (id, id, null). reps: (rep, v, times), vectors of one width."""
     rows, width = reps.agg(F.count("*"), F.max(F.size("v"))).first()
-    picked = reps.orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("v").toArrow()["v"].to_pylist() if rows else []
+    width = width or 1
+    picked = reps.orderBy(F.xxhash64("rep"), "rep").limit(max(SPLIT_ROWS, min(fit_rows, FIT_NUMBERS // width))).select("v").toArrow()["v"].combine_chunks() if rows else None
     rng = np.random.default_rng(seed)
-    sample = unit(np.array(picked, np.float64)) if picked else np.zeros((0, width or 1))
-    forest = [grow(sample, rows, rng, cosine) for _ in range(trees)]
+    sample = unit(picked.flatten().to_numpy().astype(np.float64).reshape(-1, width)) if rows else np.zeros((0, width))
+    forest = [grow(sample, rows, rng, cosine, LEAF_ROWS) for _ in range(trees)]
     first_leaf = np.concatenate(([0], np.cumsum([t.leaves for t in forest]))).tolist()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(np.array(batch.column("v").to_pylist(), np.float64))
+            x = unit(batch.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, width))
             pairs = [(r, leaf + first) for t, first in zip(forest, first_leaf, strict=False) for r, leaf in [t.leaves_of(x)]]
             at, leaf = (np.concatenate(c) for c in zip(*pairs, strict=True))
             order = np.lexsort((leaf, at))
@@ -155,6 +216,7 @@ def forest_links(reps: DataFrame, scratch: Scratch, cosine: float = COSINE, tree
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("times"), pa.array([r.tobytes() for r in x], pa.binary()), lists], names=["rep", "times", "x", "leaves"])
 
     placed = scratch.save(reps.mapInArrow(place, "rep long, times long, x binary, leaves array<long>"), "placed")
+    placed = deeper(placed, scratch, cosine, width)
     dealt = placed.withColumn("leaf", F.explode("leaves"))
     hot = scratch.save(dealt.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("leaf", F.ceil(F.col("n") / (CELL // 2)).cast("int").alias("salts")), "hot")
     own = F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")
@@ -190,7 +252,8 @@ def near_embeddings(df: DataFrame, scratch: Scratch, cosine: float = COSINE, tre
     """vec_id, n_links, component_id, kept: one row per row of df.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component;
-    so have rows with a null id, whose component and kept are null. Vectors are compared with those of the same length.
+    so have rows with a null id, whose component and kept are null. Vectors are compared with those of the same length,
+    of any length; a cosine of exactly the threshold is a link. Repeated rows of an id all stay.
     Equal vectors are compared once and link each other. Other columns are not read; without rows the result is empty.
     """
     vector = df[vector_col].cast("array<double>")
@@ -214,4 +277,5 @@ def near_embeddings(df: DataFrame, scratch: Scratch, cosine: float = COSINE, tre
 
 
 def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_embeddings over table embeddings: links at a cosine of 0.9 or more."""
     return near_embeddings(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))

@@ -1,7 +1,7 @@
 """Exact top-k by integer inner product: MaxScore over shards.
 
-A vector's components, floored at 256ths, are its weights for as many terms. Rows are dealt to shards and queries to
-blocks; a shard has a posting list for each term, with the least and most that it adds to a query's score. Counted from
+A vector's components, floored at 256ths, are its weights for as many terms. Rows are dealt to shards; a shard is built
+once, and all queries then stream through it. It has a posting list for each term, with the least and most that it adds to a query's score. Counted from
 the least, contributions are not negative, and the terms split as in MaxScore: the longest run of weak terms whose
 bounds together cannot lift a row over the k-th best score so far is non-essential. Essential postings are traversed
 for all rows; the others are probed for rows that still compete, a few terms at a time. The shards' lists are merged.
@@ -9,6 +9,8 @@ for all rows; the others are probed for rows that still compete, a few terms at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +20,6 @@ from factloom.llm.common import Scratch, table
 
 SCALE = 256
 SHARD_ROWS = 8_192
-BLOCK_QUERIES = 2_048
 PROBE_TERMS = 8
 SEED_TERMS = 8
 SEED_ROWS = 16
@@ -81,7 +82,7 @@ class Shard:
         return self.ids[at], scores
 
 
-def whole(batch_column: pa.ChunkedArray, width: int) -> np.ndarray:
+def whole(batch_column: pa.Array, width: int) -> np.ndarray:
     """n x width whole numbers; shorter rows are filled up with zeros."""
     out = np.zeros((len(batch_column), width), np.int64)
     for row, x in zip(out, batch_column.to_pylist(), strict=True):
@@ -93,38 +94,51 @@ def top_k(df: DataFrame, scratch: Scratch, is_query: F.Column, k: int = 5, id_co
     """query_id, rank, vec_id, score: the k highest inner products of each query with the rows of other ids.
 
     is_query is a condition on column vec_id. Vectors that are null or hold null or non-finite components, and rows
-    with a null id, take no part; a repeated row (same id and vector) counts once. A shorter vector counts as filled up
+    with a null id, take no part; a repeated row (same id and vector) counts once, and a query's own are all rows of its
+    id. Ties go to the smaller vec_id. A shorter vector counts as filled up
     with zeros. Products beyond 64 bits are not defined. Other columns are not read; without rows the result is empty.
     """
     vector = df[vector_col].cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.select(df[id_col].cast("long").alias("vec_id"), F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(x * scale))).alias("v"))
     rows = scratch.save(rows.where("vec_id IS NOT NULL AND v IS NOT NULL").distinct(), "vectors")
-    n, asked, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
-    # a shard meets a block of queries once: the query set against all rows, in blocks
-    hashed = F.xxhash64("vec_id")
-    candidates = rows.withColumn("shard", F.pmod(hashed, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            marks = right["mark"].to_pylist()
-            shard = Shard(left["vec_id"].to_numpy(), whole(left["v"], width))
-            for i, (query_id, q) in enumerate(zip(right["query_id"].to_pylist(), whole(right["v"], width), strict=True)):
-                ids, scores = shard.search(q, query_id, k)
-                out += [(query_id, marks[i], a, int(s)) for a, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "mark", "vec_id", "score"), columns, strict=True)})
-
-    pairs = candidates.groupBy("shard", "block").cogroup(queries.withColumn("mark", F.xxhash64("v")).groupBy("shard", "block"))
-    found = pairs.applyInArrow(run, "query_id long, mark long, vec_id long, score long")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    shards = max(1, -(-n // SHARD_ROWS))
+    # the query set against all rows, in blocks: a shard's rows come first, then every query
+    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("mark"), "v")
+    queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "vec_id", F.xxhash64("v").alias("mark"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack((batch.column("shard").to_numpy(), batch.column("kind").to_numpy().astype(np.int64)))
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if place[0, a] != now:
+                    now, held, shard = place[0, a], [], None
+                ids, marks, v = batch.column("vec_id").to_numpy()[a:b], batch.column("mark").to_numpy()[a:b], whole(batch.column("v").slice(a, b - a), width)
+                if place[1, a] == 0:
+                    held.append((ids, v))
+                    continue
+                if not held and shard is None:
+                    continue
+                if shard is None:
+                    shard, held = Shard(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+                found = [(q, m, *shard.search(x, q, k)) for q, m, x in zip(ids.tolist(), marks.tolist(), v, strict=True)]
+                sizes = [len(f[2]) for f in found]
+                columns = [np.repeat([f[0] for f in found], sizes), np.repeat([f[1] for f in found], sizes), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64)) for c in columns], names=["query_id", "mark", "vec_id", "score"])
+
+    pairs = candidates.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = pairs.mapInArrow(run, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k over table embeddings: queries are the rows whose vec_id is divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"), F.col("vec_id") % 50 == 0)
 
 

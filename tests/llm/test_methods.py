@@ -203,6 +203,27 @@ def test_forest_recall_and_counts(spark, cell, monkeypatch):
     assert (mine <= degree).all() and mine.sum() >= 0.9 * degree.sum()
 
 
+def test_forest_leaves_do_not_grow_with_the_table(spark, monkeypatch):
+    for name, value in (("CELL", 150), ("LEAF_ROWS", 60), ("SPLIT_ROWS", 16), ("DEEPER_ROWS", 200), ("SPREAD_ROWS", 100)):
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(12)
+    x = np.concatenate((near_vectors(rng, 3000), np.ones((1, 16)) + rng.normal(size=(300, 16)) * 1e-3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    reps = rows.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v"), F.lit(1).cast("long").alias("times"))
+    forest.forest_links(reps, scratch, fit_rows=100).count()  # trees of 100 rows leave leaves of hundreds
+    placed, deep = (spark.read.parquet(scratch.paths[n]) for n in ("placed", "deeper"))
+    size = lambda t: sorted(r["count"] for r in t.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect())
+    assert sum(n > 150 for n in size(placed)) > 20
+    assert sum(n > 150 for n in size(deep)) <= forest.TREES * 3  # only the 300 that are all alike
+    monkeypatch.setattr(forest, "FIT_NUMBERS", 1600)
+    got = sorted(forest.near_embeddings(rows, Scratch(spark, "t")).collect())
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree = (y @ y.T >= 0.9).sum(1) - 1
+    mine = np.array([r["n_links"] for r in got])
+    assert (mine <= degree).all() and mine.sum() >= 0.9 * degree.sum()
+
+
 def test_maxscore_is_exact():
     rng = np.random.default_rng(4)
     rows = rng.integers(-200, 200, (900, 24))
