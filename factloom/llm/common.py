@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,16 +37,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/factloom/{tag}-{uuid.uuid4().hex}", {}
+        if spark.conf.get(BATCH_CONF) == "10000":  # as Spark comes: whole texts go to Python in batches of fewer rows
+            spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """The table, written and read again. Whole texts come to Python in batches of few rows meanwhile."""
         path = f"{self.root}/{name}-{len(self.paths)}"
-        had = self.spark.conf.get(BATCH_CONF)
-        self.spark.conf.set(BATCH_CONF, BATCH_ROWS)
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(BATCH_CONF, had)
+        df.write.parquet(path)
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
         self.paths[name] = path
@@ -59,6 +56,15 @@ class Scratch:
             self.paths[f"{name} (gone {len(self.paths)})"] = str(hadoop)
 
 
+def give_back() -> None:
+    """Return what a worker's earlier tasks left to the system: Spark uses workers again, and allocators keep memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

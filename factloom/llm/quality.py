@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, labelled_sample, remainder_is, sampled_texts, sorted_groups, table, text_bytes
+from factloom.llm.common import Scratch, give_back, labelled_sample, remainder_is, sampled_texts, sorted_groups, table, text_bytes
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -31,7 +31,7 @@ STRIPE = 64
 SAMPLE_ROWS = 40_000
 HIDDEN = 32
 THRESHOLD = 0.3
-CACHE = 200_000
+CACHE = 100_000
 #: Bytes of a text, and tokens of a longer one, that are taken at a time.
 LONG, RUN = 1 << 20, 1 << 18
 TOKENS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -74,6 +74,7 @@ def word_vectors(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> n
     """Unit word vectors of the buckets, from all texts: a table of one size for any corpus."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         index, buckets = index_vectors(), Buckets()
         total = np.zeros((BUCKETS, DIMENSIONS))
         held: list[int] = []
@@ -104,10 +105,10 @@ def word_vectors(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> n
             for text in text_bytes(batch.column("text")):
                 for run in runs_of(text, buckets):
                     held.extend(run)
-                    if len(held) >= 600_000:
+                    if len(held) >= 200_000:
                         add(False)
                 held.extend([BUCKETS] * WINDOW)
-                if len(held) >= 300_000:
+                if len(held) >= 100_000:
                     add(True)
         add(True)
         stripes = total.astype("<f4").reshape(-1, STRIPE * DIMENSIONS)
@@ -259,6 +260,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: f
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         buckets = Buckets()
         for batch in batches:
             yield batch.filter(pa.array(net.probability(pooled(text_bytes(batch.column(at)), vectors, buckets)) >= threshold))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import labelled_sample, remainder_is, sampled_texts, table
+from factloom.llm.common import give_back, labelled_sample, remainder_is, sampled_texts, table
 
 BINS = 1 << 20
 #: Labelled rows to learn from at most.
@@ -26,7 +26,7 @@ EVIDENCE = 6.0
 FACTORS = 8
 BLOCK_ROWS = 500
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 100_000
 _SPLIT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -179,6 +179,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model, at = learn(docs, labels, text_col=text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         scorer = Scorer(model)
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < threshold))
