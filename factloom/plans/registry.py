@@ -102,8 +102,8 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         f"SELECT e.canonical_name AS key, count(*) AS count, e.entity_id FROM (SELECT subject_entity_id AS s FROM relations WHERE ingested_at > {until} UNION ALL SELECT subject_entity_id FROM observations WHERE ingested_at > {until}) JOIN entities e ON e.entity_id = s GROUP BY 1, 3 ORDER BY 2 DESC, 1, 3 LIMIT 21",
     )
     q["agg_typed_absence"] = (
-        lambda v: facts.aggregate(v, "typed_absence", entity_type="product", predicate="ordered", limit=40),
-        "SELECT canonical_name AS key, 1::BIGINT AS count, entity_id FROM entities WHERE status = 'active' AND type = 'product' ORDER BY 1, 3 LIMIT 41",
+        lambda v: facts.aggregate(v, "typed_absence", entity_type="person", predicate="ordered", limit=40),
+        "SELECT canonical_name AS key, 1::BIGINT AS count, entity_id FROM entities e WHERE status = 'active' AND type = 'person' AND NOT EXISTS (FROM relations r WHERE r.predicate = 'ordered' AND r.subject_entity_id = e.entity_id AND r.invalidated_at IS NULL) ORDER BY 1, 3 LIMIT 41",
     )
     feed = f"""
         feed AS (
@@ -133,18 +133,18 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         lambda v: facts.claims_as_of(v, AT, SINCE),
         f"SELECT c.claim_id, c.claim_valid_from, count(*) OVER () AS total_count, (SELECT count(*) FROM claims WHERE claim_valid_precision = 'unknown') AS unstamped_count FROM claims c JOIN documents d USING (doc_id) WHERE d.deleted_at IS NULL AND claim_valid_precision <> 'unknown' AND claim_valid_from <= {until} AND (claim_valid_until IS NULL OR claim_valid_until >= {at}) ORDER BY claim_valid_from DESC, claim_id LIMIT 20",
     )
-    q["chunk_neighbors"] = (lambda v: facts.chunk_neighbors(v, "K2-2", 2), "SELECT chunk_id, ordinal FROM chunks WHERE version_id = (SELECT version_id FROM v_chunks_live WHERE chunk_id = 'K2-2') AND ordinal BETWEEN 0 AND 4")
+    q["chunk_neighbors"] = (lambda v: facts.chunk_neighbors(v, "K2-2", 2), "WITH focal AS MATERIALIZED (SELECT c.version_id, c.ordinal AS focal FROM chunks c JOIN v_documents_live d ON d.has_current_ready_content AND d.doc_id = c.doc_id AND d.current_version_id = c.version_id WHERE c.chunk_id = 'K2-2') SELECT chunk_id, ordinal FROM chunks JOIN focal USING (version_id) WHERE abs(ordinal - focal) <= 2")
     for kind, stored in (("relation", "evidence_count, contradict_count"), ("observation", "1 AS evidence_count, 0 AS contradict_count")):
         q[f"recount_{kind}s"] = (
             lambda v, k=kind: facts.recount(v, k),
             f"WITH f AS (SELECT e.{kind}_id, count(DISTINCT e.doc_id) FILTER (WHERE stance = 'supports' AND is_current_testimony) AS s, count(DISTINCT e.doc_id) FILTER (WHERE stance = 'contradicts' AND is_current_testimony) AS c FROM {kind}_evidence e JOIN claims USING (claim_id) GROUP BY 1), b AS (SELECT {kind}_id, {stored} FROM {kind}s) SELECT b.{kind}_id, coalesce(s, 0) AS supports, coalesce(c, 0) AS contradicts FROM b LEFT JOIN f USING ({kind}_id) WHERE evidence_count <> coalesce(s, 0) OR contradict_count <> coalesce(c, 0)",
         )
-    carried = "carried AS (SELECT DISTINCT k.claim_id FROM chunk_claims k JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = c.doc_id AND d.current_version_id = c.version_id), origin AS (SELECT cl.*, c.version_id AS from_version_id, d.current_version_id FROM claims cl JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = cl.doc_id)"
-    q["currency_stale"] = (facts.stale_superseded, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin WHERE is_current_testimony AND from_version_id <> current_version_id AND claim_id NOT IN (SELECT claim_id FROM carried)")
-    q["currency_regained"] = (facts.regained, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin WHERE NOT is_current_testimony AND (from_version_id = current_version_id OR claim_id IN (SELECT claim_id FROM carried))")
+    carried = "spot AS MATERIALIZED (SELECT chunk_id, c.doc_id, version_id, current_version_id FROM chunks c JOIN documents d ON d.doc_id = c.doc_id), carried AS MATERIALIZED (SELECT DISTINCT k.claim_id FROM chunk_claims k JOIN spot USING (chunk_id) WHERE version_id = current_version_id), origin AS MATERIALIZED (SELECT cl.claim_id, cl.doc_id, cl.is_current_testimony, s.version_id AS from_version_id, s.current_version_id FROM claims cl JOIN spot s USING (chunk_id))"
+    q["currency_stale"] = (facts.stale_superseded, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin ANTI JOIN carried USING (claim_id) WHERE is_current_testimony AND from_version_id <> current_version_id")
+    q["currency_regained"] = (facts.regained, f"WITH {carried} SELECT claim_id, doc_id, from_version_id FROM origin LEFT JOIN (SELECT claim_id, true AS held FROM carried) USING (claim_id) WHERE NOT is_current_testimony AND (from_version_id = current_version_id OR held)")
     q["zero_support"] = (
         lambda v: facts.zero_support(v, SINCE),
-        f"SELECT relation_id, {until} AS valid_until FROM relations r WHERE {believed} AND (valid_until IS NULL OR valid_until > {until}) AND relation_id NOT IN (SELECT e.relation_id FROM relation_evidence e JOIN claims c USING (claim_id) WHERE stance = 'supports' AND is_current_testimony) AND relation_id NOT IN (SELECT candidate ->> '$.fact_id' FROM review_queue WHERE status IN ('pending', 'deferred'))",
+        f"WITH backed AS MATERIALIZED (SELECT DISTINCT e.relation_id FROM relation_evidence e JOIN claims c USING (claim_id) WHERE stance = 'supports' AND is_current_testimony), waiting AS MATERIALIZED (SELECT candidate ->> '$.fact_id' AS relation_id FROM review_queue WHERE status IN ('pending', 'deferred')), open AS MATERIALIZED (SELECT relation_id FROM relations WHERE {believed} AND (valid_until IS NULL OR valid_until > {until})) SELECT relation_id, {until} AS valid_until FROM open ANTI JOIN backed USING (relation_id) ANTI JOIN waiting USING (relation_id)",
     )
     q["supersede_windows"] = (
         lambda v: facts.supersede_windows(v, "ordered"),
@@ -292,14 +292,14 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     # adjudication
 
     def incoming(v: Views) -> DataFrame:
-        """Each order's first line as testimony that its customer ordered its part, a year after the last closing."""
-        lines = v.spine["line_items"].where("l_linenumber = 1")
+        """Each order's lines as testimony that its customer ordered its part, a year after the last closing."""
+        lines = v.spine["line_items"]
         orders = v.raw("orders").select("o_orderkey", "o_custkey")
         return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
-            F.concat(F.lit("C"), "o_custkey").alias("subject_entity_id"), F.lit("ordered").alias("predicate"), F.concat(F.lit("P"), "l_partkey").alias("object_entity_id"), F.concat(F.lit("new-"), "l_orderkey").alias("claim_id"), F.concat(F.lit("O"), "l_orderkey").alias("doc_id")
+            F.concat(F.lit("C"), "o_custkey").alias("subject_entity_id"), F.lit("ordered").alias("predicate"), F.concat(F.lit("P"), "l_partkey").alias("object_entity_id"), F.concat_ws("-", F.lit("new"), "l_orderkey", "l_linenumber").alias("claim_id"), F.concat(F.lit("O"), "l_orderkey").alias("doc_id")
         )
 
-    into = f"""WITH i AS (SELECT 'C' || o_custkey AS s, 'P' || l_partkey AS o, 'new-' || l_orderkey AS claim_id, 'O' || l_orderkey AS doc_id FROM line_items JOIN main.orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+    into = f"""WITH i AS (SELECT 'C' || o_custkey AS s, 'P' || l_partkey AS o, 'new-' || l_orderkey || '-' || l_linenumber AS claim_id, 'O' || l_orderkey AS doc_id FROM line_items JOIN main.orders ON o_orderkey = l_orderkey),
         k AS (SELECT subject_entity_id AS s, object_entity_id AS o, min(relation_id) FILTER (WHERE valid_until IS NULL OR valid_until > {until}) AS open_id, max(valid_until) AS closed_at FROM relations WHERE predicate = 'ordered' AND {believed} GROUP BY 1, 2),
         p AS (SELECT i.*, k.open_id, k.closed_at FROM i LEFT JOIN k USING (s, o))"""
     q["spells_new"] = (lambda v: adjudication.upsert_relations(v, incoming(v), SINCE)[0].drop("relation_id"), f"{into} SELECT DISTINCT s AS subject_entity_id, 'ordered' AS predicate, o AS object_entity_id, closed_at AS valid_from FROM p WHERE open_id IS NULL")

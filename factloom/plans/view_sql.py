@@ -1,4 +1,7 @@
-"""The published relations as SQL for DuckDB: what the DataFrames are held against."""
+"""The published relations as SQL for DuckDB: what the DataFrames are held against.
+
+Names and columns of the relations are the published contract: fixed values.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ HELD = f"(valid_from IS NULL OR valid_from <= {NOW}) AND (valid_until IS NULL OR
 VIEWS: dict[str, str] = {
     "v_documents_live": """
         SELECT d.deployment_id, d.doc_id, d.source_kind, d.source_ref, d.source_uri, d.title, d.versioning_mode, d.origin, d.first_seen_at, d.last_observed_at, v.version_id AS current_version_id, v.version_no AS current_version_no,
-          v.status AS current_version_status, r.representation_id AS current_representation_id, r.representation_id IS NOT NULL AS has_current_ready_content, v.source_modified_at, v.published_at, v.language
+          v.status AS current_version_status, r.representation_id AS current_representation_id, r.representation_id IS NOT NULL AND v.status = 'ready' AS has_current_ready_content, v.source_modified_at, v.published_at, v.language
         FROM documents d LEFT JOIN document_versions v ON v.version_id = d.current_version_id AND v.doc_id = d.doc_id AND v.deleted_at IS NULL
         LEFT JOIN document_representations r ON r.version_id = v.version_id AND r.representation_id = v.current_representation_id AND r.status = 'ready'
         WHERE d.deleted_at IS NULL""",
@@ -19,15 +22,15 @@ VIEWS: dict[str, str] = {
           v.version_id IS NOT DISTINCT FROM d.current_version_id AS is_current_version
         FROM document_versions v JOIN v_documents_live d USING (doc_id) WHERE v.deleted_at IS NULL""",
     "v_sections_live": """
-        SELECT s.* FROM document_sections s JOIN v_documents_live d ON d.doc_id = s.doc_id AND d.current_version_id = s.version_id AND d.current_representation_id = s.representation_id
+        SELECT s.* FROM document_sections s JOIN v_documents_live d ON d.has_current_ready_content AND d.doc_id = s.doc_id AND d.current_version_id = s.version_id AND d.current_representation_id = s.representation_id
         JOIN document_representations r ON r.representation_id = s.representation_id AND r.current_structure_generation_id = s.structure_generation_id""",
     "v_chunks_live": """
-        SELECT c.* REPLACE (s.section_id AS section_id) FROM chunks c JOIN v_documents_live d ON d.doc_id = c.doc_id AND d.current_version_id = c.version_id AND d.current_representation_id = c.representation_id
+        SELECT c.* REPLACE (s.section_id AS section_id) FROM chunks c JOIN v_documents_live d ON d.has_current_ready_content AND d.doc_id = c.doc_id AND d.current_version_id = c.version_id AND d.current_representation_id = c.representation_id
         LEFT JOIN v_sections_live s ON s.section_id = c.section_id AND s.version_id = c.version_id""",
     "v_visible_chunks": """
         SELECT c.chunk_id, c.doc_id, c.version_id, c.representation_id FROM chunks c JOIN v_document_versions_visible v USING (version_id, doc_id) JOIN document_representations r ON r.representation_id = c.representation_id AND r.version_id = c.version_id AND r.status = 'ready'""",
     "v_claims_visible_history": """
-        SELECT c.deployment_id, c.claim_id, c.doc_id, k.version_id, k.representation_id, c.chunk_id, c.claim_text, c.source_span, c.char_start, c.char_end, c.temporal_class, c.is_attributed, c.audit_status, c.kept_flagged, c.extractor_version, c.asserted_at,
+        SELECT c.deployment_id, c.claim_id, c.doc_id, k.version_id, k.representation_id, c.chunk_id, c.claim_text, c.source_span, c.char_start, c.char_end, c.added_context, c.temporal_class, c.is_attributed, c.audit_status, c.kept_flagged, c.extractor_version, c.asserted_at,
           c.claim_valid_from, c.claim_valid_until, c.claim_valid_precision, c.claim_valid_kind, c.ingested_at, d.source_kind, d.source_kind || ':' || coalesce(d.source_ref, d.doc_id) AS source_handle, c.is_current_testimony
         FROM claims c JOIN v_visible_chunks k ON k.chunk_id = c.chunk_id AND k.doc_id = c.doc_id JOIN v_documents_live d ON d.doc_id = c.doc_id""",
     "v_claims_live": "SELECT * EXCLUDE (is_current_testimony) FROM v_claims_visible_history WHERE is_current_testimony",

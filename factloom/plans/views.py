@@ -50,7 +50,7 @@ class Views:
         out = docs.join(versions, [D, "doc_id", "current_version_id"], "left").join(ready, [D, "current_version_id", "_rep"], "left")
         return out.select(
             D, "doc_id", "source_kind", "source_ref", "source_uri", "title", "versioning_mode", "origin", "first_seen_at", "last_observed_at", F.when(F.col("current_version_no").isNotNull(), F.col("current_version_id")).alias("current_version_id"),
-            "current_version_no", "current_version_status", "current_representation_id", F.col("current_representation_id").isNotNull().alias("has_current_ready_content"), "source_modified_at", "published_at", F.col("_language").alias("language"),
+            "current_version_no", "current_version_status", "current_representation_id", (F.col("current_representation_id").isNotNull() & (F.col("current_version_status") == "ready")).alias("has_current_ready_content"), "source_modified_at", "published_at", F.col("_language").alias("language"),
         )
 
     @cached_property
@@ -102,7 +102,7 @@ class Views:
         source = self.documents_live.select(D, "doc_id", "source_kind", F.concat("source_kind", F.lit(":"), F.coalesce("source_ref", "doc_id")).alias("source_handle"))
         out = self.spine["claims"].join(self._visible_chunks, [D, "chunk_id", "doc_id"]).join(source, [D, "doc_id"])
         return out.select(
-            D, "claim_id", "doc_id", "version_id", "representation_id", "chunk_id", "claim_text", "source_span", "char_start", "char_end", "temporal_class", "is_attributed", "audit_status", "kept_flagged", "extractor_version", "asserted_at",
+            D, "claim_id", "doc_id", "version_id", "representation_id", "chunk_id", "claim_text", "source_span", "char_start", "char_end", "added_context", "temporal_class", "is_attributed", "audit_status", "kept_flagged", "extractor_version", "asserted_at",
             "claim_valid_from", "claim_valid_until", "claim_valid_precision", "claim_valid_kind", "ingested_at", "source_kind", "source_handle", "is_current_testimony",
         )
 

@@ -1,5 +1,6 @@
 """The reference operators against their SQL in DuckDB, and what SQL cannot express against brute force."""
 
+import json
 import random
 
 import duckdb
@@ -37,7 +38,7 @@ def canonical(df):
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
-CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of corpus_paths projection_relates spells_new spells_evidence observation_fold".split()
+CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk chunk_neighbors currency_stale hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of corpus_paths projection_relates spells_new spells_evidence observation_fold".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -195,6 +196,50 @@ def test_gate_refuses(spark, sql):
         gate.validate(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r) SELECT * FROM r /* depth < 3 */",
+        "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r) SELECT * FROM r WHERE 'depth < 3' = 'x'",
+        "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r WHERE depth < 3 OR true) SELECT * FROM r",
+        "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r WHERE depth < 9) SELECT * FROM r",
+        "SELECT to_json(parse_json('{}'))",
+        "SELECT typeof(1)",
+    ],
+)
+def test_gate_refuses_hidden_bounds_and_inner_functions(spark, sql):
+    with pytest.raises(gate.Refused):
+        gate.validate(spark, sql)
+
+
+DIALECT = {
+    "jsonb_typeof('[1]')": "array", "jsonb_typeof('{\"a\": 1}')": "object", "jsonb_typeof('true')": "boolean", "jsonb_typeof('1.5')": "number", "jsonb_array_length('[1, 2, 3]')": 3, "array_length(ARRAY[4, 5], 1)": 2,
+    "jsonb_build_object('a', 1, 'b', 'x')": '{"a":1,"b":"x"}', "'{\"a\": {\"b\": 7}}' -> 'a'": '{"b":7}', "'{\"a\": {\"b\": 7}}' -> 'a' ->> 'b'": "7", "'[10, 20]' ->> 1": "20", "'{\"a\": [1, 2]}' #> '{a,1}'": "2", "'{\"a\": {\"b\": \"z\"}}' #>> '{a,b}'": "z",
+    "'{\"a\": 1, \"b\": 2}' @> '{\"b\": 2}'": True, "'{\"a\": 1}' @> '{\"a\": 2}'": False, "'{\"b\": \"q\"}' <@ '{\"a\": 1, \"b\": \"q\"}'": True, "ARRAY[1, 2, 3] @> ARRAY[2]": True, "ARRAY[9] <@ ARRAY[1, 9]": True, "ARRAY[1, 2] && ARRAY[2, 3]": True, "ARRAY[1] && ARRAY[3]": False,
+    "'Abc' ~ '^A'": True, "'Abc' ~ '^a'": False, "'Abc' ~* '^a'": True, "'Abc' !~ '^a'": True, "'Abc' !~* '^a'": False, "'Abc' ~~ 'A%'": True, "'Abc' !~~ 'A%'": False, "'Abc' ~~* 'a%'": True, "'Abc' !~~* 'a%'": False,
+    "2 = ANY(ARRAY[1, 2])": True, "5 = ANY(ARRAY[1, 2])": False, "7 / 2": 3, "-7 / 2": -3, "7.0 / 2": 3.5, "3 * 5 / 2": 7, "cardinality(ARRAY[1, 2])": 2, "'a' || 'b -> c'": "ab -> c", "3 BETWEEN 1 AND 4": True,
+}
+
+
+@pytest.fixture(scope="module")
+def box(spark):
+    return gate.Sandbox(registry.views(spark, SMALL))
+
+
+@pytest.mark.parametrize("expression", DIALECT)
+def test_dialect(box, expression):
+    assert box.query(f"SELECT {expression} AS x").rows == [(DIALECT[expression],)]
+
+
+def test_dialect_over_relations(box):
+    rows = box.query("SELECT jsonb_agg(doc_id) AS ids, jsonb_object_agg(doc_id, source_kind) AS kinds FROM (SELECT doc_id, source_kind FROM memory_v1.documents_live WHERE doc_id ~ '^O[12]$' ORDER BY doc_id)").rows
+    assert json.loads(rows[0][0]) == ["O1", "O2"] and set(json.loads(rows[0][1])) == {"O1", "O2"}
+    assert box.query("SELECT count(*) AS n FROM claims_live WHERE added_context @> '{\"order\": 1}' AND added_context ->> 'order' = '1'").rows == [(1,)]
+    first = "facts_as_of(CAST('1998-06-01 00:00:00' AS TIMESTAMP), CAST('1999-01-01 00:00:00' AS TIMESTAMP))"
+    assert box.query(f"SELECT count(*) AS n, 'see facts_as_of(1, 2)' AS note FROM {first}").rows[0][1] == "see facts_as_of(1, 2)"
+    assert len(box.query("WITH RECURSIVE r(n, depth) AS (SELECT 1, 0 UNION ALL SELECT n * 2, depth + 1 FROM r WHERE depth < 3) SELECT * FROM r").rows) == 4
+
+
 def test_gate_caps_and_saved_queries(spark):
     box = gate.Sandbox(registry.views(spark, SMALL))
     got = box.query("SELECT fact_id FROM facts_current ORDER BY fact_id", rows=3)
