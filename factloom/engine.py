@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import facts, graph, retrieval
+from factloom.operators import facts, graph, retrieval, search
 from factloom.plans import gate
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources.spine import Spine
@@ -66,6 +66,29 @@ class Engine:
         nominated = retrieval.bm25_topk(source, query, k) if channel == "lexical" else retrieval.semantic_topk(source, self.embed(query), k)
         return retrieval.hydrate(self.views, nominated, "chunk")
 
+    def search_claims(self, query: str, k: int = 10, channel: str = "semantic") -> DataFrame:
+        return search.search_claims(self.views, k, query=query) if channel == "lexical" else search.search_claims(self.views, k, self.embed(query))
+
+    def nominate_claims(self, query: str, k: int = 10, channel: str = "semantic", entities: tuple[str, ...] = ()) -> DataFrame:
+        if channel == "lexical":
+            return search.nominate_lexical(self.views, query, k, entities)
+        return search.nominate(self.views, "claim", self.embed(query), k, self.views.claims_live, entities)
+
+    def search_facts(self, query: str, k: int = 10, kind: str | None = None) -> DataFrame:
+        return search.search_facts(self.views, self.embed(query), k, kind=kind)
+
+    def search_entities(self, query: str, k: int = 10, entity_type: str | None = None) -> DataFrame:
+        return search.search_entities(self.views, self.embed(query), k, entity_type)
+
+    def hydrate_relation(self, relation: str) -> DataFrame:
+        return search.hydrate_relation(self.views, relation)
+
+    def facts_for(self, query: str, entities: tuple[str, ...] = (), k: int = 15, evidence_per_fact: int = 3, mode: str = "current") -> Envelope:
+        """Facts that answer a question, with their evidence."""
+        rows = search.fact_context(self.views, self.embed(query), temporal.fact_time(mode, self.views.now), k + 1, entities)
+        ids = [r["fact_id"] for r in rows.select("fact_id").collect()]  # k + 1 ids
+        return Envelope({"facts": rows.limit(k), "evidence": facts.fact_evidence(self.views, ids[:k], evidence_per_fact)}, self.evaluated_at, {"truncated": len(ids) > k})
+
     def testimony_context(self, query: str, k: int = 50, candidate_k: int = 200) -> Envelope:
         return Envelope({"chunks": retrieval.testimony_chunks(self.views, self.embed(query), query, k, candidate_k)}, self.evaluated_at)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
+from factloom.operators import adjudication, documents, facts, graph, identity, ledger, retrieval, search
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -41,6 +41,11 @@ def query_vector(v: Views) -> list[float]:
     return [float(x) for x in row[0]] if row else []
 
 
+def _nation(v: Views) -> int:
+    row = v.raw("customer").where("c_custkey = 7").select("c_nationkey").first()
+    return row[0] if row else -1
+
+
 def _nominations(v: Views) -> DataFrame:
     """Ranked chunk ids of which some are gone: every tenth is not a chunk."""
     top = retrieval.semantic_topk(v.spine["chunk_search"], query_vector(v), 50)
@@ -102,8 +107,8 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         f"SELECT e.canonical_name AS key, count(*) AS count, e.entity_id FROM (SELECT subject_entity_id AS s FROM relations WHERE ingested_at > {until} UNION ALL SELECT subject_entity_id FROM observations WHERE ingested_at > {until}) JOIN entities e ON e.entity_id = s GROUP BY 1, 3 ORDER BY 2 DESC, 1, 3 LIMIT 21",
     )
     q["agg_typed_absence"] = (
-        lambda v: facts.aggregate(v, "typed_absence", entity_type="person", predicate="ordered", limit=40),
-        "SELECT canonical_name AS key, 1::BIGINT AS count, entity_id FROM entities e WHERE status = 'active' AND type = 'person' AND NOT EXISTS (FROM relations r WHERE r.predicate = 'ordered' AND r.subject_entity_id = e.entity_id AND r.invalidated_at IS NULL) ORDER BY 1, 3 LIMIT 41",
+        lambda v: facts.aggregate(v, "typed_absence", entity_type="nation", predicate="part_of", limit=40),
+        "SELECT canonical_name AS key, 1::BIGINT AS count, entity_id FROM entities e WHERE status = 'active' AND type = 'nation' AND NOT EXISTS (FROM relations r WHERE r.predicate = 'part_of' AND r.subject_entity_id = e.entity_id AND r.invalidated_at IS NULL) ORDER BY 1, 3 LIMIT 41",
     )
     feed = f"""
         feed AS (
@@ -311,6 +316,88 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         lambda v: adjudication.fold_observations(v.spine["observations"].select(F.col("subject_entity_id").alias("entity_id"), "statement", F.col("ingested_at").alias("asserted_at"), F.col("observation_id").alias("claim_id"))),
         "SELECT subject_entity_id AS entity_id, first(observation_id ORDER BY ingested_at, observation_id) AS observation_id, statement, min(ingested_at) AS valid_from, NULL::TIMESTAMP AS valid_until, count(*) AS evidence_count FROM observations GROUP BY 1, 3",
     )
+    # search
+
+    near = "near AS MATERIALIZED (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM main.embeddings WHERE vec_id = 0)) AS score FROM main.embeddings WHERE embedding IS NOT NULL)"
+    six = lambda rows: rows.withColumn("score", F.round("score", 6))
+    scope = (PERSON, "P7", "S3")
+    scoped = f"covered AS (SELECT claim_id, count(DISTINCT resolved_entity_id) AS coverage FROM v_mentions_live WHERE resolved_entity_id IN {scope} AND claim_id IS NOT NULL GROUP BY 1)"
+    q["search_claims"] = (
+        lambda v: six(search.search_claims(v, 30, query_vector(v))),
+        f"WITH {near}, live AS MATERIALIZED (SELECT claim_id, claim_text, doc_id, source_handle FROM v_claims_live) SELECT claim_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, claim_id) AS rank, claim_text, doc_id, source_handle FROM claim_search JOIN near USING (vec_id) JOIN live USING (claim_id) QUALIFY rank <= 30",
+    )
+    q["search_facts"] = (
+        lambda v: six(search.search_facts(v, query_vector(v), 30)),
+        f"WITH {near}, live AS MATERIALIZED (SELECT fact_kind, fact_id FROM v_facts_current) SELECT fact_kind, fact_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, fact_kind, fact_id) AS rank FROM fact_search JOIN near USING (vec_id) JOIN live USING (fact_kind, fact_id) QUALIFY rank <= 30",
+    )
+    q["search_entities"] = (
+        lambda v: six(search.search_entities(v, query_vector(v), 20, "person")),
+        f"WITH {near}, live AS MATERIALIZED (SELECT entity_id FROM v_entities_current WHERE entity_type = 'person') SELECT entity_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, entity_id) AS rank FROM entity_search JOIN near USING (vec_id) JOIN live USING (entity_id) QUALIFY rank <= 20",
+    )
+    q["nominate_testimony"] = (
+        lambda v: six(search.nominate(v, "claim", query_vector(v), 30, v.claims_live, scope)),
+        f"WITH {near}, {scoped}, live AS MATERIALIZED (SELECT claim_id FROM v_claims_live) SELECT claim_id, coverage, round(score, 6) AS score, row_number() OVER (ORDER BY coverage DESC, score DESC, claim_id) AS rank FROM claim_search JOIN near USING (vec_id) JOIN covered USING (claim_id) JOIN live USING (claim_id) QUALIFY rank <= 30",
+    )
+    q["fact_context"] = (
+        lambda v: search.fact_context(v, query_vector(v), temporal.fact_time("current", v.now), 15, scope).select("fact_kind", "fact_id", "rank", "coverage"),
+        f"""WITH {near}, shown AS MATERIALIZED (SELECT * FROM v_facts_current), n AS (SELECT fact_kind, fact_id, row_number() OVER (ORDER BY score DESC, fact_kind, fact_id) AS rank FROM fact_search JOIN near USING (vec_id) SEMI JOIN shown USING (fact_kind, fact_id) QUALIFY rank <= 200)
+        SELECT fact_kind, fact_id, rank, (subject_entity_id IN {scope})::INT + (object_entity_id IS NOT NULL AND object_entity_id <> subject_entity_id AND object_entity_id IN {scope})::INT AS coverage FROM n JOIN shown USING (fact_kind, fact_id) ORDER BY coverage DESC, rank, fact_kind, fact_id LIMIT 15""",
+    )
+    q["claim_vectors"] = (lambda v: search.vectors_of(v, "claim", ["L1-1", "B3", "gone"]).select("claim_id", F.size("embedding").cast("long").alias("width")), "SELECT claim_id, len(embedding) AS width FROM claim_search JOIN main.embeddings USING (vec_id) WHERE claim_id IN ('L1-1', 'B3', 'gone')")
+    q["entity_vectors"] = (lambda v: search.vectors_of(v, "entity", ["C7", "N3", "gone"]).select("entity_id", F.size("embedding").cast("long").alias("width")), "SELECT entity_id, len(embedding) AS width FROM entity_search JOIN main.embeddings USING (vec_id) WHERE entity_id IN ('C7', 'N3', 'gone')")
+    q["embedding_reuse"] = (
+        lambda v: search.reusable_embeddings(v.spine["chunks"], v.spine["chunk_search"], "model-64", "policy-1").select("chunk_id", F.size("embedding").cast("long").alias("width")),
+        "SELECT c.chunk_id, len(s.embedding) AS width FROM chunks c JOIN chunk_search s USING (embedding_text_hash) WHERE s.embedding IS NOT NULL AND s.embedding_model = 'model-64' AND s.embedding_input_policy_version = 'policy-1'",
+    )
+    q["rerank_bounded"] = (
+        lambda v: six(search.rerank_bounded(v, ["L1-1", "L1-2", "B3", "B4", "B5"], query_vector(v), 4)),
+        f"WITH {near} SELECT claim_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, claim_id) AS rank FROM claim_search JOIN near USING (vec_id) WHERE claim_id IN ('L1-1', 'L1-2', 'B3', 'B4', 'B5') QUALIFY rank <= 4",
+    )
+    q["hydrate_relation"] = (
+        lambda v: search.hydrate_relation(v, "located_in:C7:N" + str(_nation(v))),
+        "SELECT f.fact_id, f.predicate, f.valid_from, f.valid_until, e.claim_id, e.stance, e.doc_id, e.asserted_at, d.title, d.source_kind FROM v_facts_visible_history f LEFT JOIN v_fact_claim_evidence_live e ON e.fact_kind = 'relation' AND e.fact_id = f.fact_id LEFT JOIN v_documents_live d ON d.doc_id = e.doc_id WHERE f.fact_kind = 'relation' AND f.fact_id LIKE 'located_in:C7:%'",
+    )
+    q["currency_reextracted"] = (
+        lambda v: search.reextracted(v, "x2"),
+        "WITH live AS MATERIALIZED (SELECT chunk_id FROM v_chunks_live), c AS MATERIALIZED (SELECT claim_id, chunk_id, doc_id, extractor_version FROM claims WHERE is_current_testimony), carried AS MATERIALIZED (SELECT DISTINCT k.claim_id FROM chunk_claims k SEMI JOIN live USING (chunk_id) SEMI JOIN (SELECT claim_id FROM c WHERE extractor_version = 'x2') x USING (claim_id)) SELECT claim_id, doc_id, extractor_version FROM c SEMI JOIN live USING (chunk_id) ANTI JOIN carried USING (claim_id) WHERE extractor_version <> 'x2'",
+    )
+    q["removal_cascade"] = (
+        lambda v: search.removal_cascade(v, "O3"),
+        "WITH t AS MATERIALIZED (SELECT e.relation_id, e.doc_id FROM relation_evidence e SEMI JOIN (SELECT claim_id FROM claims WHERE is_current_testimony) c USING (claim_id) WHERE stance = 'supports') SELECT t.relation_id, count(DISTINCT t.doc_id) FILTER (WHERE t.doc_id <> 'O3') AS supports, count(DISTINCT t.doc_id) FILTER (WHERE t.doc_id <> 'O3') = 0 AND coalesce(bool_or(r.invalidated_at IS NULL AND r.valid_until IS NULL), false) AS closes FROM t JOIN relations r USING (relation_id) WHERE relation_id IN (SELECT relation_id FROM t WHERE doc_id = 'O3') GROUP BY 1",
+    )
+    q["resolution_scores"] = (
+        lambda v: search.evaluate_resolution(v.spine["resolution_decisions"].where("superseded_by IS NULL AND method = 'T0'").select("mention_id", "entity_id"), v.spine["mentions"].select("mention_id", "true_entity", F.col("emitted_type").alias("entity_type"))),
+        "WITH d AS (SELECT mention_id, entity_id FROM resolution_decisions WHERE superseded_by IS NULL AND method = 'T0') SELECT emitted_type AS entity_type, count(entity_id) AS decided, count(*) FILTER (WHERE entity_id = true_entity) AS right, round(count(*) FILTER (WHERE entity_id = true_entity) / nullif(count(entity_id), 0), 6) AS precision, round(count(*) FILTER (WHERE entity_id = true_entity) / count(*), 6) AS recall FROM mentions LEFT JOIN d USING (mention_id) GROUP BY 1",
+    )
+    # work ledger
+
+    moment = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    dead = lambda v: v.spine["processing_state"].where("status = 'dead'").select("processing_id")
+    q["work_due"] = (lambda v: ledger.due(v.spine["processing_state"], moment, lane="steady", k=25).select("processing_id", "stage", "not_before"), f"SELECT processing_id, stage, not_before FROM processing_state WHERE status = 'pending' AND not_before <= {view_sql.NOW} AND lane = 'steady' ORDER BY not_before, enqueued_at, processing_id LIMIT 25")
+    q["work_enqueue"] = (
+        lambda v: ledger.enqueue(v.spine["processing_state"].where("status = 'done'"), v.spine["processing_state"]).select("processing_id", "target_id", "stage", "component_version"),
+        "SELECT processing_id, target_id, stage, component_version FROM processing_state w ANTI JOIN (SELECT target_id, stage, component_version FROM processing_state WHERE status = 'done') d USING (target_id, stage, component_version) QUALIFY row_number() OVER (PARTITION BY target_id, stage, component_version ORDER BY processing_id) = 1",
+    )
+    q["work_fail"] = (
+        lambda v: ledger.fail(v.spine["processing_state"], v.spine["processing_state"].where("status = 'pending'").select("processing_id", F.lit("lost").alias("error"), (F.col("component_version") == "v0").alias("retryable")), moment).select("processing_id", "status", "not_before", "attempts", "last_error"),
+        f"SELECT processing_id, CASE WHEN status <> 'pending' THEN status WHEN component_version <> 'v0' OR attempts + 1 >= 4 THEN 'dead' ELSE 'pending' END AS status, CASE WHEN status = 'pending' AND component_version = 'v0' AND attempts + 1 < 4 THEN {view_sql.NOW} + to_seconds(CAST(60 * pow(2, attempts) AS BIGINT)) ELSE not_before END AS not_before, CASE WHEN status = 'pending' THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN status = 'pending' THEN 'lost' ELSE last_error END AS last_error FROM processing_state",
+    )
+    q["work_replay"] = (
+        lambda v: ledger.replay(v.spine["processing_state"], dead(v), moment).select("processing_id", "status", "not_before", "attempts"),
+        f"SELECT processing_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN {view_sql.NOW} ELSE not_before END AS not_before, CASE WHEN status = 'dead' THEN 3 ELSE attempts END AS attempts FROM processing_state",
+    )
+    q["work_complete"] = (
+        lambda v: ledger.complete(v.spine["processing_state"], dead(v)).groupBy("status").agg(F.count("*").alias("units")),
+        "SELECT CASE WHEN status = 'dead' THEN 'done' ELSE status END AS status, count(*) AS units FROM processing_state GROUP BY 1",
+    )
+    q["work_backfill"] = (
+        lambda v: ledger.backfill(v.spine["processing_state"], "click", "v2", moment).select("processing_id", "target_id"),
+        "SELECT 'fill:click:v2:' || target_id AS processing_id, target_id FROM (SELECT DISTINCT target_id FROM processing_state WHERE stage = 'click' EXCEPT SELECT target_id FROM processing_state WHERE stage = 'click' AND component_version = 'v2')",
+    )
+    q["work_readiness"] = (
+        lambda v: ledger.readiness(v.spine["processing_state"], ("click", "view")),
+        "SELECT *, click > 0 AND view > 0 AND open_units = 0 AND dead_units = 0 AS ready FROM (SELECT target_id, count(*) FILTER (WHERE stage = 'click' AND status = 'done') AS click, count(*) FILTER (WHERE stage = 'view' AND status = 'done') AS view, count(*) FILTER (WHERE status = 'pending') AS open_units, count(*) FILTER (WHERE status = 'dead') AS dead_units FROM processing_state GROUP BY 1)",
+    )
     q["merge_pieces"] = (lambda v: identity.merge_blocks(v.spark_vectors, "label", "vec_id", "embedding", 0.8), None)
     return q
 

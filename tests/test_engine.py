@@ -38,7 +38,7 @@ def canonical(df):
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
-CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk chunk_neighbors currency_stale hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of corpus_paths projection_relates spells_new spells_evidence observation_fold".split()
+CHOSEN = "facts_current survivor_map entities_current identity_events_visible evidence_lineage pages_live changes_visible facts_as_of facts_overlap lookup_relations agg_timeline agg_delta_top_entities agg_typed_absence delta_page2 recount_relations currency_regained zero_support supersede_windows bm25_topk chunk_neighbors currency_stale hybrid_rrf rerank_weighted confirm_nominations resolve graph_neighborhood graph_path neighborhood_2hop block_trigram resolve_bands embedding_input example_explain example_claims_as_of corpus_paths projection_relates search_claims search_facts search_entities nominate_testimony fact_context hydrate_relation currency_reextracted removal_cascade resolution_scores work_due work_enqueue work_fail work_replay work_complete work_backfill work_readiness spells_new spells_evidence observation_fold".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -297,3 +297,45 @@ def test_engine(spark):
     assert answer.parts["facts"].count() > 0 and answer.parts["evidence"].count() > 0
     assert engine.query_sql("SELECT count(*) AS n FROM facts_current").rows[0][0] > 0
     assert engine.search_query_space("graph edges")[0][0].startswith("graph_edges")
+
+
+# text rules
+
+
+def test_text_rules(spark):
+    from factloom.functions import text
+
+    rows = spark.createDataFrame([("  Éx\u00a0 TITLE",), ("IV. Results",), ("2.10 Data",), ("B) Next",), ("12 %",), ("",), ("IIX. odd",)], "t string")
+    got = {r["t"]: r for r in rows.select("t", text.heading_title("t").alias("h"), F.round(text.letter_ratio(F.col("t")), 3).alias("r"), text.leading_number(F.col("t")).alias("n")).collect()}
+    assert got["  Éx\u00a0 TITLE"]["h"] == "éx title" and got[""]["r"] == 0 and got["12 %"]["r"] == 0
+    numbers = {t: (r["n"]["scheme"], r["n"]["values"]) if r["n"] else None for t, r in got.items()}
+    assert numbers["IV. Results"] == ("roman", [4]) and numbers["2.10 Data"] == ("decimal", [2, 10]) and numbers["B) Next"] == ("letter", [2]) and numbers["IIX. odd"] is None
+    romans = spark.createDataFrame([(x,) for x in ("I", "XLII", "MCMXCIX", "IL", "")], "t string").select(text.roman_value(F.col("t"))).collect()
+    assert [r[0] for r in romans] == [1, 42, 1999, None, None]
+    one = spark.range(1).select(text.nearest_rank(F.array(*map(F.lit, (5, 1, 9, 7))), 0.5).alias("p"), text.instant_of(F.lit("2024-02-03")).alias("d"), text.instant_of(F.lit("2024-02-03T04:05:06Z")).alias("i"), text.instant_of(F.lit("soon")).alias("x"), (text.canonical_set_hash(F.array(F.lit("b"), F.lit("a"), F.lit("b"))) == text.canonical_set_hash(F.array(F.lit("a"), F.lit("b")))).alias("same")).first()
+    assert one["p"] == 5 and one["d"]["date_only"] is True and one["i"]["date_only"] is False and one["x"]["at"] is None and one["same"]
+
+
+def test_chunks_by_a_plain_scan(spark):
+    """pack_chunks against the rule read block by block."""
+    rng = random.Random(3)
+    text = "\n\n".join(rng.choice(("# h", "## k", "### m", "w " * rng.randint(1, 160), "x " * 500)) + f" {i}" for i in range(300))
+    blocks = documents.blockize(text)
+    parts = documents.sections(blocks)
+    got = documents.pack_chunks(text, blocks, parts)
+    assert [(c[2], c[3]) for c in got] == sorted((c[2], c[3]) for c in got) and sum(c[3] - c[2] + 1 for c in got) == len(blocks)
+    owner = {k: max((p for p in parts if p[2] <= k < p[3]), key=lambda p: p[0].count("."))[0] for k in range(len(blocks))}
+    want, run, held, since, last = [], [], 0, documents.ANCHOR_GAP, None
+    for b in blocks:
+        if owner[b.ordinal] != last:
+            want, run, held, since, last = want + [run] * bool(run), [], 0, documents.ANCHOR_GAP, owner[b.ordinal]
+        n = len(text[b.char_start : b.char_end].split())
+        anchor = int(b.block_hash[:16], 16) % documents.ANCHOR_MODULUS == 0 and since >= documents.ANCHOR_GAP
+        if anchor or (run and held + n > documents.TOKEN_BUDGET):
+            want, run, held, since = want + [run] * bool(run), [], 0, 0 if anchor else since
+        run, held, since = [*run, b], held + n, since + n
+        if held > documents.TOKEN_BUDGET:
+            want, run, held = [*want, run], [], 0
+    want += [run] * bool(run)
+    assert [(c[2], c[3]) for c in got] == [(r[0].ordinal, r[-1].ordinal) for r in want]
+    assert [c[1] for c in got] == [owner[r[0].ordinal] for r in want]
