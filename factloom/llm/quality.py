@@ -225,7 +225,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5
     sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
     got = sampled_texts(rows, sample).mapInArrow(pool, "doc_id long, label int, weight double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    return vectors, train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
+    net = train(x, got["label"].to_numpy().astype(float), got["weight"].to_numpy())
+    del got, x
+    give_back()
+    return vectors, net
 
 
 def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:

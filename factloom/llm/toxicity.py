@@ -166,7 +166,9 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> FactorizationMachine:
     """Model from labels of rows whose crc32(id as text) mod modulus is not remainder, SAMPLE_ROWS of them at most."""
     sample = labelled_sample(labels, label, remainder_is("doc_id", modulus, remainder), SAMPLE_ROWS)
-    return train(sample_rows(docs, sample, id_col, text_col))
+    model = train(sample_rows(docs, sample, id_col, text_col))
+    give_back()
+    return model
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
