@@ -371,19 +371,19 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     )
     # work ledger
 
-    moment = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    moment = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")  # noqa: E731, no session is needed to list queries
     dead = lambda v: v.spine["processing_state"].where("status = 'dead'").select("processing_id")
-    q["work_due"] = (lambda v: ledger.due(v.spine["processing_state"], moment, lane="steady", k=25).select("processing_id", "stage", "not_before"), f"SELECT processing_id, stage, not_before FROM processing_state WHERE status = 'pending' AND not_before <= {view_sql.NOW} AND lane = 'steady' ORDER BY not_before, enqueued_at, processing_id LIMIT 25")
+    q["work_due"] = (lambda v: ledger.due(v.spine["processing_state"], moment(), lane="steady", k=25).select("processing_id", "stage", "not_before"), f"SELECT processing_id, stage, not_before FROM processing_state WHERE status = 'pending' AND not_before <= {view_sql.NOW} AND lane = 'steady' ORDER BY not_before, enqueued_at, processing_id LIMIT 25")
     q["work_enqueue"] = (
         lambda v: ledger.enqueue(v.spine["processing_state"].where("status = 'done'"), v.spine["processing_state"]).select("processing_id", "target_id", "stage", "component_version"),
         "SELECT processing_id, target_id, stage, component_version FROM processing_state w ANTI JOIN (SELECT target_id, stage, component_version FROM processing_state WHERE status = 'done') d USING (target_id, stage, component_version) QUALIFY row_number() OVER (PARTITION BY target_id, stage, component_version ORDER BY processing_id) = 1",
     )
     q["work_fail"] = (
-        lambda v: ledger.fail(v.spine["processing_state"], v.spine["processing_state"].where("status = 'pending'").select("processing_id", F.lit("lost").alias("error"), (F.col("component_version") == "v0").alias("retryable")), moment).select("processing_id", "status", "not_before", "attempts", "last_error"),
+        lambda v: ledger.fail(v.spine["processing_state"], v.spine["processing_state"].where("status = 'pending'").select("processing_id", F.lit("lost").alias("error"), (F.col("component_version") == "v0").alias("retryable")), moment()).select("processing_id", "status", "not_before", "attempts", "last_error"),
         f"SELECT processing_id, CASE WHEN status <> 'pending' THEN status WHEN component_version <> 'v0' OR attempts + 1 >= 4 THEN 'dead' ELSE 'pending' END AS status, CASE WHEN status = 'pending' AND component_version = 'v0' AND attempts + 1 < 4 THEN {view_sql.NOW} + to_seconds(CAST(60 * pow(2, attempts) AS BIGINT)) ELSE not_before END AS not_before, CASE WHEN status = 'pending' THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN status = 'pending' THEN 'lost' ELSE last_error END AS last_error FROM processing_state",
     )
     q["work_replay"] = (
-        lambda v: ledger.replay(v.spine["processing_state"], dead(v), moment).select("processing_id", "status", "not_before", "attempts"),
+        lambda v: ledger.replay(v.spine["processing_state"], dead(v), moment()).select("processing_id", "status", "not_before", "attempts"),
         f"SELECT processing_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN {view_sql.NOW} ELSE not_before END AS not_before, CASE WHEN status = 'dead' THEN 3 ELSE attempts END AS attempts FROM processing_state",
     )
     q["work_complete"] = (
@@ -391,7 +391,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         "SELECT CASE WHEN status = 'dead' THEN 'done' ELSE status END AS status, count(*) AS units FROM processing_state GROUP BY 1",
     )
     q["work_backfill"] = (
-        lambda v: ledger.backfill(v.spine["processing_state"], "click", "v2", moment).select("processing_id", "target_id"),
+        lambda v: ledger.backfill(v.spine["processing_state"], "click", "v2", moment()).select("processing_id", "target_id"),
         "SELECT 'fill:click:v2:' || target_id AS processing_id, target_id FROM (SELECT DISTINCT target_id FROM processing_state WHERE stage = 'click' EXCEPT SELECT target_id FROM processing_state WHERE stage = 'click' AND component_version = 'v2')",
     )
     q["work_readiness"] = (
