@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import brown, chat, forest, license, mixing, packing, quality, search, simhash, toxicity
+from factloom.llm import audit, brown, chat, forest, license, lloyd, mixing, packing, quality, search, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_chat_perspectives": chat.op9_chat_perspectives,
         "op10_embedding_forest": forest.op10_embedding_forest,
+        "op11_filter_audit": audit.op11_filter_audit,
+        "op12_warc": warc.op12_warc,
+        "op13_lloyd_codes": lloyd.op13_lloyd_codes,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": mixing.oracle(),
         "op5_maxscore_topk": search.ORACLE,
         "op9_chat_perspectives": chat.ORACLE,
+        "op11_filter_audit": audit.ORACLE,
+        "op12_warc": warc.ORACLE,
+        "op13_lloyd_codes": lloyd.ORACLE,
     }
