@@ -246,7 +246,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     # shipped statements, through the gate
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
-        q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+        q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
     # documents
     q["document_blocks"] = (lambda v: documents.document_blocks(v.raw("documents")), None)
     q["document_chunks"] = (lambda v: documents.document_chunks(v.raw("documents")), None)

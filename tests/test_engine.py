@@ -203,6 +203,13 @@ def test_gate_refuses(spark, sql):
         "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r) SELECT * FROM r WHERE 'depth < 3' = 'x'",
         "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r WHERE depth < 3 OR true) SELECT * FROM r",
         "WITH RECURSIVE r AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM r WHERE depth < 9) SELECT * FROM r",
+        "WITH RECURSIVE a AS (SELECT 0 AS depth UNION ALL SELECT depth + 1 FROM a WHERE depth < 3), b AS (SELECT 1 AS depth UNION ALL SELECT depth + 1 FROM b) SELECT * FROM b",
+        "WITH RECURSIVE a AS (SELECT 0 AS depth UNION ALL SELECT depth FROM a WHERE depth < 3) SELECT * FROM a",
+        "WITH RECURSIVE a AS (SELECT 1 AS depth UNION ALL SELECT depth + 1 FROM a WHERE depth < 3) SELECT * FROM a",
+        "WITH RECURSIVE a AS (SELECT 0 AS depth UNION ALL SELECT x.depth + 1 FROM a x, a y WHERE x.depth < 3) SELECT * FROM a",
+        "WITH RECURSIVE a AS (SELECT 0 AS depth, 1 AS n UNION ALL SELECT n, depth + 1 FROM a WHERE depth < 3) SELECT * FROM a",
+        "WITH r AS (SELECT * FROM r) SELECT * FROM r",
+        "SELECT '\\'', * FROM facts_current TABLESAMPLE (1 ROWS) --'",
         "SELECT to_json(parse_json('{}'))",
         "SELECT typeof(1)",
     ],
