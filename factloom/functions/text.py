@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 #: What Roman digits stand for, and the form of a number that is well written.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
-ROMAN_FORM = "^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+ROMAN_FORM = "^M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 @F.pandas_udf(StringType())
@@ -41,15 +41,21 @@ def roman_value(token: Column) -> Column:
 
 
 def leading_number(title: Column) -> Column:
-    """(scheme, values) of the number that a heading begins with: decimal, roman or letter; null without one."""
-    decimal = F.regexp_extract(title, r"^\s*(\d+(?:\.\d+)*)[.)]?(?:\s|$)", 1)
-    token = F.regexp_extract(title, r"^\s*([A-Z]+)[.)](?:\s|$)", 1)
-    roman = roman_value(token)
-    made = lambda scheme, values: F.struct(F.lit(scheme).alias("scheme"), values.cast("array<int>").alias("values"))
+    """(scheme, values) of the number that a title begins with: arabic_dotted, alpha or roman; null for none.
+
+    A letter before a full stop is alpha unless it could be a Roman digit; those are Roman where they are well formed.
+    """
+    bare = F.regexp_replace(title, r"^\s+", "")
+    arabic = F.regexp_extract(bare, r"^(\d+(?:\.\d+)*)(?=$|[\s.)])", 1)
+    letter = F.lower(F.regexp_extract(bare, r"^([A-Za-z])\.(?=$|\s)", 1))
+    roman = roman_value(F.upper(F.regexp_extract(bare, r"^([IVXLCDMivxlcdm]+)(?=$|[\s.)])", 1)))
+    made = lambda scheme, values: F.struct(F.lit(scheme).alias("scheme"), values.cast("array<decimal(38,0)>").alias("values"))
+    as_letter = made("alpha", F.array(F.ascii(letter) - 96))
     return (
-        F.when(decimal != "", made("decimal", F.split(decimal, r"\.")))
+        F.when(arabic != "", made("arabic_dotted", F.split(arabic, r"\.")))
+        .when((letter != "") & ~letter.isin(*map(str.lower, ROMAN)), as_letter)
         .when(roman.isNotNull(), made("roman", F.array(roman)))
-        .when(F.length(token) == 1, made("letter", F.array(F.ascii(token) - F.lit(64))))
+        .when(letter != "", as_letter)
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import adjudication, documents, facts, graph, identity, ledger, retrieval, search
+from factloom.functions.checkpoint import cut
+from factloom.operators import adjudication, documents, facts, graph, identity, ledger, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -72,6 +73,79 @@ def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _line_blocks(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Lines of all texts as blocks, short ones as headings of three levels, and the documents."""
+    docs = v.raw("documents")
+    lines = sections.text_lines(docs).withColumn("level", F.when(F.length("text") <= 30, 1 + F.length("text") % 3)).withColumn("title", F.trim("text"))
+    return lines, docs.select("doc_id", F.col("source").alias("title"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
+def _statistics(v: Views) -> DataFrame:
+    lines, docs = _line_blocks(v)
+    return sections.skeleton_statistics(cut(sections.heading_sections(lines, docs)), lines, docs)
+
+
+def _proposals(v: Views) -> DataFrame:
+    """A tree of sections as a model might propose it: one for each sentence end's line, off the grid, some reversed."""
+    lines, _ = _line_blocks(v)
+    odd = F.col("ordinal") % 5
+    at = F.col("char_start") + odd
+    return lines.select(
+        "doc_id", F.col("ordinal").alias("node_id"), F.when(odd != 0, F.col("ordinal") - odd).alias("parent_id"), F.col("ordinal").alias("place"), F.substring("text", 1, 40).alias("title"),
+        F.when(odd == 1, "Methods ").when(odd == 2, "song").alias("role"), at.alias("char_start"), F.when(odd == 4, at - 9).otherwise(F.col("char_end") + 700 * (odd == 0).cast("int")).alias("char_end"),
+    )
+
+
+def _anchors(v: Views) -> DataFrame:
+    """Quotes of lines as anchors: words of each third line, of which some are in no line or come again."""
+    lines, _ = _line_blocks(v)
+    odd = F.col("ordinal") % 3
+    quote = F.when(odd == 1, F.concat(F.substring("text", 1, 12), F.lit("?!?"))).otherwise(F.substring("text", 1, 12))
+    return lines.select("doc_id", F.col("ordinal").alias("node_id"), F.when(odd != 0, F.col("ordinal") - odd).alias("parent_id"), F.col("ordinal").alias("place"), quote.alias("anchor"), F.lit(0).alias("occurrence"))
+
+
+RATIOS = ("duplicate_title_ratio", "sibling_duplicate_ratio", "numbering_coverage", "tiny_section_ratio", "zero_direct_body_ratio", "oversized_leaf_ratio", "heading_density", "long_title_ratio", "low_letter_ratio", "empty_title_ratio")
+#: blocks: lines of texts; tree: the sections of their short lines; each by other means than in Spark.
+SKELETON = r"""
+    cutup AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM main.documents),
+    placed AS (SELECT doc_id, i, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM cutup),
+    blocks AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS k, t, a, (a + length(t))::INT AS z, CASE WHEN length(t) <= 30 THEN (1 + length(t) % 3)::INT END AS level FROM placed WHERE trim(t, ' ') <> ''),
+    heads AS MATERIALIZED (SELECT h.doc_id, h.k, h.level, trim(h.t, ' ') AS title, h.a, (SELECT max(p.k) FROM blocks p WHERE p.doc_id = h.doc_id AND p.k < h.k AND p.level < h.level) AS parent, (SELECT min(n.k) FROM blocks n WHERE n.doc_id = h.doc_id AND n.k > h.k AND n.level <= h.level) AS next FROM blocks h WHERE h.level IS NOT NULL),
+    turned AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, parent ORDER BY k) - 1 AS turn FROM heads),
+    p1 AS (SELECT doc_id, k, [turn] AS way FROM turned WHERE parent IS NULL),
+    p2 AS (SELECT t.doc_id, t.k, list_append(p1.way, turn) AS way FROM turned t JOIN p1 ON p1.doc_id = t.doc_id AND p1.k = t.parent),
+    p3 AS (SELECT t.doc_id, t.k, list_append(p2.way, turn) AS way FROM turned t JOIN p2 ON p2.doc_id = t.doc_id AND p2.k = t.parent),
+    ways AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+    last AS (SELECT d.doc_id, coalesce(max(k), -1)::INT AS k FROM main.documents d LEFT JOIN blocks b USING (doc_id) GROUP BY 1),
+    tree AS MATERIALIZED (
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1)::INT AS ordinal, array_to_string(list_prepend(0, way), '.') AS node_path, CASE WHEN len(way) > 0 THEN array_to_string(list_prepend(0, way[:-2]), '.') END AS parent_path,
+        title, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '\s+', ' ', 'g')) AS normalized_title, level AS heading_level, 'body' AS role, s AS block_start, e AS block_end, a AS char_start, z AS char_end
+      FROM (SELECT d.doc_id, CAST([] AS BIGINT[]) AS way, coalesce(d.source, '') AS title, NULL::INT AS level, 0 AS s, last.k AS e, 0 AS a, length(coalesce(d.text, ''))::INT AS z FROM main.documents d JOIN last USING (doc_id)
+        UNION ALL SELECT t.doc_id, w.way, t.title, t.level, t.k, e.k, t.a, e.z FROM turned t JOIN ways w ON w.doc_id = t.doc_id AND w.k = t.k JOIN last l ON l.doc_id = t.doc_id JOIN blocks e ON e.doc_id = t.doc_id AND e.k = coalesce(t.next - 1, l.k)))"""
+STATISTICS = r"""
+    s AS MATERIALIZED (SELECT * FROM tree WHERE node_path <> '0'),
+    own AS (SELECT b.doc_id, b.k, b.z - b.a AS size, arg_max(s.node_path, s.ordinal) AS node_path FROM blocks b JOIN s ON s.doc_id = b.doc_id AND b.k BETWEEN s.block_start AND s.block_end GROUP BY ALL),
+    direct AS (SELECT s.doc_id, s.node_path, coalesce(sum(o.size) FILTER (WHERE o.k <> s.block_start), 0) AS body FROM s LEFT JOIN own o ON o.doc_id = s.doc_id AND o.node_path = s.node_path GROUP BY ALL),
+    fans AS (SELECT doc_id, parent_path, count(*) AS n, count(*) - count(DISTINCT normalized_title) AS twice FROM s GROUP BY ALL),
+    num AS (SELECT *, regexp_extract(ltrim(normalized_title), '^(\d+(?:\.\d+)*)($|[\s.)])', 1) AS ar, regexp_extract(ltrim(normalized_title), '^([a-z])\.($|\s)', 1) AS al, upper(regexp_extract(ltrim(normalized_title), '^([ivxlcdm]+)($|[\s.)])', 1)) AS ro FROM s),
+    val AS (SELECT *, len(ro) - len(replace(ro, 'I', '')) + 5 * (len(ro) - len(replace(ro, 'V', ''))) + 10 * (len(ro) - len(replace(ro, 'X', ''))) + 50 * (len(ro) - len(replace(ro, 'L', ''))) + 100 * (len(ro) - len(replace(ro, 'C', ''))) + 500 * (len(ro) - len(replace(ro, 'D', ''))) + 1000 * (len(ro) - len(replace(ro, 'M', '')))
+        - 2 * (contains(ro, 'IV')::INT + contains(ro, 'IX')::INT) - 20 * (contains(ro, 'XL')::INT + contains(ro, 'XC')::INT) - 200 * (contains(ro, 'CD')::INT + contains(ro, 'CM')::INT) AS rv, ro <> '' AND regexp_full_match(ro, 'M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})') AS rok FROM num),
+    got AS (SELECT *, CASE WHEN ar <> '' THEN 'n' WHEN al <> '' AND al NOT IN ('i', 'v', 'x', 'l', 'c', 'd', 'm') THEN 'a' WHEN rok THEN 'r' WHEN al <> '' THEN 'a' END AS scheme FROM val),
+    valued AS (SELECT *, CASE scheme WHEN 'n' THEN list_transform(string_split(ar, '.'), lambda x: CAST(x AS DECIMAL(38, 0))) WHEN 'a' THEN [CAST(ascii(al) - 96 AS DECIMAL(38, 0))] WHEN 'r' THEN [CAST(rv AS DECIMAL(38, 0))] END AS v FROM got),
+    lagged AS (SELECT *, lag(scheme) OVER w AS scheme0, lag(v) OVER w AS v0, lag(heading_level) OVER (PARTITION BY doc_id ORDER BY ordinal) AS level0 FROM valued WINDOW w AS (PARTITION BY doc_id, parent_path ORDER BY block_start)),
+    sums AS (
+      SELECT l.doc_id, count(*) AS n, 1 - count(DISTINCT normalized_title) / count(*) AS dup, sum(greatest(0, heading_level - level0 - 1)) AS jumps, count(scheme) / count(*) AS cover, count(*) FILTER (WHERE scheme = scheme0 AND v < v0) AS inv, count(*) FILTER (WHERE scheme <> scheme0) AS sw,
+        count(*) FILTER (WHERE body < 80) / count(*) AS tiny, count(*) FILTER (WHERE body = 0) / count(*) AS zero, max(char_end - char_start) FILTER (WHERE f.n IS NULL) AS leaf, list_sort(list(length(normalized_title))) AS ls,
+        count(*) FILTER (WHERE length(normalized_title) > 120) / count(*) AS long, count(*) FILTER (WHERE CASE WHEN normalized_title = '' THEN true ELSE length(regexp_replace(normalized_title, '[^\p{L}]', '', 'g')) / length(normalized_title) < 0.5 END) / count(*) AS low, count(*) FILTER (WHERE normalized_title = '') / count(*) AS empty
+      FROM lagged l JOIN direct d ON d.doc_id = l.doc_id AND d.node_path = l.node_path LEFT JOIN fans f ON f.doc_id = l.doc_id AND f.parent_path = l.node_path GROUP BY l.doc_id),
+    most AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, normalized_title, count(*) AS n FROM s GROUP BY ALL) GROUP BY 1),
+    fan AS (SELECT doc_id, max(n) AS n, sum(twice) AS twice FROM fans GROUP BY 1)
+    SELECT d.doc_id, coalesce(c.sections, 0) AS section_count, round(dup, 6) AS duplicate_title_ratio, m.n AS max_title_multiplicity, round(twice / z.n, 6) AS sibling_duplicate_ratio, CAST(CASE WHEN z.n >= 3 THEN coalesce(jumps, 0) END AS BIGINT) AS level_jump_count, round(cover, 6) AS numbering_coverage, inv AS numbering_inversions, sw AS numbering_scheme_switches,
+      round(tiny, 6) AS tiny_section_ratio, round(zero, 6) AS zero_direct_body_ratio, round(leaf / length(d.text), 6) AS oversized_leaf_ratio, round(z.n * 10000 / length(d.text), 6) AS heading_density, CAST(ls[greatest(1, ceil(0.5 * z.n))::INT] AS DOUBLE) AS title_length_p50, CAST(ls[greatest(1, ceil(0.95 * z.n))::INT] AS DOUBLE) AS title_length_p95,
+      round(long, 6) AS long_title_ratio, round(low, 6) AS low_letter_ratio, round(empty, 6) AS empty_title_ratio, f.n AS max_sibling_fanout
+    FROM main.documents d LEFT JOIN sums z ON z.doc_id = d.doc_id AND z.n >= 3 LEFT JOIN most m ON m.doc_id = z.doc_id LEFT JOIN fan f ON f.doc_id = z.doc_id LEFT JOIN (SELECT doc_id AS of, n AS sections FROM sums) c ON c.of = d.doc_id"""
+
+
 #: Name: (query over the views, SQL over their oracle).
 def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     q: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {name: ((lambda v, n=name: getattr(v, n)), f"SELECT * FROM v_{name}") for name in PUBLISHED}
@@ -247,6 +321,15 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
         q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # sections
+    q["section_skeletons"] = (lambda v: sections.heading_sections(*_line_blocks(v)), f"WITH {SKELETON} SELECT * FROM tree")
+    q["skeleton_hashes"] = (
+        lambda v: sections.skeleton_hash(sections.heading_sections(*_line_blocks(v))),
+        f"WITH {SKELETON} SELECT doc_id, sha256(to_json(list({{block_end: block_end, block_start: block_start, char_end: char_end, char_start: char_start, heading_level: heading_level, node_path: node_path, normalized_title: normalized_title, parent_path: parent_path, title: title}} ORDER BY ordinal))) AS skeleton_hash FROM tree GROUP BY 1",
+    )
+    q["skeleton_statistics"] = (lambda v: _rounded(_statistics(v), *RATIOS), f"WITH {SKELETON}, {STATISTICS}")
+    q["sections_snapped"] = (lambda v: sections.snap_sections(_proposals(v), *_line_blocks(v)), None)
+    q["sections_by_anchor"] = (lambda v: sections.fallback_sections(_anchors(v), *_line_blocks(v)), None)
     # documents
     q["document_blocks"] = (lambda v: documents.document_blocks(v.raw("documents")), None)
     q["document_chunks"] = (lambda v: documents.document_chunks(v.raw("documents")), None)

@@ -125,7 +125,7 @@ def test_blocks():
     blocks = documents.blockize(MARKDOWN)
     assert [b.type for b in blocks] == ["heading", "paragraph", "list_item", "list_item", "quote", "code", "table", "heading", "paragraph"]
     assert MARKDOWN[blocks[1].char_start : blocks[1].char_end] == "A para\nof two lines."
-    assert [(p, t) for p, t, *_ in documents.sections(blocks)] == [("0", ""), ("0.1", "Title"), ("0.1.1", "Setext")]
+    assert [(p, t) for p, t, *_ in documents.sections(blocks)] == [("0", ""), ("0.0", "Title"), ("0.0.0", "Setext")]
     assert documents.block_hash("a  b\n c") == documents.block_hash("a b c")
 
 
@@ -312,11 +312,11 @@ def test_engine(spark):
 def test_text_rules(spark):
     from factloom.functions import text
 
-    rows = spark.createDataFrame([("  Éx\u00a0 TITLE",), ("IV. Results",), ("2.10 Data",), ("B) Next",), ("12 %",), ("",), ("IIX. odd",)], "t string")
+    rows = spark.createDataFrame([("  Éx\u00a0 TITLE",), ("IV. Results",), ("2.10 Data",), ("B. Next",), ("12 %",), ("",), ("IIX. odd",)], "t string")
     got = {r["t"]: r for r in rows.select("t", text.heading_title("t").alias("h"), F.round(text.letter_ratio(F.col("t")), 3).alias("r"), text.leading_number(F.col("t")).alias("n")).collect()}
     assert got["  Éx\u00a0 TITLE"]["h"] == "éx title" and got[""]["r"] == 0 and got["12 %"]["r"] == 0
     numbers = {t: (r["n"]["scheme"], r["n"]["values"]) if r["n"] else None for t, r in got.items()}
-    assert numbers["IV. Results"] == ("roman", [4]) and numbers["2.10 Data"] == ("decimal", [2, 10]) and numbers["B) Next"] == ("letter", [2]) and numbers["IIX. odd"] is None
+    assert numbers["IV. Results"] == ("roman", [4]) and numbers["2.10 Data"] == ("arabic_dotted", [2, 10]) and numbers["B. Next"] == ("alpha", [2]) and numbers["12 %"] == ("arabic_dotted", [12]) and numbers["IIX. odd"] is None
     romans = spark.createDataFrame([(x,) for x in ("I", "XLII", "MCMXCIX", "IL", "")], "t string").select(text.roman_value(F.col("t"))).collect()
     assert [r[0] for r in romans] == [1, 42, 1999, None, None]
     one = spark.range(1).select(text.nearest_rank(F.array(*map(F.lit, (5, 1, 9, 7))), 0.5).alias("p"), text.instant_of(F.lit("2024-02-03")).alias("d"), text.instant_of(F.lit("2024-02-03T04:05:06Z")).alias("i"), text.instant_of(F.lit("soon")).alias("x"), (text.canonical_set_hash(F.array(F.lit("b"), F.lit("a"), F.lit("b"))) == text.canonical_set_hash(F.array(F.lit("a"), F.lit("b")))).alias("same")).first()
