@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import temporal
 from factloom.functions.checkpoint import cut
-from factloom.operators import adjudication, documents, facts, graph, identity, ledger, retrieval, search, sections
+from factloom.operators import adjudication, claims, documents, facts, graph, identity, ledger, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -104,6 +104,61 @@ def _anchors(v: Views) -> DataFrame:
     return lines.select("doc_id", F.col("ordinal").alias("node_id"), F.when(odd != 0, F.col("ordinal") - odd).alias("parent_id"), F.col("ordinal").alias("place"), quote.alias("anchor"), F.lit(0).alias("occurrence"))
 
 
+def _claim_parts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, kept spans and chunks: a claim for each sentence of all texts and turns, of which some quote or add
+    what the source lacks, as a model might."""
+    docs, turns = v.raw("documents"), v.raw("conversations")
+    lines = sections.text_lines(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    header = F.concat(F.lit("title "), F.coalesce("source", F.lit("untitled")), F.lit("; source text; date 1996-01-01; language "), F.coalesce("lang", F.lit("unknown")))
+    chunks = lines.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.concat(F.lit("D"), "doc_id", F.lit("-"), "ordinal").alias("chunk_id"), "ordinal", F.floor(F.col("ordinal") / 4).cast("string").alias("section"), header.alias("header"), "text", "char_start")
+    talk = turns.select(F.concat(F.lit("C"), "conv_id").alias("doc_id"), F.concat(F.lit("C"), "conv_id", F.lit("-"), "turn").alias("chunk_id"), F.col("turn").cast("int").alias("ordinal"), F.lit("0").alias("section"), F.lit("title untitled; source chat; date 1996-02-01; language unknown").alias("header"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("char_start"))
+    chunks = cut(chunks.unionByName(talk))
+    found = claims.sentence_candidates(chunks).join(chunks.select("chunk_id", "header"), "chunk_id")
+    k = F.col("k")
+    added = F.when(k % 4 == 1, F.concat(F.lit("according to "), F.element_at(F.split("header", "[ ;]"), 2), F.lit(","))).when(k % 4 == 2, F.concat(F.lit("in 1999 "), F.substring("span", 1, 6), F.lit("’s °"))).when(k % 4 == 3, F.upper("span"))
+    day = lambda *at: F.when((k % 6).isin(*at), "2020-01-01")
+    moment = F.when(k % 6 == 3, "2020-01-01T10:00:00+02:00")
+    candidates = found.select(
+        "candidate_id", "chunk_id", F.when(k % 7 == 5, F.concat("span", F.lit("#"))).otherwise(F.col("span")).alias("span"), "claim_text", F.when(added.isNotNull(), F.array(added)).alias("added"),
+        F.coalesce(day(1, 2, 4), moment, F.when(k % 6 == 5, "2020-03-01")).alias("valid_from"), F.coalesce(F.when(k % 6 == 1, "2020-02-01"), day(2, 5), moment).alias("valid_until"), F.element_at(F.array(*map(F.lit, ("unknown", "day", "instant", "instant", "open", "day"))), k % 6 + 1).alias("precision"),
+    )
+    kept = found.where("k % 5 <> 3").select("chunk_id", F.substring("span", 3, 1 << 20).alias("span"), (k % 5 == 1).alias("flagged"))
+    return cut(candidates), kept.union(chunks.select("chunk_id", F.lit("nowhere to be found"), F.lit(False))), chunks
+
+
+WORDS = r"[\p{L}\p{N}_]"
+
+
+def _tokens_sql(text: str) -> str:
+    whole = rf"regexp_replace(lower({text}), '[’' || chr(39) || ']s([^\p{{L}}\p{{N}}_]|$)', chr(1) || '\1', 'g')"
+    return rf"list_transform(regexp_extract_all({whole}, '{WORDS}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]'), lambda t: CASE WHEN t = chr(1) THEN chr(39) || 's' ELSE t END)"
+
+
+CLAIM_PARTS = r"""
+    cutup AS (SELECT doc_id, source, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM main.documents),
+    placed AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM cutup),
+    numbered AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS o FROM placed WHERE trim(t, ' ') <> ''),
+    chunks_of AS MATERIALIZED (
+      SELECT 'D' || doc_id AS doc_id, 'D' || doc_id || '-' || o AS chunk_id, o, CAST(o // 4 AS VARCHAR) AS section, 'title ' || coalesce(source, 'untitled') || '; source text; date 1996-01-01; language ' || coalesce(lang, 'unknown') AS header, t AS text, a FROM numbered
+      UNION ALL SELECT 'C' || conv_id, 'C' || conv_id || '-' || turn, turn::INT, '0', 'title untitled; source chat; date 1996-02-01; language unknown', coalesce(text, ''), 0 FROM main.conversations),
+    parts AS MATERIALIZED (SELECT chunk_id, header, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM chunks_of),
+    said AS MATERIALIZED (SELECT chunk_id, header, unnest(s) AS s, unnest(range(len(s)))::INT AS k FROM parts),
+    candidates AS MATERIALIZED (
+      SELECT chunk_id || '-' || k AS candidate_id, chunk_id, k, CASE WHEN k % 7 = 5 THEN s || '#' ELSE s END AS span, s AS claim_text,
+        CASE k % 4 WHEN 1 THEN 'according to ' || regexp_split_to_array(header, '[ ;]')[2] || ',' WHEN 2 THEN 'in 1999 ' || substr(s, 1, 6) || '’s °' WHEN 3 THEN lower(s) END AS added FROM said),
+    retained AS (SELECT DISTINCT chunk_id, substr(s, 3) AS span, bool_or(k % 5 = 1) AS flagged FROM said WHERE k % 5 <> 3 GROUP BY ALL UNION ALL SELECT chunk_id, 'nowhere to be found', false FROM chunks_of)"""
+SCAFFOLD = "[" + ", ".join("'" + t.replace(chr(39), chr(39) * 2) + "'" for t in claims.SCAFFOLD) + "]"
+JUDGED = rf"""
+    around AS (SELECT *, lag(section) OVER w AS s0, lag(text) OVER w AS t0, lead(section) OVER w AS s1, lead(text) OVER w AS t1 FROM chunks_of WINDOW w AS (PARTITION BY doc_id ORDER BY o)),
+    drawn AS MATERIALIZED (SELECT doc_id, chunk_id, text, a, lower(text || chr(10) || header || chr(10) || CASE WHEN s0 = section THEN t0 ELSE '' END || chr(10) || CASE WHEN s1 = section THEN t1 ELSE '' END) AS u FROM around),
+    found AS MATERIALIZED (SELECT c.*, d.doc_id, d.text, CASE WHEN strpos(text, span) > 0 THEN d.a + strpos(text, span) - 1 END AS a, d.a + strpos(text, span) - 1 + length(span) AS z, u, {_tokens_sql("added")} AS tokens FROM candidates c JOIN drawn d USING (chunk_id)),
+    spot AS MATERIALIZED (SELECT r.chunk_id, d.a + strpos(text, r.span) - 1 AS a, d.a + strpos(text, r.span) - 1 + length(r.span) AS z FROM retained r JOIN drawn d USING (chunk_id) WHERE strpos(text, r.span) > 0),
+    inside AS (SELECT DISTINCT f.candidate_id FROM found f JOIN spot s ON s.chunk_id = f.chunk_id AND f.a < s.z AND s.a < f.z),
+    lacking AS (SELECT candidate_id, list_filter(tokens, lambda t: NOT CASE WHEN regexp_full_match(t, '{WORDS}+') THEN list_contains(words, t) ELSE contains(u, t) END AND NOT (list_contains({SCAFFOLD}, t) AND NOT regexp_matches(t, '\p{{N}}'))) AS l FROM (SELECT candidate_id, tokens, u, regexp_extract_all(u, '{WORDS}+') AS words FROM found)),
+    once AS (SELECT candidate_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS failed FROM lacking),
+    judged AS (SELECT f.*, failed, flagged, CASE WHEN f.a IS NULL THEN 'span_not_found' WHEN i.candidate_id IS NULL THEN 'outside_kept_ranges' WHEN trim(added) <> '' AND len(failed) > 0 THEN 'added_context_unverified' END AS gate
+      FROM found f JOIN once USING (candidate_id) LEFT JOIN inside i USING (candidate_id) LEFT JOIN (SELECT chunk_id, span, flagged FROM retained WHERE flagged) g ON g.chunk_id = f.chunk_id AND g.span = f.span)"""
+
 RATIOS = ("duplicate_title_ratio", "sibling_duplicate_ratio", "numbering_coverage", "tiny_section_ratio", "zero_direct_body_ratio", "oversized_leaf_ratio", "heading_density", "long_title_ratio", "low_letter_ratio", "empty_title_ratio")
 #: blocks: lines of texts; tree: the sections of their short lines; each by other means than in Spark.
 SKELETON = r"""
@@ -321,6 +376,18 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
         q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # claims from text
+    q["grounding_gate"] = (
+        lambda v: claims.grounding_gate(*_claim_parts(v)).withColumn("failed_tokens", F.array_join("failed_tokens", " ")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_until")}),
+        f"WITH {CLAIM_PARTS}, {JUDGED} SELECT candidate_id, chunk_id, doc_id, claim_text, gate, CASE WHEN gate IS NULL THEN a END AS char_start, CASE WHEN gate IS NULL THEN z END AS char_end, CASE WHEN gate IS NULL THEN coalesce(flagged, false) END AS kept_flagged, CASE WHEN gate = 'added_context_unverified' THEN added END AS failed_text, "
+        "CASE WHEN gate = 'added_context_unverified' THEN array_to_string(failed, ' ') END AS failed_tokens, CASE WHEN gate IS NULL THEN CASE k % 6 WHEN 1 THEN TIMESTAMP '2020-01-01' WHEN 3 THEN TIMESTAMP '2020-01-01 08:00:00' WHEN 4 THEN TIMESTAMP '2020-01-01' END END AS valid_from, "
+        "CASE WHEN gate IS NULL THEN CASE k % 6 WHEN 1 THEN TIMESTAMP '2020-02-01' WHEN 3 THEN TIMESTAMP '2020-01-01 08:00:00' END END AS valid_until, CASE WHEN gate IS NULL THEN CASE k % 6 WHEN 1 THEN 'day' WHEN 3 THEN 'instant' WHEN 4 THEN 'open' ELSE 'unknown' END END AS precision FROM judged",
+    )
+    q["claims_omitted"] = (
+        lambda v: claims.omitted(*_claim_parts(v)),
+        f"WITH {CLAIM_PARTS}, said_at AS MATERIALIZED (SELECT c.chunk_id, strpos(text, c.span) AS a, strpos(text, c.span) + length(c.span) AS z FROM candidates c JOIN chunks_of x USING (chunk_id) WHERE strpos(text, c.span) > 0), spot AS (SELECT DISTINCT r.chunk_id, r.span, strpos(text, r.span) AS a, strpos(text, r.span) + length(r.span) AS z FROM retained r JOIN chunks_of x USING (chunk_id)) "
+        "SELECT chunk_id, span FROM spot s WHERE s.a = 0 OR NOT EXISTS (SELECT 1 FROM said_at t WHERE t.chunk_id = s.chunk_id AND t.a < s.z AND s.a < t.z)",
+    )
     # sections
     q["section_skeletons"] = (lambda v: sections.heading_sections(*_line_blocks(v)), f"WITH {SKELETON} SELECT * FROM tree")
     q["skeleton_hashes"] = (
