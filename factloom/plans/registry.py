@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import temporal
 from factloom.functions.checkpoint import cut
-from factloom.operators import adjudication, claims, documents, facts, graph, identity, ledger, retrieval, search, sections
+from factloom.operators import adjudication, claims, documents, facts, graph, identity, ledger, replay, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -73,6 +73,16 @@ def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in columns})
 
 
+#: Testimony that was there before the rest came.
+_on_time = "pmod(xxhash64(claim_id), 7) <> 0"
+
+
+def _told(v: Views) -> DataFrame:
+    """Events as testimony about their users, in two slots; some are undated."""
+    slot = F.when(F.col("value") > 5, "large").otherwise("small")
+    return v.raw("events").select(F.concat(F.lit("U"), "user_id").alias("entity_id"), slot.alias("slot"), F.col("event_type").alias("statement"), F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp_ntz")).alias("asserted_at"), F.concat(F.lit("Q"), "event_id").alias("claim_id"))
+
+
 def _line_blocks(v: Views) -> tuple[DataFrame, DataFrame]:
     """Lines of all texts as blocks, short ones as headings of three levels, and the documents."""
     docs = v.raw("documents")
@@ -466,6 +476,16 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
         lambda v: adjudication.fold_observations(v.spine["observations"].select(F.col("subject_entity_id").alias("entity_id"), "statement", F.col("ingested_at").alias("asserted_at"), F.col("observation_id").alias("claim_id"))),
         "SELECT subject_entity_id AS entity_id, first(observation_id ORDER BY ingested_at, observation_id) AS observation_id, statement, min(ingested_at) AS valid_from, NULL::TIMESTAMP AS valid_until, count(*) AS evidence_count FROM observations GROUP BY 1, 3",
     )
+    told = """t AS (SELECT concat('U', user_id) AS entity_id, CASE WHEN value > 5 THEN 'large' ELSE 'small' END AS slot, event_type AS statement, CASE WHEN event_id % 50 <> 0 THEN ts END AS asserted_at, concat('Q', event_id) AS claim_id FROM main.events),
+        l AS (SELECT *, lag(statement) OVER w IS DISTINCT FROM statement AS begins FROM t WINDOW w AS (PARTITION BY entity_id, slot ORDER BY asserted_at NULLS LAST, claim_id)),
+        r AS (SELECT *, sum(begins::INT) OVER (PARTITION BY entity_id, slot ORDER BY asserted_at NULLS LAST, claim_id) AS run FROM l),
+        h AS (SELECT entity_id, slot, run, claim_id AS observation_id, statement, asserted_at AS valid_from, lead(coalesce(asserted_at, TIMESTAMP '2024-01-15')) OVER (PARTITION BY entity_id, slot ORDER BY run) AS valid_until FROM r WHERE begins)"""
+    moment = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")  # noqa: E731, no session is needed to list queries
+    q["observation_replay"] = (lambda v: replay.observations(replay.replay(_told(v), moment(), 7)), f"WITH {told} SELECT h.* EXCLUDE (run), count(*) AS evidence_count FROM h JOIN r USING (entity_id, slot, run) GROUP BY ALL")
+    q["observation_resplit"] = (
+        lambda v: replay.resplit_state(cut(replay.replay(_told(v).where(_on_time), moment(), 7)), _told(v).where(f"NOT {_on_time}"), moment(), 7),
+        f"WITH {told} SELECT h.* EXCLUDE (run), r.claim_id, r.asserted_at FROM h JOIN r USING (entity_id, slot, run)",
+    )
     # search
 
     near = "near AS MATERIALIZED (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM main.embeddings WHERE vec_id = 0)) AS score FROM main.embeddings WHERE embedding IS NOT NULL)"
@@ -521,7 +541,6 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     )
     # work ledger
 
-    moment = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")  # noqa: E731, no session is needed to list queries
     dead = lambda v: v.spine["processing_state"].where("status = 'dead'").select("processing_id")
     q["work_due"] = (lambda v: ledger.due(v.spine["processing_state"], moment(), lane="steady", k=25).select("processing_id", "stage", "not_before"), f"SELECT processing_id, stage, not_before FROM processing_state WHERE status = 'pending' AND not_before <= {view_sql.NOW} AND lane = 'steady' ORDER BY not_before, enqueued_at, processing_id LIMIT 25")
     q["work_enqueue"] = (
