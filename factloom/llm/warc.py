@@ -32,8 +32,8 @@ RECORD = "record_id string, kind string, concurrent_to array<string>, refers_to
 
 
 def field(name: str, value: Column) -> Column:
-    """A header line; none for a null. Line ends in a value would start another line: they are blanks."""
-    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit(CRLF)))
+    """A header line of a value without line ends; none for a null."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
 def record(kind: Column, fields: list[Column], content_type: str, block: Column) -> Column:
@@ -83,6 +83,7 @@ def write_archives(df: DataFrame, scratch: Scratch, path: str, id_col: str = "pa
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
     each = 3 * max(1, n * file_bytes // max(1, size or 0))
     records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", each).mode("overwrite").text(path)
+    scratch.drop("captures", "first", "revisits")
 
 
 def frames(content: bytes, file: str) -> Iterator[tuple[int, dict[str, list[bytes]], memoryview]]:
@@ -182,18 +183,20 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
     owner = parts[1] if len(parts) > 1 else fringe
     for p in parts[2:]:
         owner = owner.union(p)
+    # payloads of captures move once, by the identifier; those of their requests and metadata are put together first
+    twice = hubs.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1").select("record_id", "first")
+    one = F.struct("record_id", "kind", "uri", "date", "digest", "head", "payload", "refers_to")
+    again = F.coalesce(F.struct("file", "place") != F.col("first"), F.col("record_id").isNull())
+    own = stored.where(F.col("kind").isin(*HUBS)).join(small(scratch.save(twice, "twice")), "record_id", "left")
+    own = own.select(F.coalesce("record_id", F.lit("")).alias("capture"), F.lit(0).alias("n"), F.when(again, F.xxhash64("file", "place")).otherwise(0).cast("long").alias("mark"), one.alias("response"))
     ranked = Window.partitionBy("capture", "kind").orderBy("record_id", "spot")
     others = narrow.where(~F.col("kind").isin(*HUBS)).join(owner, "record_id", "left")
-    lost = others.where("capture IS NULL").select("spot", F.lit(None).cast("string").alias("capture"), F.lit(0).alias("n"), F.xxhash64("spot.file", "spot.place").alias("mark"))
+    lost = others.where("capture IS NULL").select("spot", F.lit("").alias("capture"), F.lit(0).alias("n"), F.xxhash64("spot.file", "spot.place").alias("mark"))
     found = others.where("capture IS NOT NULL").select("spot", "capture", (F.row_number().over(ranked) - 1).alias("n"), F.lit(0).cast("long").alias("mark"))
-    # a capture whose identifier comes again is a row by itself
-    first = hubs.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min("spot").alias("first"))
-    mark = F.when(F.col("spot") == F.col("first"), 0).otherwise(F.xxhash64("spot.file", "spot.place")).cast("long")
-    own = hubs.join(first, "record_id", "left").select("spot", F.coalesce("record_id", F.lit("")).alias("capture"), F.lit(0).alias("n"), mark.alias("mark"))
-    placed = scratch.save(lost.union(found).union(own).select(F.col("spot.file").alias("file"), F.col("spot.place").alias("place"), "capture", "n", "mark"), "placed")
-    whole = stored.join(placed, ["file", "place"])
-    one = F.struct("record_id", "kind", "uri", "date", "digest", "head", "payload", "refers_to")
-    nested = whole.groupBy("capture", "n", "mark").agg(*(F.max(F.when(F.col("kind").isin(*kinds), one)).alias(name) for name, kinds in (("response", HUBS), ("request", ("request",)), ("metadata", ("metadata",)))))
+    placed = lost.union(found).select(F.col("spot.file").alias("file"), F.col("spot.place").alias("place"), "capture", "n", "mark")
+    joined = stored.where(~F.col("kind").isin(*HUBS)).join(placed, ["file", "place"])
+    beside = joined.groupBy("capture", "n", "mark").agg(*(F.max(F.when(F.col("kind") == kind, one)).alias(kind) for kind in ("request", "metadata")))
+    nested = own.join(beside, ["capture", "n", "mark"], "full")
     return nested.select(F.nullif("capture", F.lit("")).alias("capture"), "n", "response", "request", "metadata", F.col("response.refers_to").alias("refers_to"))
 
 
@@ -219,8 +222,7 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op12")
     path = f"{scratch.root}/archives"
     write_archives(table(spark, sf_dir, "pages"), scratch, path)
-    nested = scratch.save(transactions(read_records(spark, path), scratch), "transactions")
-    return resolved(nested, scratch).drop("url")
+    return resolved(transactions(read_records(spark, path), scratch), scratch).drop("url")
 
 
 ORACLE = f"""
