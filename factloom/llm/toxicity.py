@@ -23,6 +23,9 @@ BINS = 1 << 20
 SAMPLE_ROWS = 8_000
 #: Least G statistic, halved, of a term that the model keeps: chance alone gives it to one term in two thousand.
 EVIDENCE = 6.0
+#: A pair of terms that says what the terms kept for themselves don't: its residuals add up to so many texts and standard
+#: deviations at least, which chance gives to one pair in some hundred millions. A pair in fewer texts than SUPPORT can't.
+PAIR_TEXTS, PAIR_SIGMAS, SUPPORT, PAIR_BLOCK = 3.0, 6.0, 36, 1024
 FACTORS = 8
 BLOCK_ROWS = 500
 THRESHOLD = 0.3
@@ -42,7 +45,7 @@ def bins_of(word: bytes) -> tuple[int, ...]:
 
 @dataclass
 class FactorizationMachine:
-    bins: np.ndarray  # sorted bins of the kept terms
+    bins: np.ndarray  # sorted bins of the terms that it has
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
@@ -55,19 +58,55 @@ class FactorizationMachine:
 
 
 def choose_terms(bins: np.ndarray, owner: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """All bins whose presence tells about the label, by G-test; those in under three texts are left out."""
+    """All bins whose presence by itself tells about the label, by G-test."""
     found, place = np.unique(bins, return_inverse=True)
     n, pos = np.bincount(place).astype(float), np.bincount(place, label[owner]).astype(float)
     p, total = max(label.mean(), 1e-9), len(label)
     gain = np.zeros(len(found))
     for seen, expected in ((pos, n * p), (n - pos, n * (1 - p)), (label.sum() - pos, (total - n) * p), (total - n - label.sum() + pos, (total - n) * (1 - p))):
         gain += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    gain[n < 3] = 0
     return found[gain > EVIDENCE]
 
 
+def interacting_terms(bins: np.ndarray, owner: np.ndarray, residual: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Bins of pairs that occur together where the residuals of a model lean to one side: a score test of each pair of
+    terms that could pass it, whatever the terms say alone, in blocks of terms."""
+    found, place, times = np.unique(bins, return_inverse=True, return_counts=True)
+    able = np.flatnonzero((times >= SUPPORT) & (np.bincount(place, np.abs(residual)[owner], len(found)) >= PAIR_TEXTS))
+    slot = np.full(len(found), -1)
+    slot[able] = np.arange(len(able))
+    at = slot[place]
+    order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+    at, row = at[order], owner[order]
+    edges = np.searchsorted(at, np.arange(0, len(able) + PAIR_BLOCK, PAIR_BLOCK))
+
+    def dense(k: int) -> np.ndarray:
+        out = np.zeros((len(residual), min(PAIR_BLOCK, len(able) - k * PAIR_BLOCK)), np.float32)
+        out[row[edges[k] : edges[k + 1]], at[edges[k] : edges[k + 1]] - k * PAIR_BLOCK] = 1
+        return out
+
+    chosen = np.zeros(len(able), bool)
+    r, v = residual.astype(np.float32)[:, None], variance.astype(np.float32)[:, None]
+    for i in range(len(edges) - 1):
+        left = dense(i)
+        leaning, spread = np.ascontiguousarray((left * r).T), np.ascontiguousarray((left * v).T)
+        for j in range(i, len(edges) - 1):
+            right = left if i == j else dense(j)
+            lean = leaning @ right
+            hit = (np.abs(lean) >= PAIR_TEXTS) & (lean * lean > PAIR_SIGMAS**2 * (spread @ right))
+            if i == j:
+                np.fill_diagonal(hit, False)
+            a, b = np.nonzero(hit)
+            chosen[i * PAIR_BLOCK + a] = chosen[j * PAIR_BLOCK + b] = True
+    return found[able[chosen]]
+
+
 def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, steps: int = 120, seed: int = 7) -> FactorizationMachine:
-    """Fit (label, weight, bins) rows by Adam on the weighted logistic loss. One label only: a constant score."""
+    """Fit (label, weight, bins) rows. One label only: a constant score.
+
+    A first model has the terms that tell about the label alone. What it leaves unexplained shows which pairs of all
+    terms tell more together than alone; if there are any, the model is fitted again with their terms too.
+    """
     label, weight = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     share = float((label * weight).sum() / weight.sum()) if len(rows) else 0.0
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -76,14 +115,24 @@ def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, ste
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
     bins = np.concatenate([r[2] for r in rows]).astype(np.int32)
     kept = choose_terms(bins, owner, label)
+    # an unweighted model of the sample: its residuals are those of the rows as they are
+    first, expected = fit(kept, bins, owner, label, np.ones(len(rows)), prior, factors, steps, seed)
+    more = interacting_terms(bins, owner, label - expected, expected * (1 - expected))
+    kept = np.union1d(kept, more)
+    return fit(kept, bins, owner, label, weight, prior, factors, steps, seed)[0]
+
+
+def fit(kept: np.ndarray, bins: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, prior: float, factors: int, steps: int, seed: int) -> tuple[FactorizationMachine, np.ndarray]:
+    """The machine of the kept terms by Adam on the weighted logistic loss, and its chances of label 1 for the rows."""
+    n = len(label)
     hit = np.isin(bins, kept)
     owner, at = owner[hit], np.searchsorted(kept, bins[hit])
     del bins, hit
-    filler = np.full(len(rows), len(kept))  # a term that weighs nothing, so that no text is without terms
-    order = np.argsort(np.concatenate((owner, np.arange(len(rows)))), kind="stable")
+    filler = np.full(n, len(kept))  # a term that weighs nothing, so that no text is without terms
+    order = np.argsort(np.concatenate((owner, np.arange(n))), kind="stable")
     idx = np.concatenate((at, filler))[order]
-    owner = np.concatenate((owner, np.arange(len(rows))))[order]
-    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    owner = np.concatenate((owner, np.arange(n)))[order]
+    starts = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     params = [np.array([prior]), np.zeros(len(kept) + 1), rng.normal(0, 0.02, (len(kept) + 1, factors))]
     params[2][-1] = 0
@@ -92,8 +141,8 @@ def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, ste
     for step in range(1, steps + 1):
         bias, w, v = params
         grads = [np.zeros(1), 1e-6 * w, 1e-5 * v]
-        for a in range(0, len(rows), BLOCK_ROWS):  # a block of texts at a time: memory stays bounded
-            b = min(len(rows), a + BLOCK_ROWS)
+        for a in range(0, n, BLOCK_ROWS):  # a block of texts at a time: memory stays bounded
+            b = min(n, a + BLOCK_ROWS)
             own, first = idx[starts[a] : starts[b]], starts[a:b] - starts[a]
             of = owner[starts[a] : starts[b]] - a
             each = v[own]
@@ -110,7 +159,9 @@ def train(rows: list[tuple[int, float, np.ndarray]], factors: int = FACTORS, ste
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-    return FactorizationMachine(kept, float(params[0][0]), params[1][:-1], params[2][:-1])
+    model = FactorizationMachine(kept, float(params[0][0]), params[1][:-1], params[2][:-1])
+    raw = np.concatenate([model.raw(idx[starts[a] : starts[min(n, a + BLOCK_ROWS)]], starts[a : min(n, a + BLOCK_ROWS)] - starts[a]) for a in range(0, n, BLOCK_ROWS)])
+    return model, 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 def sample_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> list[tuple[int, float, np.ndarray]]:

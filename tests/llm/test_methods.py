@@ -437,3 +437,20 @@ def test_near_copies_at_jaccard_08(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in simhash.keep_one(docs.repartition(3), Scratch(spark, "t")).collect()}
     assert got == set(least.values())
+
+
+def test_factorization_machine_learns_pairs_that_say_nothing_alone(spark):
+    """Insult or group name, not both: neither word tells about the label by itself."""
+    rng = random.Random(6)
+    words = [f"word{i:03}" for i in range(400)]
+    rows, marks = [], []
+    for i in range(1200):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        text = rng.sample(words, 20) + ["schuft"] * insult + ["leute"] * group
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1, int(insult != group)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in marks}
+    got = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert len(got) > 200 and sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got) >= 0.98 * len(got)
