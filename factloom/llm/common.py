@@ -40,9 +40,9 @@ class Scratch:
         if spark.conf.get(BATCH_CONF) == "10000":  # as Spark comes: whole texts go to Python in batches of fewer rows
             spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
         self.paths[name] = path

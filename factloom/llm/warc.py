@@ -58,7 +58,7 @@ def write_archives(df: DataFrame, scratch: Scratch, path: str, id_col: str = "pa
     url and id stand in the metadata record as they are. Other columns are not read; without rows no archive is written
     that holds a record.
     """
-    stored = scratch.save(captures(df, id_col, url_col, html_col), "captures")
+    stored = scratch.save(captures(df, id_col, url_col, html_col), "captures", "zstd")
     narrow = stored.where(F.col("bytes") >= least).select("capture", "page_id", "bytes", "digest")
     first = narrow.groupBy("digest", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("lost"), "page_id", "capture")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = narrow.join(small(scratch.save(first.select("digest", "bytes", "first"), "first")), ["digest", "bytes"])
@@ -163,41 +163,35 @@ def transactions(records: DataFrame, scratch: Scratch) -> DataFrame:
     are not read. Of records with one identifier all stay: captures have a row each, and what is linked with them goes to
     that of the smallest file and place.
     """
-    stored = scratch.save(records.where(F.col("kind").isin(*HUBS, "request", "metadata")), "records")
-    narrow = stored.select(F.struct("file", "place").alias("spot"), "record_id", "kind", "concurrent_to")
-    hubs = narrow.where(F.col("kind").isin(*HUBS))
-    links = stored.select("record_id", F.explode("concurrent_to").alias("other")).where("record_id IS NOT NULL")
-    links = scratch.save(links.union(links.select("other", "record_id")).distinct(), "links")
-    owned = scratch.save(hubs.where("record_id IS NOT NULL").select("record_id", F.col("record_id").alias("capture")).distinct(), "owned0")
-    fringe, k, parts = owned, 0, [owned]
+    stored = scratch.save(records.where(F.col("kind").isin(*HUBS, "request", "metadata")), "records", "zstd")
+    is_hub, spot = F.col("kind").isin(*HUBS), F.concat_ws("@", "file", "place")
+    hubs = stored.where(is_hub & F.col("record_id").isNotNull()).select("record_id")
+    links = stored.where("record_id IS NOT NULL").select("record_id", F.explode("concurrent_to").alias("other"))
+    links = links.union(links.select("other", "record_id"))
+    others = stored.where(~is_hub)
+    owner, fringe, k = None, hubs.select(F.col("record_id").alias("by"), F.col("record_id").alias("capture")), 0
     while True:  # each round reaches records one link farther off: one round for most archives
         k += 1
-        reached = links.join(fringe.withColumnRenamed("record_id", "by"), links["record_id"] == F.col("by")).groupBy(F.col("other").alias("record_id")).agg(F.min("capture").alias("capture"))
-        known = parts[0].select("record_id")
-        for p in parts[1:]:
-            known = known.union(p.select("record_id"))
-        fringe = scratch.save(reached.join(known, "record_id", "left_anti"), f"owned{k}")
-        if not fringe.limit(1).count():
+        reached = links.join(fringe, links["record_id"] == F.col("by")).groupBy(F.col("other").alias("record_id")).agg(F.min("capture").alias("capture"))
+        known = hubs if owner is None else hubs.union(owner.select("record_id"))
+        found = scratch.save(reached.join(known, "record_id", "left_anti"), f"owned{k}")
+        owner = found if owner is None else owner.union(found)
+        waiting = others.select("record_id").join(owner.select("record_id"), "record_id", "left_anti").where("record_id IS NOT NULL")
+        if not found.limit(1).count() or not waiting.limit(1).count():
             break
-        parts.append(fringe)
-    owner = parts[1] if len(parts) > 1 else fringe
-    for p in parts[2:]:
-        owner = owner.union(p)
-    # payloads of captures move once, by the identifier; those of their requests and metadata are put together first
-    twice = hubs.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min("spot").alias("first"), F.count("*").alias("n")).where("n > 1").select("record_id", "first")
+        fringe = found.select(F.col("record_id").alias("by"), "capture")
+    # payloads of captures move once, by a key that no other capture has; their requests and metadata are put together first
     one = F.struct("record_id", "kind", "uri", "date", "digest", "head", "payload", "refers_to")
-    again = F.coalesce(F.struct("file", "place") != F.col("first"), F.col("record_id").isNull())
-    own = stored.where(F.col("kind").isin(*HUBS)).join(small(scratch.save(twice, "twice")), "record_id", "left")
-    own = own.select(F.coalesce("record_id", F.lit("")).alias("capture"), F.lit(0).alias("n"), F.when(again, F.xxhash64("file", "place")).otherwise(0).cast("long").alias("mark"), one.alias("response"))
-    ranked = Window.partitionBy("capture", "kind").orderBy("record_id", "spot")
-    others = narrow.where(~F.col("kind").isin(*HUBS)).join(owner, "record_id", "left")
-    lost = others.where("capture IS NULL").select("spot", F.lit("").alias("capture"), F.lit(0).alias("n"), F.xxhash64("spot.file", "spot.place").alias("mark"))
-    found = others.where("capture IS NOT NULL").select("spot", "capture", (F.row_number().over(ranked) - 1).alias("n"), F.lit(0).cast("long").alias("mark"))
-    placed = lost.union(found).select(F.col("spot.file").alias("file"), F.col("spot.place").alias("place"), "capture", "n", "mark")
-    joined = stored.where(~F.col("kind").isin(*HUBS)).join(placed, ["file", "place"])
-    beside = joined.groupBy("capture", "n", "mark").agg(*(F.max(F.when(F.col("kind") == kind, one)).alias(kind) for kind in ("request", "metadata")))
-    nested = own.join(beside, ["capture", "n", "mark"], "full")
-    return nested.select(F.nullif("capture", F.lit("")).alias("capture"), "n", "response", "request", "metadata", F.col("response.refers_to").alias("refers_to"))
+    twice = stored.where(is_hub & F.col("record_id").isNotNull()).groupBy("record_id").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select("record_id", "first")
+    own = stored.where(is_hub).join(small(scratch.save(twice, "twice")), "record_id", "left")
+    again = F.col("record_id").isNull() | F.coalesce(F.col("first") != spot, F.lit(False))
+    own = own.select(F.when(again, spot).otherwise(F.col("record_id")).alias("key"), F.lit(0).alias("n"), F.col("record_id").alias("hub"), one.alias("response"))
+    beside = others.join(owner, "record_id", "left").withColumn("spot", spot).withColumn("key", F.coalesce("capture", "spot"))
+    ranked = Window.partitionBy("key", "kind").orderBy("record_id", "spot")
+    beside = beside.repartition("key").withColumn("n", F.row_number().over(ranked) - 1)
+    beside = beside.groupBy("key", "n").agg(F.max("capture").alias("owned_by"), *(F.max(F.when(F.col("kind") == kind, one)).alias(kind) for kind in ("request", "metadata")))
+    nested = own.join(beside, ["key", "n"], "full")
+    return nested.select(F.coalesce("hub", "owned_by").alias("capture"), "n", "response", "request", "metadata", F.col("response.refers_to").alias("refers_to"))
 
 
 def resolved(nested: DataFrame, scratch: Scratch) -> DataFrame:
