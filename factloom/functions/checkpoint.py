@@ -19,14 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/factloom-tables/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, which goes when the session's JVM ends.
 
     Files outlive executors, and later plans start from a scan, so that a deep stack of views stays quick to plan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom-tables/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

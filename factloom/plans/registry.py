@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.functions.checkpoint import cut
-from factloom.operators import adjudication, claims, documents, facts, graph, identity, ledger, replay, retrieval, search, sections
+from factloom.functions.checkpoint import cut, fresh_path
+from factloom.operators import adjudication, ann, claims, documents, facts, graph, identity, ledger, merges, replay, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -73,6 +73,42 @@ def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _pieces(v: Views) -> DataFrame:
+    """Products of one name as pieces, with the mentions that are theirs."""
+    own = merges.live_decisions(v.spine["resolution_decisions"]).groupBy("entity_id").agg(F.count("*").alias("mentions"))
+    rows = v.spine["entities"].where("type = 'product'").join(own, "entity_id", "left")
+    return rows.select(F.col("normalized_name").alias("piece"), "entity_id", F.col("created_at").alias("first_seen"), (F.coalesce("mentions", F.lit(0)) + F.col("graph_degree")).alias("weight"), F.col("merged_into").alias("current_root"))
+
+
+def _merged(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    proposed = merges.proposals(_pieces(v), 2_000).where("route = 'merge'")
+    return merges.merge(v.spine["entities"], v.spine["resolution_decisions"], proposed, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _unmerged(v: Views) -> DataFrame:
+    """Live decisions after all merges of the store are taken back, where each had moved the absorbed one's mentions."""
+    decisions, none = v.spine["resolution_decisions"], F.lit(None).cast("string")
+    events = v.spine["merge_events"].select("merge_id", "survivor_id", "absorbed_id", F.lit(1).cast("long").alias("blast_radius"), "decided_by", "decided_at", "reversed_by", none.alias("unmerge_of"))
+    live = cut(merges.live_decisions(decisions))
+    snapshot = events.select("merge_id", F.explode(F.array("survivor_id", "absorbed_id")).alias("entity_id")).join(live.select("entity_id", "mention_id"), "entity_id")
+    to = events.select(F.col("absorbed_id").alias("entity_id"), F.col("survivor_id").alias("to"))
+    moved = live.join(to, "entity_id").select("decision_id", "to")
+    now = decisions.join(moved, "decision_id", "left").withColumn("entity_id", F.coalesce("to", "entity_id")).select(*decisions.columns)
+    after = merges.unmerge(v.spine["entities"], events, snapshot, cut(now), events.select("merge_id"), F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))[2]
+    return merges.live_decisions(after).join(after.select("decision_id", "method"), "decision_id").select("mention_id", "entity_id", "method")
+
+
+def _index(v: Views) -> ann.Index | None:
+    return ann.build(v.spark_vectors, fresh_path(v.spine.spark))
+
+
+def _ann_topk(v: Views) -> DataFrame:
+    """The ten nearest of each hundredth vector, by the index."""
+    index = _index(v)
+    units = ann.unit_rows(v.spark_vectors.where("vec_id % 100 = 0"), "vec_id", "embedding").select(F.col("vec_id").alias("query_id"), "v")
+    return ann.search(index, units) if index else v.spine.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
 #: Testimony that was there before the rest came.
 _on_time = "pmod(xxhash64(claim_id), 7) <> 0"
 
@@ -386,6 +422,25 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
         q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # merges
+    live = "live AS MATERIALIZED (SELECT mention_id, arg_max({d: decision_id, e: entity_id, m: method}, {t: decided_at, d: decision_id}) AS x FROM resolution_decisions WHERE superseded_by IS NULL GROUP BY 1)"
+    piece = f"""{live}, pieces AS MATERIALIZED (SELECT normalized_name AS piece, e.entity_id, e.created_at, count(l.mention_id) + any_value(e.graph_degree) AS weight FROM entities e LEFT JOIN live l ON l.x.e = e.entity_id WHERE type = 'product' GROUP BY 1, 2, 3),
+        offered AS MATERIALIZED (SELECT first_value(entity_id) OVER w AS survivor_id, entity_id AS absorbed_id, CAST(sum(weight) OVER (PARTITION BY piece) AS BIGINT) AS blast_radius FROM pieces WINDOW w AS (PARTITION BY piece ORDER BY created_at, entity_id))"""
+    q["merge_proposals"] = (lambda v: merges.proposals(_pieces(v)), f"WITH {piece} SELECT *, CASE WHEN blast_radius > 100 THEN 'review' ELSE 'merge' END AS route FROM offered WHERE survivor_id <> absorbed_id")
+    q["merge_snapshot"] = (
+        lambda v: (lambda made: made[2].join(made[1].select("merge_id", "survivor_id", "absorbed_id"), "merge_id").drop("merge_id"))(_merged(v)),
+        f"WITH {piece}, made AS (SELECT o.* FROM offered o JOIN entities e ON e.entity_id = o.absorbed_id AND e.status = 'active' WHERE survivor_id <> absorbed_id AND blast_radius <= 2000) SELECT l.x.e AS entity_id, l.mention_id, survivor_id, absorbed_id FROM made JOIN live l ON l.x.e IN (survivor_id, absorbed_id)",
+    )
+    q["merges_disagreeing"] = (
+        lambda v: merges.disagreeing(_pieces(v), v.spine["merge_events"].withColumn("unmerge_of", F.lit(None).cast("string"))),
+        "SELECT merge_id, absorbed_id FROM merge_events m JOIN entities e ON e.entity_id = absorbed_id AND e.type = 'product' AND e.merged_into IS NOT NULL WHERE reversed_by IS NULL AND NOT EXISTS (SELECT 1 FROM entities s WHERE s.entity_id = e.merged_into AND s.type = 'product' AND s.normalized_name = e.normalized_name)",
+    )
+    q["unmerge_decisions"] = (
+        _unmerged,
+        f"WITH {live} SELECT mention_id, CASE WHEN m.reversed_by IS NOT NULL THEN m.survivor_id ELSE l.x.e END AS entity_id, CASE WHEN m.merge_id IS NOT NULL AND m.reversed_by IS NULL THEN 'human' ELSE l.x.m END AS method FROM live l LEFT JOIN merge_events m ON m.absorbed_id = l.x.e",
+    )
+    # vectors by index
+    q["ann_topk"] = (_ann_topk, None)
     # claims from text
     q["grounding_gate"] = (
         lambda v: claims.grounding_gate(*_claim_parts(v)).withColumn("failed_tokens", F.array_join("failed_tokens", " ")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_until")}),
