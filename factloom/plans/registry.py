@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import temporal
 from factloom.functions.checkpoint import cut, fresh_path
-from factloom.operators import adjudication, ann, claims, documents, facts, graph, identity, ledger, merges, replay, retrieval, search, sections
+from factloom.operators import adjudication, ann, claims, documents, facts, graph, identity, knowledge, ledger, merges, replay, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -98,6 +98,54 @@ def _unmerged(v: Views) -> DataFrame:
     return merges.live_decisions(after).join(after.select("decision_id", "method"), "decision_id").select("mention_id", "entity_id", "method")
 
 
+def _rules(v: Views) -> DataFrame:
+    """Rules of the pages: a nation's entity and its customers' orders, a region's subtree and a kind of source."""
+    nations, regions = v.raw("nation"), v.raw("region")
+    text = lambda value=None: F.lit(value).cast("string")
+    none = F.array().cast("array<string>")
+    row = lambda page, kind, entity, predicates=none, source=text(), ids=none: [F.concat_ws(":", page, F.lit(kind)).alias("rule_id"), page.alias("artifact_id"), F.lit(kind).alias("kind"), entity.alias("entity_id"), text().alias("object_entity_id"), predicates.alias("predicates"), text().alias("community_id"), source.alias("source_kind"), ids.alias("evidence_ids")]
+    nation, region = F.concat(F.lit("page-N"), "n_nationkey"), F.concat(F.lit("page-R"), "r_regionkey")
+    parts = [
+        nations.select(*row(nation, "entity", F.concat(F.lit("N"), "n_nationkey"), F.array(F.lit("located_in")))), nations.select(*row(nation, "predicate_beat", F.concat(F.lit("C"), "n_nationkey"), F.array(F.lit("ordered")))),
+        regions.select(*row(region, "entity_subtree", F.concat(F.lit("R"), "r_regionkey"))), regions.select(*row(region, "doc_set", text(), source=F.element_at(F.array(*map(F.lit, ("text", "chat", "event_log", "1-URGENT", "none"))), F.col("r_regionkey") + 1))),
+        nations.where("n_nationkey = 21").select(*row(nation, "manual", text(), ids=F.array(F.lit("E7"), F.lit("D3")))), nations.where("n_nationkey = 22").select(*row(nation, "scope_interests", text())),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _keys(v: Views) -> DataFrame:
+    return knowledge.rule_keys(_rules(v), v.spine["relations"], v.spine.spark.createDataFrame([], "community_id string, entity_id string"))
+
+
+def _change(v: Views) -> DataFrame:
+    """What a day changed: one customer's orders, a user's observation, a claim, a text."""
+    moved = v.spine["relations"].where("subject_entity_id = 'C7'").select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"))
+    return moved.union(v.spine.spark.createDataFrame([("observation", "E7"), ("claim", "L1-1"), ("doc", "D3")], "kind string, id string"))
+
+
+def _routes(v: Views) -> DataFrame:
+    s = v.spine
+    change, rules = cut(_change(v)), _rules(v)
+    told = s["relation_evidence"].select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), "doc_id").union(s["observation_evidence"].select(F.lit("observation"), "observation_id", "doc_id"))
+    mentions = s["mentions"].where("claim_id IS NOT NULL").select("claim_id", F.col("true_entity").alias("entity_id"))
+    carried = knowledge.change_keys(change, s["relations"], s["observations"], s["claims"], mentions, told, s["documents"])
+    cited = s["knowledge_artifact_evidence"]
+    citations = cited.where("relation_id IS NOT NULL").select("artifact_id", F.lit("relation").alias("kind"), F.col("relation_id").alias("id")).union(cited.where("doc_id IS NOT NULL").select("artifact_id", F.lit("doc"), "doc_id"))
+    return knowledge.route(_keys(v), rules, citations, change, carried)
+
+
+def _stale(v: Views) -> DataFrame:
+    """Pages that are stale once the relations of a change have other counts, by the hashes before and after."""
+    relations, rules, keys = v.spine["relations"], cut(_rules(v)), cut(_keys(v))
+    selected = cut(knowledge.page_facts(rules, keys, relations))
+    moved = _change(v).where("kind = 'relation'").select(F.col("id").alias("relation_id"), F.lit(1).alias("more"))
+    later = relations.join(moved, "relation_id", "left").withColumn("evidence_count", F.col("evidence_count") + F.coalesce("more", F.lit(0))).select(*relations.columns)
+    return knowledge.stale(knowledge.inputs_hash(selected, relations, rules), knowledge.inputs_hash(selected, later, rules))
+
+
 def _index(v: Views) -> ann.Index | None:
     return ann.build(v.spark_vectors, fresh_path(v.spine.spark))
 
@@ -422,6 +470,26 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
         q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # pages and changes
+    tree = "sub AS (SELECT DISTINCT 'R' || r_regionkey AS root, x FROM main.region r, LATERAL (SELECT 'R' || r.r_regionkey AS x UNION ALL SELECT subject_entity_id FROM relations p WHERE p.predicate = 'part_of' AND p.invalidated_at IS NULL AND p.valid_until IS NULL AND p.object_entity_id = 'R' || r.r_regionkey))"
+    keyed = f"""{tree}, keys AS MATERIALIZED (
+        SELECT 'page-N' || n_nationkey AS page, 'entity' AS kind, 'entity' AS key_kind, 'N' || n_nationkey AS key_value FROM main.nation UNION ALL SELECT 'page-N' || n_nationkey, 'entity', 'predicate', 'located_in' FROM main.nation
+        UNION ALL SELECT 'page-N' || n_nationkey, 'predicate_beat', 'entity', 'C' || n_nationkey FROM main.nation UNION ALL SELECT 'page-N' || n_nationkey, 'predicate_beat', 'predicate', 'ordered' FROM main.nation
+        UNION ALL SELECT 'page-' || root, 'entity_subtree', 'entity', x FROM sub UNION ALL SELECT 'page-R' || r_regionkey, 'doc_set', 'doc_source', ['text', 'chat', 'event_log', '1-URGENT', 'none'][r_regionkey + 1] FROM main.region)"""
+    q["knowledge_rule_keys"] = (_keys, f"WITH {keyed} SELECT page || ':' || kind AS rule_id, page AS artifact_id, key_kind, key_value FROM keys")
+    q["knowledge_routes"] = (
+        _routes,
+        f"""WITH {keyed}, moved AS MATERIALIZED (SELECT relation_id, subject_entity_id, object_entity_id, predicate FROM relations WHERE subject_entity_id = 'C7'),
+        docs AS MATERIALIZED (SELECT doc_id FROM relation_evidence SEMI JOIN moved USING (relation_id) UNION SELECT doc_id FROM observation_evidence WHERE observation_id = 'E7' UNION SELECT doc_id FROM claims WHERE claim_id = 'L1-1' UNION SELECT 'D3'),
+        has AS MATERIALIZED (SELECT 'entity' AS key_kind, subject_entity_id AS key_value FROM moved UNION SELECT 'entity', object_entity_id FROM moved UNION SELECT 'predicate', predicate FROM moved UNION SELECT 'entity', subject_entity_id FROM observations WHERE observation_id = 'E7'
+          UNION SELECT 'entity', true_entity FROM mentions WHERE claim_id = 'L1-1' UNION SELECT 'doc_source', source_kind FROM documents SEMI JOIN docs USING (doc_id))
+        SELECT DISTINCT page AS artifact_id, 'key' AS reason FROM keys SEMI JOIN has USING (key_kind, key_value) UNION SELECT artifact_id, 'citation' FROM knowledge_artifact_evidence WHERE doc_id = 'D3' OR relation_id IN (SELECT relation_id FROM moved) UNION SELECT 'page-N22', 'scope' UNION SELECT 'page-N21', 'manual'""",
+    )
+    q["knowledge_stale"] = (
+        _stale,
+        f"""WITH {tree}, moved AS MATERIALIZED (SELECT * FROM relations WHERE subject_entity_id = 'C7')
+        SELECT DISTINCT 'page-' || root AS artifact_id FROM sub, moved WHERE x IN (subject_entity_id, object_entity_id) UNION SELECT 'page-' || object_entity_id FROM moved WHERE predicate = 'located_in' UNION SELECT 'page-N7' FROM moved WHERE predicate = 'ordered'""",
+    )
     # merges
     live = "live AS MATERIALIZED (SELECT mention_id, arg_max({d: decision_id, e: entity_id, m: method}, {t: decided_at, d: decision_id}) AS x FROM resolution_decisions WHERE superseded_by IS NULL GROUP BY 1)"
     piece = f"""{live}, pieces AS MATERIALIZED (SELECT normalized_name AS piece, e.entity_id, e.created_at, count(l.mention_id) + any_value(e.graph_degree) AS weight FROM entities e LEFT JOIN live l ON l.x.e = e.entity_id WHERE type = 'product' GROUP BY 1, 2, 3),
