@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import temporal
 from factloom.functions.checkpoint import cut, fresh_path
-from factloom.operators import adjudication, ann, claims, documents, facts, graph, identity, knowledge, ledger, merges, replay, retrieval, search, sections
+from factloom.operators import adjudication, ann, claims, documents, facts, forget, graph, identity, knowledge, ledger, merges, replay, retrieval, search, sections
 from factloom.plans import examples, gate, view_sql
 from factloom.plans.views import PUBLISHED, Views
 from factloom.sources import corpusfs, sinks
@@ -146,6 +146,34 @@ def _stale(v: Views) -> DataFrame:
     return knowledge.stale(knowledge.inputs_hash(selected, relations, rules), knowledge.inputs_hash(selected, later, rules))
 
 
+FORGOTTEN = ("H1", "O3", "D3", "T0-1")
+
+
+def _forgotten(v: Views) -> DataFrame:
+    return cut(forget.manifest(v.spine, v.spine.spark.createDataFrame([(d,) for d in FORGOTTEN], "doc_id string")))
+
+
+def _scrubbed(v: Views) -> DataFrame:
+    owned = _forgotten(v)
+    return forget.remains(forget.Scrubbed(v.spine, owned), owned)
+
+
+def _gone(kind: str) -> str:
+    return f"(SELECT id FROM gone WHERE kind = '{kind}')"
+
+
+#: What the lineages of the forgotten documents own.
+GONE = f"""
+    alone AS MATERIALIZED (
+      SELECT 'relation' AS kind, relation_id AS id FROM relation_evidence GROUP BY 2 HAVING bool_and(doc_id IN {FORGOTTEN}) UNION ALL SELECT 'observation', observation_id FROM observation_evidence GROUP BY 2 HAVING bool_and(doc_id IN {FORGOTTEN})),
+    still AS (SELECT subject_entity_id AS e FROM relations WHERE relation_id NOT IN (SELECT id FROM alone WHERE kind = 'relation') UNION SELECT object_entity_id FROM relations WHERE relation_id NOT IN (SELECT id FROM alone WHERE kind = 'relation')
+      UNION SELECT subject_entity_id FROM observations WHERE observation_id NOT IN (SELECT id FROM alone WHERE kind = 'observation')),
+    gone AS MATERIALIZED (
+      SELECT * FROM alone UNION ALL SELECT 'document', doc_id FROM documents WHERE doc_id IN {FORGOTTEN} UNION ALL SELECT 'version', version_id FROM document_versions WHERE doc_id IN {FORGOTTEN} UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE doc_id IN {FORGOTTEN}
+      UNION ALL SELECT 'claim', claim_id FROM claims WHERE doc_id IN {FORGOTTEN} UNION ALL SELECT 'mention', mention_id FROM mentions WHERE doc_id IN {FORGOTTEN}
+      UNION ALL SELECT 'entity', entity_id FROM (SELECT d.entity_id FROM resolution_decisions d JOIN mentions USING (mention_id) GROUP BY 1 HAVING bool_and(doc_id IN {FORGOTTEN})) WHERE entity_id NOT IN (SELECT e FROM still WHERE e IS NOT NULL))"""
+
+
 def _index(v: Views) -> ann.Index | None:
     return ann.build(v.spark_vectors, fresh_path(v.spine.spark))
 
@@ -470,6 +498,12 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
     own = {name: f"SELECT * FROM v_{name}" for name in PUBLISHED}
     for name, sql in examples.EXAMPLES.items():
         q[f"example_{name}"] = ((lambda v, sql=sql: _unzoned(gate.Sandbox(v, embed=lambda text: query_vector(v)).frame(sql))), view_sql.oracle(examples.OWN_SQL[name]) if name in examples.OWN_SQL else view_sql.oracle(sql, **own) if name in examples.PLAIN else None)
+    # forgetting
+    q["forget_manifest"] = (_forgotten, f"WITH {GONE} SELECT * FROM gone")
+    q["forget_scrub"] = (
+        _scrubbed,
+        f"WITH {GONE} " + " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS kept, 0::BIGINT AS remaining FROM {name} WHERE " + " AND ".join(f"NOT coalesce({column} IN {_gone(kind)}, false)" for column, kind in columns) for name, columns in forget.OWNED.items()),
+    )
     # pages and changes
     tree = "sub AS (SELECT DISTINCT 'R' || r_regionkey AS root, x FROM main.region r, LATERAL (SELECT 'R' || r.r_regionkey AS x UNION ALL SELECT subject_entity_id FROM relations p WHERE p.predicate = 'part_of' AND p.invalidated_at IS NULL AND p.valid_until IS NULL AND p.object_entity_id = 'R' || r.r_regionkey))"
     keyed = f"""{tree}, keys AS MATERIALIZED (
