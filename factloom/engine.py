@@ -63,7 +63,7 @@ class Engine:
 
     def search_chunks(self, query: str, k: int = 10, channel: str = "semantic") -> DataFrame:
         source = self.views.spine["chunk_search"]
-        nominated = retrieval.bm25_topk(source, query, k) if channel == "lexical" else retrieval.semantic_topk(source, self.embed(query), k)
+        nominated = retrieval.bm25_topk(self.views.chunk_postings, query, k) if channel == "lexical" else retrieval.semantic_topk(source, self.embed(query), k)
         return retrieval.hydrate(self.views, nominated, "chunk")
 
     def search_claims(self, query: str, k: int = 10, channel: str = "semantic") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.postings import Postings
 from factloom.plans.views import D, Views
 
 RRF_K = 60
@@ -30,28 +31,14 @@ def semantic_topk(rows: DataFrame, vector: list[float], k: int, key: str = "chun
     return ranked(scored, [F.desc("score"), F.asc(key)], k)
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def equals(term: str):
-    return lambda word: word == F.lit(term)
-
-
-def bm25_topk(rows: DataFrame, query: str, k: int, key: str = "chunk_id", text: str = "search_text") -> DataFrame:
-    """(key, score, rank): the k best by BM25. One pass counts documents, lengths and frequencies; only rows that hold a
-    query term go on."""
-    asked = sorted(set(w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()))
-    words = rows.select(key, terms(F.col(text)).alias("w"))
-    counted = words.select(key, F.size("w").alias("length"), *(F.size(F.filter("w", equals(t))).alias(f"tf{i}") for i, t in enumerate(asked)))
-    totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
-    some = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(asked))) or "false").crossJoin(F.broadcast(totals))  # one row
+def bm25_topk(postings: Postings, query: str, k: int) -> DataFrame:
+    """(key, score, rank): the k best of the postings' rows by BM25, ties by key. Only the query's own terms are read."""
+    asked, some = postings.frequencies(query)
     score = sum(
         (F.when(F.col(f"tf{i}") > 0, F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0) for i in range(len(asked))),
         F.lit(0.0),
     )
-    return ranked(some.select(key, score.alias("score")), [F.desc("score"), F.asc(key)], k)
+    return ranked(some.select(postings.key, score.alias("score")), [F.desc("score"), F.asc(postings.key)], k)
 
 
 def reciprocal_rank_fusion(channels: list[DataFrame], key: str, k: int = RRF_K, limit: int | None = None) -> DataFrame:
@@ -124,7 +111,7 @@ def group_exact_text(claims: DataFrame) -> DataFrame:
 def testimony_chunks(views: Views, vector: list[float], query: str, k: int = 50, candidate_k: int = 200) -> DataFrame:
     """Hybrid nomination of chunks, fused, confirmed against the live view, capped at k."""
     source = views.spine["chunk_search"]
-    fused = reciprocal_rank_fusion([semantic_topk(source, vector, candidate_k), bm25_topk(source, query, candidate_k)], "chunk_id")
+    fused = reciprocal_rank_fusion([semantic_topk(source, vector, candidate_k), bm25_topk(views.chunk_postings, query, candidate_k)], "chunk_id")
     placed = ranked(fused.select("chunk_id", "score"), [F.desc("score"), F.asc("chunk_id")], 2 * candidate_k)
     live = views.chunks_live.select("chunk_id", "doc_id", "version_id")
     return placed.join(live, "chunk_id").orderBy("rank").limit(k)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.postings import Postings
 from factloom.operators.retrieval import bm25_topk, cosine, ranked
 from factloom.plans.views import Views
 
@@ -39,10 +40,11 @@ def nominate(views: Views, grain: str, vector: list[float], k: int, live: DataFr
 
 def nominate_lexical(views: Views, query: str, k: int, entities: tuple[str, ...] = ()) -> DataFrame:
     """(claim_id, score, rank): current claims by BM25; with entities only those that mention some."""
+    if not entities:
+        return bm25_topk(views.claim_postings, query, k)
     rows = views.spine["claim_search"].join(views.claims_live.select("claim_id"), "claim_id", "left_semi")
-    if entities:
-        rows = rows.join(coverage(views, entities).select("claim_id"), "claim_id", "left_semi")
-    return bm25_topk(rows, query, k, "claim_id")
+    rows = rows.join(coverage(views, entities).select("claim_id"), "claim_id", "left_semi")
+    return bm25_topk(Postings(rows, "claim_id", "search_text"), query, k)
 
 
 def search_claims(views: Views, k: int, vector: list[float] | None = None, query: str | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def _nominations(v: Views) -> DataFrame:
 
 def _fused(v: Views) -> DataFrame:
     source = v.spine["chunk_search"]
-    return retrieval.reciprocal_rank_fusion([retrieval.semantic_topk(source, query_vector(v), 40), retrieval.bm25_topk(source, TEXT_QUERY, 40)], "chunk_id")
+    return retrieval.reciprocal_rank_fusion([retrieval.semantic_topk(source, query_vector(v), 40), retrieval.bm25_topk(v.chunk_postings, TEXT_QUERY, 40)], "chunk_id")
 
 
 def _items(v: Views) -> DataFrame:
@@ -444,7 +444,7 @@ def catalog() -> dict[str, tuple[Callable[[Views], DataFrame], str | None]]:
           SELECT *, count(*) OVER (PARTITION BY t) AS df FROM (SELECT chunk_id, length, t, len(list_filter(w, lambda x: x = t)) AS tf FROM words, (SELECT unnest({asked}) AS t)) WHERE tf > 0), (SELECT count(*) AS n, avg(length) AS mean FROM words) GROUP BY 1) QUALIFY rank <= {k}"""
     words = "words AS (SELECT chunk_id, w, len(w) AS length FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(search_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM chunk_search))"
     q["semantic_topk"] = (lambda v: _rounded(retrieval.semantic_topk(v.spine["chunk_search"], query_vector(v), 20), "score"), f"SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({semantic(20)})")
-    q["bm25_topk"] = (lambda v: _rounded(retrieval.bm25_topk(v.spine["chunk_search"], TEXT_QUERY, 20), "score"), f"WITH {words} SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({bm25(20)})")
+    q["bm25_topk"] = (lambda v: _rounded(retrieval.bm25_topk(v.chunk_postings, TEXT_QUERY, 20), "score"), f"WITH {words} SELECT chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({bm25(20)})")
     fused = f"WITH {words}, fused AS (SELECT chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT chunk_id, rank FROM ({semantic(40)}) UNION ALL SELECT chunk_id, rank FROM ({bm25(40)})) GROUP BY 1)"
     q["hybrid_rrf"] = (lambda v: _rounded(_fused(v).drop("signals"), "score"), f"{fused} SELECT chunk_id, round(score, 6) AS score FROM fused")
     q["testimony_chunks"] = (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import temporal
 from factloom.functions.checkpoint import cut
+from factloom.functions.postings import Postings
 from factloom.sources.spine import Spine
 
 D = "deployment_id"
@@ -35,6 +36,15 @@ class Views:
         """The raw vectors (vec_id, embedding), from which test queries take theirs."""
         return self.spine.spark.read.parquet(f"{self.spine.sf_dir}/embeddings.parquet")
 
+    @cached_property
+    def chunk_postings(self) -> Postings:
+        return Postings(self.spine["chunk_search"], "chunk_id", "search_text")
+
+    @cached_property
+    def claim_postings(self) -> Postings:
+        """Of live claims."""
+        return Postings(self.spine["claim_search"].join(self.claims_live.select("claim_id"), "claim_id", "left_semi"), "claim_id", "search_text")
+
     def raw(self, name: str) -> DataFrame:
         return self.spine.spark.read.parquet(f"{self.spine.sf_dir}/{name}.parquet")
 
