@@ -31,9 +31,12 @@ def semantic_topk(rows: DataFrame, vector: list[float], k: int, key: str = "chun
     return ranked(scored, [F.desc("score"), F.asc(key)], k)
 
 
-def bm25_topk(postings: Postings, query: str, k: int) -> DataFrame:
-    """(key, score, rank): the k best of the postings' rows by BM25, ties by key. Only the query's own terms are read."""
+def bm25_topk(postings: Postings, query: str, k: int, only: DataFrame | None = None) -> DataFrame:
+    """(key, score, rank): the k best of the postings' rows by BM25, ties by key; of those whose key is in only, scored
+    among all. Only the query's own terms are read."""
     asked, some = postings.frequencies(query)
+    if only is not None:
+        some = some.join(only.select(postings.key), postings.key, "left_semi")
     score = sum(
         (F.when(F.col(f"tf{i}") > 0, F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0) for i in range(len(asked))),
         F.lit(0.0),

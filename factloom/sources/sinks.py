@@ -43,17 +43,30 @@ def publish(views: Views, root: str, version: str) -> dict[str, int]:
         rows.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
         counts[name] = spark.read.parquet(f"{root}/{version}/{name}").count()
     _write_text(spark, f"{root}/{version}/manifest.json", json.dumps({"version": version, "row_counts": counts}, sort_keys=True))
-    _write_text(spark, f"{root}/latest.tmp", version)
-    source, fs = _filesystem(spark, f"{root}/latest.tmp")
-    target, _ = _filesystem(spark, f"{root}/latest")
-    fs.delete(target, False)
-    if not fs.rename(source, target):
-        raise OSError(f"cannot publish {version}")
+    point(spark, root, version)
     return counts
 
 
+def pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointers to versions, in order."""
+    folder, fs = _filesystem(spark, f"{root}/pointers")
+    names = [str(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def point(spark: SparkSession, root: str, version: str) -> None:
+    """Make a version the latest: a new pointer under the next number, put there whole by a rename. Earlier ones stay, so
+    that readers find one at any time; of two publishers with one number the second fails."""
+    number = max(pointers(spark, root), default=0) + 1
+    _write_text(spark, f"{root}/pointers/{version}.tmp", version)
+    source, fs = _filesystem(spark, f"{root}/pointers/{version}.tmp")
+    target, _ = _filesystem(spark, f"{root}/pointers/{number}")
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"cannot publish {version}")
+
+
 def latest(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Tables of the latest version."""
-    version = spark.read.text(f"{root}/latest").first()[0]
+    """Tables of the version that the pointer of the greatest number names."""
+    version = spark.read.text(f"{root}/pointers/{max(pointers(spark, root))}").first()[0]
     manifest = json.loads(spark.read.text(f"{root}/{version}/manifest.json", wholetext=True).first()[0])
     return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in manifest["row_counts"]}

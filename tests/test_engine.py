@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.engine import Engine
 from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
+from factloom.plans import nominations
 from factloom.plans import gate, registry
 from factloom.sources import sinks
 from factloom.streaming import ingest
@@ -238,6 +239,31 @@ def test_dialect(box, expression):
     assert box.query(f"SELECT {expression} AS x").rows == [(DIALECT[expression],)]
 
 
+def test_search_functions_publish_their_columns_and_take_filters(spark):
+    v = registry.views(spark, SMALL)
+    box = gate.Sandbox(v, embed=lambda text: registry.query_vector(v))
+    every = box.query("SELECT * FROM semantic_facts('who', 10)")
+    assert tuple(every.columns) == ("rank", "score", "channel", *nominations.COLUMNS["facts"]) and len(every.rows) == 10
+    kinds = box.query("SELECT DISTINCT fact_kind, predicate FROM semantic_facts('who', 10, '{\"fact_kind\": \"relation\", \"predicate\": \"located_in\"}')").rows
+    assert kinds == [("relation", "located_in")]
+    one = v.mentions_live.where("claim_id IS NOT NULL").select("resolved_entity_id").first()[0]
+    claims = box.query(f"SELECT claim_id FROM semantic_claims('x', 100, '{{\"entity_id\": \"{one}\"}}')").rows
+    own = {r[0] for r in v.mentions_live.where(F.col("resolved_entity_id") == one).select("claim_id").collect()}
+    assert claims and {c for (c,) in claims} <= own
+    dated = box.query("SELECT min(asserted_at) AS a, max(asserted_at) AS z FROM semantic_claims('x', 100, '{\"asserted_from\": \"1997-01-01\", \"asserted_to\": \"1998-01-01\"}')").rows[0]
+    assert str(dated[0]) >= "1997" and str(dated[1]) <= "1998-01-01 00:00:00"
+    assert {r[0] for r in box.query("SELECT entity_type FROM semantic_entities('x', 5, '{\"entity_type\": \"person\"}')").rows} == {"person"}
+    ids = [r[0] for r in box.query("SELECT chunk_id FROM lexical_chunks('license', 3, '{\"source_kind\": \"text\"}') ORDER BY rank").rows]
+    got = box.query(f"SELECT chunk_id, source_text FROM fetch_chunk_bodies(ARRAY['{ids[1]}', 'gone', '{ids[0]}']) ORDER BY ordinal").rows
+    assert [c for c, _ in got] == [ids[1], ids[0]] and all("license" in t.lower() for _, t in got)
+
+
+@pytest.mark.parametrize("call", ["semantic_facts('x', 5, '{\"color\": \"red\"}')", "semantic_facts('x', 5, '{\"fact_kind\": \"opinion\"}')", "semantic_facts('x', 5, '[1]')", "semantic_claims('x', 5, '{\"doc_id\": [1]}')", "semantic_claims('x', 5, '{\"asserted_from\": \"soon\"}')", "lexical_claims('x', 0)", "fetch_chunk_bodies('x')", "fetch_chunk_bodies(ARRAY[upper('x')])"])
+def test_search_functions_refuse(box, call):
+    with pytest.raises(gate.Refused):
+        box.frame(f"SELECT * FROM {call}")
+
+
 def test_dialect_over_relations(box):
     rows = box.query("SELECT jsonb_agg(doc_id) AS ids, jsonb_object_agg(doc_id, source_kind) AS kinds FROM (SELECT doc_id, source_kind FROM memory_v1.documents_live WHERE doc_id ~ '^O[12]$' ORDER BY doc_id)").rows
     assert json.loads(rows[0][0]) == ["O1", "O2"] and set(json.loads(rows[0][1])) == {"O1", "O2"}
@@ -289,6 +315,9 @@ def test_snapshot_is_read_as_published(spark, tmp_path):
     counts = sinks.publish(v, root, "v1")
     got = sinks.latest(spark, root)
     assert {n: t.count() for n, t in got.items()} == counts and counts["relates"] > 0
+    sinks.point(spark, root, "v2")
+    sinks.point(spark, root, "v1")  # an earlier version again
+    assert sinks.pointers(spark, root) == [1, 2, 3] and set(sinks.latest(spark, root)) == set(counts)
 
 
 def test_currency_transitions(spark):
