@@ -178,30 +178,60 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             return now
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community): local moving for modularity, as in the first phase of Louvain's method.
+#: Modularity that a round or level of communities has to add; less is taken for none.
+LEAST_GAIN = 1e-4
 
-    In a round each node of one parity of its hash may move to the neighbouring community of the highest gain, ties to
-    the least; the id is the least node of the community at the end.
-    """
-    links = cut(simple_graph(edges))
-    weights = cut(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k")))
-    m2 = weights.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    now = cut(weights.withColumn("community", F.col("node")))
-    for r in range(rounds):
-        totals = now.groupBy("community").agg(F.sum("k").alias("total"))
-        near = links.join(now.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count("*").alias("inside"))
-        own = now.select("node", "k", F.col("community").alias("own"))
-        offers = near.unionByName(now.select("node", "community", F.lit(0).cast("long").alias("inside"))).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
-        judged = offers.join(own, "node").join(totals, "community")
-        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.col("inside") - F.col("k") * rest / F.lit(float(max(m2, 1)))
-        # ties stay with the own community, then go to the least
-        best = judged.groupBy("node", "k", "own").agg(F.min_by("community", F.struct(-F.round(gain, 9), F.col("community") != F.col("own"), "community")).alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        now = cut(best.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("community"), (moves & (F.col("best") != F.col("own"))).alias("moved")))
-        if r and now.where("moved").isEmpty():
+
+def modularity(links: DataFrame, placed: DataFrame, m2: float) -> float:
+    """Of communities (node, community) over links (a, b, w), both ways, loops too, whose weights add up to m2."""
+    both = links.join(placed.select(F.col("node").alias("a"), F.col("community").alias("c")), "a").join(placed.select(F.col("node").alias("b"), F.col("community").alias("d")), "b")
+    each = both.groupBy("c").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("c") == F.col("d"), F.col("w")).otherwise(0.0)).alias("inside"))
+    return each.agg(F.coalesce(F.sum(F.col("inside") / m2 - F.pow(F.col("total") / m2, 2)), F.lit(0.0))).first()[0]
+
+
+def local_moves(links: DataFrame, m2: float, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, float]:
+    """(node, community), modularity: nodes move to the neighbouring community of the highest gain until a round of both
+    halves of the nodes, by hashes, adds no modularity; the best state is kept."""
+    weights = cut(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    best, now, r = cut(weights.select("node", F.col("node").alias("community"))), weights.withColumn("community", F.col("node")), 0
+    score = modularity(links, best, m2)
+    while True:
+        for half in (0, 1):
+            totals = now.groupBy("community").agg(F.sum("k").alias("total"))
+            near = links.where("a <> b").join(now.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("inside"))
+            own = now.select("node", "k", F.col("community").alias("own"))
+            offers = near.unionByName(now.select("node", "community", F.lit(0.0).alias("inside"))).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
+            judged = offers.join(own, "node").join(totals, "community")
+            rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
+            gain = F.col("inside") - F.col("k") * rest / F.lit(float(m2))
+            # ties stay with the own community, then go to the least
+            chosen = judged.groupBy("node", "k", "own").agg(F.min_by("community", F.struct(-F.round(gain, 9), F.col("community") != F.col("own"), "community")).alias("best"))
+            moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half  # other halves in each round, so that no two keep changing places
+            now = cut(chosen.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("community")))
+        r += 1
+        reached = modularity(links, now, m2)
+        if reached <= score + least_gain:
+            return best, score
+        best, score = now.select("node", "community"), reached
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by Louvain's method: local moves, then the communities as nodes of a graph of their own, again and
+    again until that adds no modularity. A community is named by its least node."""
+    links = cut(simple_graph(edges).withColumn("w", F.lit(1.0)))
+    m2 = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    members = links.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    if not m2:
+        return members
+    score = None
+    while True:
+        placed, reached = local_moves(links, m2)
+        if score is not None and reached <= score + LEAST_GAIN:
             break
-        now = now.drop("moved")
-    named = now.groupBy("community").agg(F.min("node").alias("id"))
-    return now.join(named, "community").select("node", F.col("id").alias("community"))
+        score = reached
+        placed = cut(placed)
+        members = cut(members.join(placed.select(F.col("node").alias("community"), F.col("community").alias("into")), "community").select("node", F.col("into").alias("community")))
+        of = lambda end, name: placed.select(F.col("node").alias(end), F.col("community").alias(name))  # noqa: B023, E731
+        links = cut(links.join(of("a", "x"), "a").join(of("b", "y"), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+    named = members.groupBy("community").agg(F.min("node").alias("id"))
+    return members.join(named, "community").select("node", F.col("id").alias("community"))

@@ -106,6 +106,24 @@ def test_components_and_cores(spark):
     assert {r["node"]: r["core"] for r in graph.core_numbers(edges).collect()} == core
 
 
+def test_communities_of_a_ring_of_cliques(spark):
+    """Twelve cliques of four in a ring: each is a community, and no merge of neighbours adds modularity at the end."""
+    links = [(f"{c:02}{i}", f"{c:02}{j}") for c in range(12) for i in range(4) for j in range(i)] + [(f"{c:02}0", f"{(c + 1) % 12:02}3") for c in range(12)]
+    edges = spark.createDataFrame([(str(k), a, b, "p") for k, (a, b) in enumerate(links)], "id string, source string, target string, predicate string")
+    got = {}
+    for r in graph.communities(edges).collect():
+        got.setdefault(r["community"], set()).add(r["node"])
+    assert all(min(v) == c for c, v in got.items()) and sum(map(len, got.values())) == 48
+    cliques = [{f"{c:02}{i}" for i in range(4)} for c in range(12)]
+    assert all(any(q <= v for v in got.values()) for q in cliques)  # no clique is cut
+    degree, m2 = {}, 2 * len(links)
+    for a, b in links:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    of = {n: c for c, v in got.items() for n in v}
+    score = sum(2 * (of[a] == of[b]) for a, b in links) / m2 - sum((sum(degree[n] for n in v) / m2) ** 2 for v in got.values())
+    assert score >= 12 * (12 / m2 - (14 / m2) ** 2) - 1e-9  # at least that of the cliques alone
+
+
 def test_communities_of_two_cliques(spark):
     rows = [(f"{g}{i}{j}", f"{g}{i}", f"{g}{j}", "p") for g in "ab" for i in range(6) for j in range(i)] + [("bridge", "a0", "b0", "p")]
     got = {r["node"]: r["community"] for r in graph.communities(spark.createDataFrame(rows, "id string, source string, target string, predicate string")).collect()}
