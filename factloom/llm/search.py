@@ -96,7 +96,8 @@ def top_k(df: DataFrame, scratch: Scratch, is_query: F.Column, k: int = 5, id_co
     is_query is a condition on column vec_id. Vectors that are null or hold null or non-finite components, and rows
     with a null id, take no part; a repeated row (same id and vector) counts once, and a query's own are all rows of its
     id. Ties go to the smaller vec_id. A shorter vector counts as filled up
-    with zeros. Products beyond 64 bits are not defined. Other columns are not read; without rows the result is empty.
+    with zeros, a very long one makes as many terms. Products beyond 64 bits are not defined. Other columns are not read;
+    without rows the result is empty.
     """
     vector = df[vector_col].cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -183,8 +183,9 @@ def simhash_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     """doc_id, fingerprint, component_id of every row of df.
 
     A null or empty text has fingerprint zero and is linked like any other. Rows with a null id have a fingerprint and
-    a null component, and link nothing. Repeated ids and rows stay. Other columns are not read; without rows the result
-    is empty.
+    a null component, and link nothing. Repeated ids and rows stay; equal texts have one fingerprint and so one component,
+    which leaves ties no choice. A very long text is one fingerprint of all its shingles. Other columns are not read;
+    without rows the result is empty.
     """
     docs = scratch.save(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     classes = scratch.save(docs.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
