@@ -1,9 +1,14 @@
 """Claims from text: sentences, the grounding gate and claim windows."""
 
+import glob
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import claims
+from factloom.plans import registry
 
 CHUNK = "doc_id string, chunk_id string, ordinal int, section string, header string, text string, char_start int"
 
@@ -82,3 +87,17 @@ def test_claim_windows(spark, case, want):
     a, z, p = claims.window_of(F.col("a"), F.col("z"), F.col("p"))
     got = row.select(a.cast("string").alias("a"), z.cast("string").alias("z"), p.alias("p")).first()
     assert tuple(got) == want
+
+
+def test_gate_equals_its_sql_with_sharp_s(spark, tmp_path):
+    text = "Eins. " * 7 + "Große Füße."
+    spark.createDataFrame([(1, text, "de", "web", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    for path in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        duck.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    for name in ("documents", "conversations"):
+        duck.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.sql(f"SELECT candidate_id, gate FROM ({registry.oracle_sql()['grounding_gate']})").fetchall()
+    got = registry.queries()["grounding_gate"](spark, str(tmp_path)).select("candidate_id", "gate").collect()
+    assert ("D1-0-7", None) in want and sorted(map(tuple, got)) == sorted(want)
