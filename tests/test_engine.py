@@ -1,6 +1,7 @@
 """The reference operators against their SQL in DuckDB, and what SQL cannot express against brute force."""
 
 import json
+import os
 import random
 
 import duckdb
@@ -10,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.engine import Engine
+from factloom.functions import checkpoint
 from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
 from factloom.plans import nominations
 from factloom.plans import gate, registry
 from factloom.sources import sinks
+from factloom.sources.spine import Spine
 from factloom.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,6 +74,23 @@ def test_visibility(spark):
     assert v.survivors.join(circle, "entity_id").isEmpty()  # chains in circles have no survivor
 
 
+def stored_tables(spark):
+    found = os.path.join(checkpoint.shared_dir(spark), "factloom-tables")
+    return set(os.listdir(found)) if os.path.isdir(found) else set()
+
+
+def test_only_tables_that_move_rows_are_stored(spark):
+    tables = Spine(spark, SMALL)
+    for name in ("line_items", "documents"):
+        tables[name].count()
+    before = stored_tables(spark)
+    for name in ("chunks", "document_versions", "document_representations"):
+        assert tables[name].count() > 0
+    assert stored_tables(spark) == before
+    tables["claims"].count()
+    assert len(stored_tables(spark) - before) == 1
+
+
 # graph brute force
 
 
