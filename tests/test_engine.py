@@ -15,6 +15,7 @@ from factloom.functions import checkpoint
 from factloom.operators import adjudication, documents, facts, graph, identity, retrieval
 from factloom.plans import nominations
 from factloom.plans import gate, registry
+from factloom.plans.views import Views
 from factloom.sources import sinks
 from factloom.sources.spine import Spine
 from factloom.streaming import ingest
@@ -91,6 +92,12 @@ def test_only_tables_that_move_rows_are_stored(spark):
     assert len(stored_tables(spark) - before) == 1
 
 
+def test_facts_do_without_whole_mentions(spark):
+    v = Views(Spine(spark, SMALL))
+    assert not v.facts_current.isEmpty()
+    assert "mention_current_content" not in v.__dict__
+
+
 # graph brute force
 
 
