@@ -16,7 +16,7 @@ from factloom.operators import adjudication, documents, facts, graph, identity,
 from factloom.plans import nominations
 from factloom.plans import gate, registry
 from factloom.plans.views import Views
-from factloom.sources import sinks
+from factloom.sources import sinks, spine
 from factloom.sources.spine import Spine
 from factloom.streaming import ingest
 
@@ -92,6 +92,40 @@ def test_only_tables_that_move_rows_are_stored(spark):
     assert len(stored_tables(spark) - before) == 1
 
 
+@pytest.fixture(scope="module")
+def odd_dir(tmp_path_factory):
+    """The small tables with lines of no order or part, repeated parts, parts without a name or brand, and users unknown."""
+    out = tmp_path_factory.mktemp("odd")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE TABLE {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    c.execute("UPDATE lineitem SET l_partkey = NULL WHERE l_orderkey % 50 = 1; UPDATE lineitem SET l_orderkey = 9000000 + l_orderkey WHERE l_orderkey % 50 = 2; UPDATE lineitem SET l_returnflag = NULL, l_linestatus = NULL WHERE l_orderkey % 50 = 3")
+    c.execute("INSERT INTO part SELECT * FROM part WHERE p_partkey % 40 = 1; UPDATE part SET p_name = NULL WHERE p_partkey % 40 = 2; UPDATE part SET p_brand = NULL WHERE p_partkey % 40 = 3")
+    c.execute("UPDATE orders SET o_custkey = NULL WHERE o_orderkey % 60 = 1; UPDATE lineitem SET l_shipdate = NULL WHERE l_orderkey % 50 = 4; DELETE FROM supplier WHERE s_suppkey % 10 = 1; UPDATE events SET user_id = NULL WHERE event_id % 90 = 1")
+    for t in TABLES:
+        c.execute(f"COPY {t} TO '{out}/{t}.parquet'")
+    return str(out)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_tables_from_parts_equal_their_sql(spark, odd_dir, odd, monkeypatch):
+    folder = odd_dir if odd else SMALL
+    tables, plain, names = Spine(spark, folder), Spine(spark, folder), list(spine.FROM_PARTS)
+    got = {name: tables[name] for name in names}
+    monkeypatch.setattr(spine, "FROM_PARTS", {})
+    for name in names:
+        want = plain[name]
+        assert got[name].dtypes == want.dtypes
+        assert not want.isEmpty() and canonical(got[name].toPandas()) == canonical(want.toPandas()), name
+
+
+def test_relations_need_no_numbered_lines(spark):
+    tables = Spine(spark, SMALL)
+    before = stored_tables(spark)
+    assert tables["relations"].count() > 0
+    assert "line_items" not in tables.made and len(stored_tables(spark) - before) == 3  # spans, orderings, customers
+
+
 def test_facts_do_without_whole_mentions(spark):
     v = Views(Spine(spark, SMALL))
     assert not v.facts_current.isEmpty()
