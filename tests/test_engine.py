@@ -119,6 +119,26 @@ def test_tables_from_parts_equal_their_sql(spark, odd_dir, odd, monkeypatch):
         assert not want.isEmpty() and canonical(got[name].toPandas()) == canonical(want.toPandas()), name
 
 
+def test_rows_are_numbered_in_ranges(spark):
+    keys = [(k,) for k in random.Random(5).choices(range(900), k=2_000)] + [(None,)]
+    ranked = spine.numbered(spark.createDataFrame(keys, "k long"), "k")
+    rows = sorted(ranked.select("rank", "k").collect())
+    assert [r[0] for r in rows] == list(range(1, len(keys) + 1))
+    assert [r[1] for r in rows] == sorted((k for (k,) in keys), key=lambda k: (k is not None, k))
+    tables = Spine(spark, SMALL)
+    want = duckdb.sql(f"WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM '{SMALL}/documents.parquet'), v AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM '{SMALL}/embeddings.parquet') SELECT 'KD' || doc_id AS chunk_id, embedding[1] AS e, len(embedding) AS n FROM d LEFT JOIN v USING (r)").df()
+    assert canonical(tables["chunk_search"].selectExpr("chunk_id", "embedding[0] AS e", "size(embedding) AS n").toPandas()) == canonical(want)
+    before = stored_tables(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reversed_keys = spine.numbered(spark.range(40_000).selectExpr("40000 - id AS k"), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert reversed_keys.where("rank <> k").isEmpty()
+    (new,) = stored_tables(spark) - before
+    assert len([f for f in os.listdir(os.path.join(checkpoint.shared_dir(spark), "factloom-tables", new)) if f.endswith(".parquet")]) > 1  # several tasks
+
+
 def test_relations_need_no_numbered_lines(spark):
     tables = Spine(spark, SMALL)
     before = stored_tables(spark)
@@ -132,6 +152,15 @@ def test_facts_do_without_whole_mentions(spark):
     assert "mention_current_content" not in v.__dict__
 
 
+def test_facts_are_stored_once_and_need_no_counts_of_entities(spark):
+    v = Views(Spine(spark, SMALL))
+    v.facts_visible_history.count()
+    before = stored_tables(spark)
+    for view in (v.facts_current, v.graph_edges_visible_history, v.contradiction_members_current, v.fact_visible):
+        assert "Exchange" not in view._jdf.queryExecution().executedPlan().toString()
+    assert stored_tables(spark) == before and "entities_current" not in v.__dict__
+
+
 # graph brute force
 
 
