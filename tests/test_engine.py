@@ -146,6 +146,14 @@ def test_relations_need_no_numbered_lines(spark):
     assert "line_items" not in tables.made and len(stored_tables(spark) - before) == 3  # spans, orderings, customers
 
 
+def test_a_table_of_the_graph_makes_no_other(spark):
+    v = Views(Spine(spark, SMALL))
+    before = stored_tables(spark)
+    assert sinks.graph_table(v, "doc_crossref").count() > 0 and not sinks.graph_table(v, "entity").isEmpty()
+    assert not {"mention_current_content", "claims_visible_history", "survivors"} & set(v.__dict__)
+    assert not {"line_items", "relations"} & set(v.spine.made) and len(stored_tables(spark) - before) == 1  # entities
+
+
 def test_facts_do_without_whole_mentions(spark):
     v = Views(Spine(spark, SMALL))
     assert not v.facts_current.isEmpty()
