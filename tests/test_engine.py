@@ -146,6 +146,25 @@ def test_relations_need_no_numbered_lines(spark):
     assert "line_items" not in tables.made and len(stored_tables(spark) - before) == 3  # spans, orderings, customers
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_documents_are_dealt_once(spark, odd_dir, odd):
+    v = Views(Spine(spark, odd_dir if odd else SMALL))
+    decided = v._decisions.select("deployment_id", "mention_id", "entity_id")
+    want = v.spine["mentions"].join(decided, ["deployment_id", "mention_id"]).select("deployment_id", "chunk_id", "doc_id", "created_at", "entity_id")
+    assert not want.isEmpty() and canonical(v._decided.toPandas()) == canonical(want.toPandas())
+    known, before = v._visible_versions.count() > 0, spark.conf.get(checkpoint.CO_PARTITION)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with checkpoint.joined_where_dealt(spark):
+            plan = v._seen_claims._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert known and plan.count("Exchange hashpartitioning") == 3  # claims, chunks, versions
+    assert spark.conf.get(checkpoint.CO_PARTITION) == before
+    seen = v.claims_seen
+    assert "claims_visible_history" not in v.__dict__ and canonical(seen.toPandas()) == canonical(v.claims_visible_history.select(*seen.columns).toPandas())
+
+
 def test_a_table_of_the_graph_makes_no_other(spark):
     v = Views(Spine(spark, SMALL))
     before = stored_tables(spark)
