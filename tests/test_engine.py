@@ -179,6 +179,22 @@ def test_facts_do_without_whole_mentions(spark):
     assert "mention_current_content" not in v.__dict__
 
 
+def test_whole_facts_are_not_dealt_again_for_reviews(spark):
+    v = Views(Spine(spark, SMALL))
+    v.facts_visible_history  # stores what facts stand on
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with checkpoint.joined_where_dealt(spark):
+            plan = v._facts_visible_history._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(fact_kind" not in plan
+    waiting = v.spine["review_queue"].where("status IN ('pending', 'deferred')")
+    withdrawn = v.facts_visible_history.where("support_state_current = 'withdrawn'").select("fact_id")
+    known = waiting.selectExpr("get_json_object(candidate, '$.fact_id') AS fact_id").join(v.facts_visible_history.where("fact_kind = 'relation'"), "fact_id", "left_semi").distinct()
+    assert not withdrawn.isEmpty() and canonical(withdrawn.toPandas()) == canonical(known.toPandas())
+
+
 def test_facts_are_stored_once_and_need_no_counts_of_entities(spark):
     v = Views(Spine(spark, SMALL))
     v.facts_visible_history.count()
