@@ -165,6 +165,13 @@ def test_documents_are_dealt_once(spark, odd_dir, odd):
     assert "claims_visible_history" not in v.__dict__ and canonical(seen.toPandas()) == canonical(v.claims_visible_history.select(*seen.columns).toPandas())
 
 
+def test_decisions_move_as_numbers(spark):
+    v = Views(Spine(spark, SMALL))
+    plan = v._decided._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning", 1)
+    assert "Exchange" not in below and "AS mention_id" in above and "AS mention_id" not in below
+
+
 def test_a_table_of_the_graph_makes_no_other(spark):
     v = Views(Spine(spark, SMALL))
     before = stored_tables(spark)
