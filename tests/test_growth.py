@@ -1,6 +1,6 @@
 """What large tables need: no table of the store goes whole to all tasks, rows move no oftener than they have to."""
 
-from factloom.operators import identity
+from factloom.operators import claims, identity
 from factloom.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,3 +24,25 @@ def test_aliases_are_not_sent_to_all_tasks(spark):
     found = identity.blocked_candidates(registry.views(spark, SMALL), ["hot gear", "cold bolt"])
     assert not broadcast_tables(found)
     assert found.count() > 2
+
+
+def moves_along(df, name="Exchange"):
+    """How often the rows of the first table of df's joins move."""
+    plan, times = df._jdf.queryExecution().executedPlan().initialPlan(), 0
+    while True:
+        times += plan.nodeName() == name
+        if plan.children().isEmpty():
+            return times
+        plan = plan.children().head()
+
+
+def test_candidates_move_once_to_their_chunk(spark):
+    texts = ["Ann said yes. Bob left.", "Nothing here"]
+    chunks = spark.createDataFrame([("d", f"d-{i}", i, "0", "title x", t, 0) for i, t in enumerate(texts)], "doc_id string, chunk_id string, ordinal int, section string, header string, text string, char_start int")
+    rows = [("a", "d-0", "Ann said yes.", "Ann said yes.", None, None, None, "unknown"), ("b", "d-0", "Bob left.", "Bob left.", ["Zoe"], None, None, "unknown"), ("c", "d-9", "x", "x", None, None, None, "unknown"), ("d", "d-0", None, "x", None, None, None, "unknown"), ("e", "d-1", "Nothing", "Nothing", None, None, None, "unknown")]
+    candidates = spark.createDataFrame(rows, "candidate_id string, chunk_id string, span string, claim_text string, added array<string>, valid_from string, valid_until string, precision string")
+    kept = spark.createDataFrame([("d-0", "Ann said yes.", True), ("d-0", "Ann said yes.", False), ("d-0", "Bob left.", False), ("d-1", "Nothing here", True)], "chunk_id string, span string, flagged boolean")
+    found = claims.grounding_gate(candidates, kept, chunks)
+    assert moves_along(found) == 1
+    got = {r["candidate_id"]: (r["gate"], r["kept_flagged"]) for r in found.collect()}
+    assert got == {"a": (None, True), "b": ("added_context_unverified", None), "c": ("span_not_found", None), "d": ("span_not_found", None), "e": (None, False)}
