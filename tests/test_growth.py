@@ -1,6 +1,9 @@
 """What large tables need: no table of the store goes whole to all tasks, rows move no oftener than they have to."""
 
-from factloom.operators import claims, identity
+import pytest
+
+from factloom.functions.checkpoint import cut
+from factloom.operators import claims, identity, sections
 from factloom.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -46,3 +49,11 @@ def test_candidates_move_once_to_their_chunk(spark):
     assert moves_along(found) == 1
     got = {r["candidate_id"]: (r["gate"], r["kept_flagged"]) for r in found.collect()}
     assert got == {"a": (None, True), "b": ("added_context_unverified", None), "c": ("span_not_found", None), "d": ("span_not_found", None), "e": (None, False)}
+
+
+@pytest.mark.parametrize("name", ["sections_by_anchor", "sections_snapped", "section_skeletons"])
+def test_lines_are_not_sent_to_all_tasks(spark, name, monkeypatch):
+    sent = []
+    monkeypatch.setattr(sections, "cut", lambda df: (sent.extend(broadcast_tables(df)), cut(df))[1])
+    found = registry.queries()[name](spark, SMALL)
+    assert not sent and not broadcast_tables(found)
