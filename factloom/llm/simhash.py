@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, components, local_components, shingle_hashes, small, sorted_groups, table, text_bytes
-from factloom.llm.jaccard import near_copies
+from factloom.llm.jaccard import near_copies, with_signature
 
 MOST_BITS = 4
 SHINGLE = 4
@@ -203,28 +203,27 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     fingerprints differ in about ten of 64 bits, too many for an index to search without loss. So the fingerprint groups
     come first and gather most copies, each checked by its shingles, and a prefix join finds what they leave.
 
-    Rows with a null id all stay. Rows of one id and different texts stay if any of them is its group's smallest; of
-    those that have one text too, the one with the smallest other columns stays. Ties have no choice left: ids differ.
-    Without rows the result is empty.
+    Each group keeps one row. A row without an id comes after all that have one; of a group's rows with its smallest id,
+    the one with the smallest text and other columns stays. Ties have no choice left. Without rows the result is empty.
     """
     hints = lambda codes: near_links(codes, scratch)
-    groups = scratch.save(near_copies(docs, scratch, majority, hints, id_col, text_col).where("doc_id IS NOT NULL"), "groups")
-    kept = groups.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    marked = scratch.save(ids.join(kept, F.col("doc_id") == F.col("kept_id"), "left").select("doc_id", F.col("kept_id").isNotNull().alias("stays"), (F.col("rows") > 1).alias("again")), "marked")
+    groups = scratch.save(near_copies(docs, scratch, majority, hints, id_col, text_col), "groups")
+    kept = scratch.save(groups.groupBy("component").agg(F.min("doc_id").alias("kept_id")), "kept")
+    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    least = kept.where("kept_id IS NOT NULL").select("kept_id").distinct()
+    marked = scratch.save(ids.join(least, F.col("doc_id") == F.col("kept_id"), "left").select("doc_id", F.col("kept_id").isNotNull().alias("stays"), (F.col("rows") > 1).alias("again")), "marked")
     mine = docs[id_col].cast("long")
     # what goes, and ids that come again, are few beside the rows: the others' texts stay where they are
     gone = small(marked.where("again OR NOT stays").select(F.col("doc_id").alias("_gone")))
-    single = docs.join(gone, mine == gone["_gone"], "left_anti")
+    single = docs.where(mine.isNotNull()).join(gone, mine == gone["_gone"], "left_anti")
     again = small(marked.where("again AND stays").select(F.col("doc_id").alias("_again")))
-    repeated = docs.join(again, mine == again["_again"], "left_semi")
+    several = docs.join(again, mine == again["_again"], "left_semi").unionByName(docs.where(mine.isNull()))
+    # an id may stand for several groups, so its rows are told apart by their texts
+    places = groups.select(F.col("sig").alias("_sig"), "component").distinct().join(kept, "component").select("_sig", F.col("component").alias("_group"), F.col("kept_id").alias("_kept"))
+    placed = with_signature(several, text_col, "_sig").join(places, "_sig").where(F.col(id_col).cast("long").eqNullSafe(F.col("_kept")))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    if others:
-        least = repeated.groupBy(id_col, text_col).agg(F.min(F.struct(*others)).alias("_least"))
-        repeated = least.select(*(F.col(c) if c in (id_col, text_col) else F.col("_least")[c].alias(c) for c in docs.columns))
-    else:
-        repeated = repeated.distinct()
-    return single.unionByName(repeated)
+    first = placed.groupBy("_group").agg(F.min(F.struct(text_col, *others, id_col)).alias("_least"))
+    return single.unionByName(first.select(*(F.col("_least")[c].alias(c) for c in docs.columns)))
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
