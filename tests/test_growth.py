@@ -1,10 +1,13 @@
 """What large tables need: no table of the store goes whole to all tasks, rows move no oftener than they have to."""
 
+import duckdb
 import pytest
 
-from factloom.functions.checkpoint import cut
+from factloom.functions.checkpoint import cut, joined_where_dealt
 from factloom.operators import claims, identity, sections
 from factloom.plans import registry
+from factloom.plans.views import Views
+from factloom.sources.spine import Spine
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -57,3 +60,22 @@ def test_lines_are_not_sent_to_all_tasks(spark, name, monkeypatch):
     monkeypatch.setattr(sections, "cut", lambda df: (sent.extend(broadcast_tables(df)), cut(df))[1])
     found = registry.queries()[name](spark, SMALL)
     assert not sent and not broadcast_tables(found)
+
+
+def test_whole_mentions_move_once(spark):
+    v, most = Views(Spine(spark, SMALL)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_where_dealt(spark):
+            assert moves_along(v._mention_current_content) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone = 'UTC'")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = v.mentions_live
+    columns = ", ".join(got.columns)
+    want = duck.execute(f"SELECT {columns} FROM ({registry.oracle_sql()['mentions_live']})").fetchall()
+    assert len(want) > 1000
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
