@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from factloom.functions.checkpoint import cut, joined_where_dealt
-from factloom.operators import claims, identity, sections
+from factloom.operators import claims, graph, identity, sections
 from factloom.plans import registry
 from factloom.plans.views import Views
 from factloom.sources.spine import Spine
@@ -79,3 +79,8 @@ def test_whole_mentions_move_once(spark):
     want = duck.execute(f"SELECT {columns} FROM ({registry.oracle_sql()['mentions_live']})").fetchall()
     assert len(want) > 1000
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_core_numbers_take_the_rounds_they_need(spark):
+    path = spark.createDataFrame([(str(i), f"n{i:03}", f"n{i + 1:03}", "next") for i in range(80)], "id string, source string, target string, predicate string")
+    assert {r["core"] for r in graph.core_numbers(path).collect()} == {1}  # thirty rounds leave twos in the middle
