@@ -84,3 +84,14 @@ def test_whole_mentions_move_once(spark):
 def test_core_numbers_take_the_rounds_they_need(spark):
     path = spark.createDataFrame([(str(i), f"n{i:03}", f"n{i + 1:03}", "next") for i in range(80)], "id string, source string, target string, predicate string")
     assert {r["core"] for r in graph.core_numbers(path).collect()} == {1}  # thirty rounds leave twos in the middle
+
+
+def test_components_move_numbers(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda df: (stored.append(df.dtypes), cut(df))[1])
+    ends = [("n9", "n10"), ("n10", "n8"), ("x", "x"), ("b", "a"), ("a", "c"), ("c", "b")] + [(f"p{i}", f"p{i + 1}") for i in range(20)]
+    edges = spark.createDataFrame([(str(i), s, t, "p") for i, (s, t) in enumerate(ends)], "id string, source string, target string, predicate string")
+    got = dict(map(tuple, graph.weak_components(edges).collect()))
+    assert got == {"n9": "n10", "n10": "n10", "n8": "n10", "x": "x", "a": "a", "b": "a", "c": "a"} | {f"p{i}": "p0" for i in range(21)}
+    assert [t for t in stored if any(kind == "string" for _, kind in t)] == [[("node", "string"), ("rank", "bigint")]]
+    assert graph.weak_components(edges.limit(0)).collect() == []
